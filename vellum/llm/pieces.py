@@ -1,63 +1,119 @@
-"""Token ids of texts through a bounded cache of space-separated pieces; the public tokenizer encodes what is new."""
+"""Token ids of texts through a bounded cache of independent pieces; the tokenizer encodes what is new, once."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
 
-class PieceIds:
-    """Ids of whole texts, equal to the tokenizer's, for vocabularies whose pre-tokenizer drops white space.
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """flat[start[0] : start[0] + count[0]], flat[start[1] : ...], ... one after another."""
+    if not len(start):
+        return flat[:0]
+    before = np.cumsum(count) - count
+    return flat[np.repeat(start - before, count) + np.arange(int(before[-1] + count[-1]))]
 
-    A text is cut at spaces and line feeds; no token, normalisation or special string of such a vocabulary spans
-    them. New pieces of a block go to ``encode_batch`` together, once each. The cache holds at most ``most`` pieces;
-    when it is full it starts anew, so memory is bounded and results stay the same.
-    """
 
-    def __init__(self, path: str, most: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def encode_joined(tok, words: list[str], separator: str, separator_id: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, flat, and how many each has. Many words go in as one text, with a special string between them."""
+    flat, counts = [], []
+    for i in range(0, len(words), at_once):
+        part = words[i : i + at_once]
+        if any(separator in w for w in part):
+            each = [np.array(tok.encode(w, add_special_tokens=False).ids, np.int32) for w in part]
+            flat += each
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+            continue
+        ids = np.array(tok.encode_batch_fast([separator.join(part)], add_special_tokens=False)[0].ids, np.int32)
+        mark = ids == separator_id
+        counts.append(np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(ids)]])) - 1)
+        flat.append(ids[~mark])
+    return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
 
-        self.tok, self.most = Tokenizer.from_file(path), most
+class IdCache:
+    """Pieces to ids. Holds at most about ``most`` pieces; when it is full it starts anew, so memory is bounded and
+    results stay the same."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 900_000):
+        self.learn, self.most = learn, most
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 20, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
-        encoded = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-        n = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        first, total = len(self.index), int(n.sum())
+    def at(self, words: list[str]) -> np.ndarray:
+        """Places of words in ``start`` and ``count``."""
+        new = set(words).difference(self.index)
+        if new:
+            if len(self.index) + len(new) > self.most:
+                self.clear()
+                new = set(words).difference(self.index)
+            self._put(list(new))
+        return np.array(list(map(self.index.__getitem__, words)), np.int64)
+
+    def _put(self, new: list[str]) -> None:
+        flat, n = self.learn(new)
+        first = len(self.index)
         while first + len(new) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.used + total > len(self.flat):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for e in encoded for x in e), np.int32, total)
-        self.start[first : first + len(new)] = self.used + np.concatenate([[0], np.cumsum(n[:-1])]) if len(n) else 0
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[first : first + len(new)] = self.used + np.cumsum(n) - n
         self.count[first : first + len(new)] = n
-        self.used += total
+        self.used += len(flat)
         self.index.update(zip(new, range(first, first + len(new)), strict=True))
 
+    def encode(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as lists of pieces, one after another, and how many each text has."""
+        words = [w for p in parts for w in p]
+        at = self.at(words)
+        n = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])]
+        return gather(self.flat, self.start[at], n), np.diff(ends)
+
+
+class PieceIds:
+    """Ids of whole texts, equal to the tokenizer's, for vocabularies whose pre-tokenizer drops white space, lower-cases
+    and parts letters from the rest.
+
+    A text is cut at spaces and line feeds; no token, normalisation or special string of such a vocabulary spans
+    them. Of a word with one mark after it the word and the mark are looked up apart.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.special = next(iter(self.tok.get_added_tokens_decoder().items()))
+        self.words = IdCache(lambda w: encode_joined(self.tok, w, f" {self.special[1].content} ", self.special[0]))
+        self.cache = IdCache(self._learn)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for w in new:
+            core, tail = (w[:-1], w[-1]) if w[-1] in ".,!?" else (w, "")
+            # below U+0180 lower case is one letter for one, and letters are normalised already
+            parts.append([core.lower(), tail] if core.isalpha() and max(core) < "ƀ" else [w])
+        return self.words.encode(parts)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
-        if len(self.index) > self.most:
-            self.clear()
-        words: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                words += t.replace("\n", " ").split(" ")
-            ends[i + 1] = len(words)
-        if new := set(words).difference(self.index):
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        n = self.count[at].astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.start[at] - before[:-1], n) + np.arange(before[-1])] if len(at) else np.zeros(0, np.int32)
-        return ids, np.diff(before[ends])
+        return self.cache.encode([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+
+
+_loaded: dict[str, PieceIds] = {}
+
+
+def loaded(path: str) -> PieceIds:
+    """One cache for each vocabulary and Python worker."""
+    if path not in _loaded:
+        _loaded[path] = PieceIds(path)
+    return _loaded[path]

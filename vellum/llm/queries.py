@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, prefix_counts, spiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": packing.op1_packing}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op3_sentencepiece": spiece.op3_sentencepiece,
+        "op6_token_counts": prefix_counts.op6_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
