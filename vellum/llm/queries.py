@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, prefix_counts, spiece
+from . import language, packing, prefix_counts, spiece, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op3_sentencepiece": spiece.op3_sentencepiece,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_token_counts": prefix_counts.op6_token_counts,
+        "op8_language_id": language.op8_language_id,
     }
 
 
