@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, prefix_counts, spiece, toxicity
+from . import chat, language, packing, prefix_counts, spiece, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_token_counts": prefix_counts.op6_token_counts,
         "op8_language_id": language.op8_language_id,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
