@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, prefix_counts, spiece, toxicity
+from . import chat, language, packing, prefix_counts, spiece, toxicity, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op3_sentencepiece": spiece.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_webp": webp.op5_webp,
         "op6_token_counts": prefix_counts.op6_token_counts,
         "op8_language_id": language.op8_language_id,
         "op10_chat_format": chat.op10_chat_format,
