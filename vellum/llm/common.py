@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,12 @@ def drop_saved(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver's collector run, so that Spark deletes shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(col: str, n: int) -> F.Column:
     """crc32 of a key as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, prefix_counts, spiece, toxicity, webp
+from . import chat, language, ngram_join, packing, prefix_counts, spiece, toxicity, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_sentencepiece": spiece.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_webp": webp.op5_webp,
