@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, ngram_join, packing, prefix_counts, spiece, suffix_dedup, toxicity, webp
+from . import chat, language, ngram_join, packing, prefix_counts, spiece, suffix_dedup, toxicity, vector_dedup, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": prefix_counts.op6_token_counts,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_language_id": language.op8_language_id,
+        "op9_vector_dedup": vector_dedup.op9_vector_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
