@@ -269,7 +269,12 @@ def groups(stars: DataFrame, chunk: int) -> DataFrame:
     return members.withColumn("side", side).select("node", F.explode(each).alias("g")).select("node", "g.*")
 
 
-def linked(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk: int = 128) -> DataFrame:
+def _placed(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["centre", "a", "b", "side", "node", "tokens"])
+
+
+def linked(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) per row: rows whose sets reach each other by links (similarity >= num / 100)."""
     spark = docs.sparkSession
     bands = Bands(num)
@@ -293,9 +298,18 @@ def linked(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "doc_id", t
             sets, offsets = _sets_of(b, text_col, n, seed)
             key, _ = set_keys(sets, offsets)
             real = np.flatnonzero(key.view(np.int64) == b.column("node").to_numpy())  # not another text of the same id
-            out = [(g["centre"], g["a"], g["b"], g["side"], int(key.view(np.int64)[i]), sets[offsets[i] : offsets[i + 1]].tobytes()) for i, gs in zip(real.tolist(), b.column("groups").take(pa.array(real)).to_pylist(), strict=True) for g in gs]
-            for i in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)], ["centre", "a", "b", "side", "node", "tokens"])
+            out: list[tuple] = []
+            held = 0
+            for i in real.tolist():
+                tokens, node = sets[offsets[i] : offsets[i + 1]].tobytes(), int(key.view(np.int64)[i])
+                for g in b.column("groups")[i].as_py():
+                    out.append((g["centre"], g["a"], g["b"], g["side"], node, tokens))
+                    held += len(tokens) + 64
+                    if held > common.BLOCK_BYTES:
+                        yield _placed(out)
+                        out, held = [], 0
+            if out:
+                yield _placed(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
