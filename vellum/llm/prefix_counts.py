@@ -18,6 +18,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,18 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounts:
     """Counts of all prefixes for one vocabulary file of kind byte-level BPE."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = byte_letters()
         plain = lambda s: bytes(to_byte[c] for c in s)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.ids = {plain(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.longest = max(map(len, self.ids))
+        #: By the last three bytes: the length of the longest token that ends so.
+        self.reach: dict[bytes, int] = {}
+        for t in self.ids:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.rank: dict[tuple[int, int], int] = {}
         #: For each token: (merge rank, outer left part, outer right part), or None for single bytes.
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -99,18 +104,42 @@ class PrefixCounts:
             self.pairs[key] = known
         return known
 
-    def table(self, w: bytes) -> list[int]:
-        """Count of every byte prefix of one pre-token, 0 first."""
-        n, last, ids = [0], [-1], self.ids
-        for i in range(1, len(w) + 1):
-            for j in range(max(0, i - self.longest), i):
+    def _extend(self, w: bytes, n: list[int], last: list[int]) -> None:
+        """Complete the counts and last tokens of w's byte prefixes, of which the first len(n) - 1 are there."""
+        ids, pairs, neighbours, reach = self.ids, self.pairs, self.neighbours, self.reach
+        for i in range(len(n), len(w) + 1):
+            for j in range(max(0, i - reach.get(w[i - 3 : i], 2)) if i > 2 else 0, i):
                 t = ids.get(w[j:i])
-                if t is not None and (last[j] < 0 if not j else self.neighbours(last[j], t)):
+                if t is not None:
+                    if j:
+                        fits = pairs.get(last[j] << 32 | t)
+                        if fits is None:
+                            fits = neighbours(last[j], t)
+                        if not fits:
+                            continue
                     last.append(t)
                     n.append(n[j] + 1)
                     break
+
+    def table(self, w: bytes) -> list[int]:
+        """Count of every byte prefix of one pre-token, 0 first."""
+        n, last = [0], [-1]
+        self._extend(w, n, last)
         return n
 
+    def totals(self, words: list[bytes]) -> list[int]:
+        """Counts of sorted pre-tokens; what a word shares with the one before it isn't computed again."""
+        out, n, last, before = [], [0], [-1], b""
+        for w in words:
+            k, most = 0, min(len(w), len(before))
+            while k < most and w[k] == before[k]:
+                k += 1
+            del n[k + 1 :], last[k + 1 :]
+            self._extend(w, n, last)
+            out.append(n[-1])
+            before = w
+        return out
+
     def _sum(self, text: str) -> int:
         return sum(self.table(p.encode())[-1] for p in self.find(text))
 
@@ -130,8 +159,7 @@ class PrefixCounts:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-            for c in set(rest).difference(known):
-                known[c] = self._sum(f" {c}")
+            self._learn(set(rest).difference(known))
             total = sum(map(known.__getitem__, rest))
         if head not in self.first:
             if len(self.first) > self.most // 10:
@@ -139,6 +167,44 @@ class PrefixCounts:
             self.first[head] = self._sum(head)
         return total + self.first[head]
 
+    def _learn(self, new: set[str]) -> None:
+        """Counts of chunks with the space that leads each; a mark after letters is a pre-token of its own."""
+        known = self.chunk
+        cores = {c[:-1] if c[-1:] in (",", ".") else c for c in new}
+        words = sorted((f" {c}".encode(), c) for c in cores.difference(known) if c.isalpha())
+        known.update(zip((c for _, c in words), self.totals([w for w, _ in words]), strict=True))
+        for c in new.difference(known):
+            core = c[:-1]
+            known[c] = known[core] + 1 if c[-1:] in (",", ".") and core.isalpha() else self._sum(f" {c}")
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of whole texts; only distinct chunks become Python strings."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = texts.to_pylist()
+        alone = [i for i, t in enumerate(plain) if self.odd(t) or any(s in t for s in self.special)]
+        parts = pc.split_pattern(texts, " ")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+        coded = parts.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.chunk
+        if len(known) > self.most:
+            known.clear()
+        self._learn(set(names).difference(known))
+        each = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[at]
+        heads = ends[:-1]
+        each[heads] = 0
+        total = np.diff(np.concatenate([[0], np.cumsum(each)])[ends])
+        for i, k in enumerate(heads.tolist()):
+            if head := names[at[k]]:
+                if head not in self.first:
+                    if len(self.first) > self.most // 10:
+                        self.first.clear()
+                    self.first[head] = self._sum(head)
+                total[i] += self.first[head]
+        for i in alone:
+            total[i] = self.count(plain[i])
+        return total
+
     def counts(self, text: str) -> np.ndarray:
         """Exact count of text[:k] for every k; special strings count once they are complete."""
         out, base, at = np.zeros(len(text) + 1, np.int64), 0, 0
@@ -192,8 +258,9 @@ def n_tokens(text: F.Column, vocabulary: str) -> F.Column:
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        f = loaded(vocabulary).count
-        return pa.array([f(t) for t in texts.to_pylist()], pa.int64())
+        f = loaded(vocabulary).count_all
+        sizes = np.diff(common.raw(texts)[1])
+        return pa.array(np.concatenate([f(texts.slice(i, j - i)) for i, j in common.spans(sizes, 2 * common.BLOCK_BYTES)] or [np.zeros(0, np.int64)]), pa.int64())
 
     return count(text)
 
