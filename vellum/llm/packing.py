@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .pieces import PieceIds
+from .pieces import loaded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CONTRACT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -134,14 +134,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 def _runner(tokenizer, id_col, text_col, window, end_id, chunk, sentence_penalty, hard_penalty, marks) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceIds(tokenizer)
+        cache = loaded(tokenizer)
         size = cache.tok.get_vocab_size()
         is_end = np.zeros(max(size, end_id + 1), bool)
         for word, i in cache.tok.get_vocab().items():
             is_end[i] = word.removesuffix("</w>").endswith(marks)
         packer = Packer(is_end, window, chunk, sentence_penalty, hard_penalty, TaskContext.get().partitionId() << 33)
-        for b in common.blocks(batches, text_col):
-            ids, n = cache.encode(b.column(text_col).to_pylist())
+        for b in common.blocks(batches, text_col, 4 * common.BLOCK_BYTES):
+            ids, n = cache.encode(b.column(text_col))
             ids = np.insert(ids, np.cumsum(n), end_id)
             for rows in packer.add(b.column(id_col).to_pylist(), ids, n + 1):
                 yield _batch(rows, id_col)

@@ -6,6 +6,8 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ class IdCache:
     """Pieces to ids. Holds at most about ``most`` pieces; when it is full it starts anew, so memory is bounded and
     results stay the same."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 900_000):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
         self.learn, self.most = learn, most
         self.clear()
 
@@ -105,8 +107,15 @@ class PieceIds:
             parts.append([core.lower(), tail] if core.isalpha() and max(core) < "ƀ" else [w])
         return self.words.encode(parts)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.encode([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; only distinct pieces become Python strings."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        at = self.cache.at(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        n = self.cache.count[at]
+        sizes = pc.list_value_length(parts).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return gather(self.cache.flat, self.cache.start[at], n), np.diff(ends)
 
 
 _loaded: dict[str, PieceIds] = {}
