@@ -68,16 +68,21 @@ def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_search(x: np.ndarray, links: np.ndarray, least: float, beam: int = 16, steps: int = 200) -> np.ndarray:
-    """Which rows each row's search finds in range (n x n, without the diagonal). ``links``: adjacency (n x n)."""
+def range_search(x: np.ndarray, out_lists: list[list[int]], least: float, beam: int = 12, steps: int = 100, degree: int = 32) -> np.ndarray:
+    """Which rows each row's search finds in range (n x n, without the diagonal). ``out_lists``: neighbours of each
+    row; the greedy search follows the first ``degree`` of them, the expansion in range all, in both directions."""
     n = len(x)
-    count = links.sum(1)
-    degree = int(count.max()) if n else 0
     found = np.zeros((n, n), bool)
+    links = np.zeros((n, n), bool)
+    degree = min(degree, max(map(len, out_lists), default=0))
     if not degree:
         return found
-    order = np.argsort(~links, axis=1, kind="stable")[:, :degree]
-    adj = np.where(np.arange(degree) < count[:, None], order, -1)
+    adj = np.full((n, degree), -1)
+    for i, near in enumerate(out_lists):
+        links[i, near] = True
+        adj[i, : min(degree, len(near))] = near[:degree]
+    links |= links.T
+    np.fill_diagonal(links, False)
     medoid = int((x @ x.mean(0)).argmax())
     q = np.arange(n)
     ids = np.full((n, beam), -1)
@@ -144,7 +149,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return unit(flat.flatten().to_numpy().reshape(len(flat), -1))
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = 512, most_centroids: int = 4096, overlap: int = 2, margin: float = 0.05, degree: int = 24, width: int = 64, chunk: int = 384) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = 512, most_centroids: int = 4096, overlap: int = 2, margin: float = 0.03, degree: int = 24, width: int = 64, chunk: int = 512) -> DataFrame:
     """(id, n_links, component_id) for each row.
 
     ``shard``: nodes of a shard, about. ``most_centroids``: bound of the fitted sample. ``overlap``, ``margin``: a
@@ -166,7 +171,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     total = max(1, sum(sizes.values()))
     share = F.lit(0.0)
     for kind, n in sizes.items():
-        share = F.when(F.col("kind") == kind, min(1.0, 2 * min(n / shard, most_centroids * n / total) / n)).otherwise(share)
+        share = F.when(F.col("kind") == kind, min(1.0, 3 * min(n / shard, most_centroids * n / total) / n)).otherwise(share)
     picked: dict[str, np.ndarray] = {}
     if sizes:
         found = nodes.filter(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1_000_003)) < share * 1_000_003).select("kind", "node", "vector").orderBy("kind", "node").collect()
@@ -213,13 +218,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
             id_, x = t["node"].to_numpy(), _matrix(t["vector"])
             n = len(id_)
             at = {v: i for i, v in enumerate(id_.tolist())}
-            links = np.zeros((n, n), bool)
-            for i, near in enumerate(t["next"].to_pylist()):
-                here = [at[v] for v in near or () if v in at]
-                links[i, here] = True
-            links |= links.T
-            np.fill_diagonal(links, False)
-            found = range_search(x, links, least)
+            found = range_search(x, [[at[v] for v in near or () if v in at] for near in t["next"].to_pylist()], least)
             mine, sides = t["shards"].to_pylist(), t["side"].to_numpy()
             if a != b:
                 found &= sides[:, None] != sides[None, :]
