@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
@@ -174,6 +175,28 @@ class Pieces:
         each = [e.ids for e in self.tok.encode_batch(marked, add_special_tokens=False)]
         return np.array([i for ids in each for i in ids], np.int32), np.fromiter(map(len, each), np.int64, len(each))
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for an Arrow array; where parts are just words after single spaces, only distinct ones become
+        Python strings."""
+        m = self.model
+        if self.cache is None or m.charsmap or m.squeeze or not m.dummy_prefix:
+            return self.encode(texts.to_pylist())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}|\x00").to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words = parts.flatten().dictionary_encode()
+        at = self.cache.at([MARK + w for w in words.dictionary.to_pylist()])[words.indices.to_numpy()]
+        n = self.cache.count[at]
+        ids = gather(self.cache.flat, self.cache.start[at], n)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
+        if not odd.any():
+            return ids, np.diff(ends)
+        other, counts = self.encode(texts.filter(pa.array(odd)).to_pylist())
+        rest = iter(np.split(other, np.cumsum(counts)[:-1]))
+        plain = iter(np.split(ids, ends[1:-1]))
+        each = [next(rest) if o else next(plain) for o in odd.tolist()]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
     def decode_bytes(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each text, without the dummy prefix."""
         n = self.piece_count[ids]
@@ -187,14 +210,12 @@ class Pieces:
         return self.decode_bytes(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
-_loaded: dict[tuple[str, int], Pieces] = {}
-
-
 def loaded(path: str, threads: int = 1) -> Pieces:
     """One for each model and Python worker."""
-    if (path, threads) not in _loaded:
-        _loaded[path, threads] = Pieces(path, threads)
-    return _loaded[path, threads]
+    held = common.kept("spiece")
+    if (path, threads) not in held:
+        held[path, threads] = Pieces(path, threads)
+    return held[path, threads]
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 1, check: bool = True) -> DataFrame:
@@ -207,9 +228,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
-        for b in common.blocks(batches, text_col):
+        for b in common.blocks(batches, text_col, 2 * common.BLOCK_BYTES):
             texts = b.column(text_col).to_pylist()
-            ids, n = own.encode(texts)
+            ids, n = own.encode_array(b.column(text_col))
             ends = np.concatenate([[0], np.cumsum(n)])
             same: list[bool | None] = [None] * len(texts)
             if check:
