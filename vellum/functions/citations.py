@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 _name = r"[A-Z][\w'’-]+"
 _year = r"(?:1[89]|20)\d\d[a-z]?"
@@ -32,7 +33,10 @@ def found(text: str | None) -> list[tuple[int, int, str, str, str]]:
     return sorted(out)
 
 
-@F.udtf(returnType="start int, end int, kind string, authors string, years string")
+_row = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), *(StructField(n, StringType()) for n in ("kind", "authors", "years"))])
+
+
+@F.udtf(returnType=_row)
 class Citations:
     """Table function: the citations of a text."""
 

@@ -38,10 +38,10 @@ def zones(texts: Iterable[str | None]) -> list[str]:
         if not boxes:
             if at < 3 and _back.match(t) and at >= 2:
                 at = 3
-            elif at < 2 and _body.match(t):
-                at = 2
             elif at < 1 and _front.match(t):
                 at = 1
+            elif at < 2 and _body.match(t):
+                at = 2
         out.append(boxes[-1] if boxes else ZONES[at])
     return out
 
