@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class Lexicon:
         if word in self.seen:
             return self.seen[word]
         out = self._match(word)
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > 300_000:
             self.seen.clear()
         self.seen[word] = out
         return out
@@ -171,20 +172,17 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        key = tuple(self.terms)
-        if _lexicons.get("key") != key:
-            _lexicons.update(key=key, lexicon=Lexicon(self.terms))
-        z = features(texts, _lexicons["lexicon"]) @ self.weights[:-1] + self.weights[-1]
+        key, held = tuple(self.terms), common.kept("toxicity")
+        if held.get("key") != key:
+            held.update(key=key, lexicon=Lexicon(self.terms))
+        z = features(texts, held["lexicon"]) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-_lexicons: dict = {}
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, entries: int = 400, least_ratio: float = 40.0, stems: tuple[int, ...] = (5, 6)) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, entries: int = 400, least_ratio: float = 40.0, stems: tuple[int, ...] = (4, 5, 6, 7, 8)) -> Scorer:
     """Fit on ``docs`` joined with ``labels`` by id.
 
-    ``most``: labelled rows that teach, a hash sample of about that many (the bound of the fitted sample; its ids are
+    Of copies one teaches. ``most``: labelled rows that may, a hash sample of about that many (the bound of the fitted sample; its ids are
     broadcast). ``entries``: most terms of the lexicon, the best first. ``least_ratio``: how much more often toxic
     texts have a term. ``stems``: lengths of the stems that may enter it.
     """
@@ -192,7 +190,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = labels.count()
     if n > most:
         labels = labels.filter((F.xxhash64(F.col(id_col).cast("string"), F.lit(4)) % 1_000_003 + 1_000_003) % 1_000_003 < int(most / n * 1_000_003))
-    sample = docs.select(id_col, text_col).join(F.broadcast(labels), id_col).select(text_col, "__label")
+    sample = docs.select(id_col, text_col).join(F.broadcast(labels), id_col)
+
+    @F.arrow_udf("long")
+    def kin(texts: pa.Array) -> pa.Array:
+        """Least hash of a text's words: copies, and most near copies, share it."""
+        return pa.array([min(map(crc32, {w.encode() for w in _word.findall((t or "").lower())}), default=-1) for t in texts.to_pylist()], pa.int64())
+
+    # copies of one text would make its every word a sign of its label: one of each kin teaches
+    one = sample.select(id_col, "__label", kin(text_col).alias("__kin")).groupBy("__kin", "__label").agg(F.min(id_col).alias(id_col))
+    one = common.saved(one.select(id_col, "__label"), "toxic-sample")
+    sample = docs.select(id_col, text_col).join(F.broadcast(one), id_col).select(text_col, "__label")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, docs_in = Counter(), Counter(), [0, 0]
@@ -215,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         common.drop_saved(counted)
         return Scorer(constant=n_toxic / max(1, n_toxic + n_clean))
     rate = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
-    found = counted.filter((F.col("term") != "") & (rate >= least_ratio) & (F.col("t") >= max(4, n_toxic // 250))).orderBy(F.desc("t"), "term").limit(entries).collect()
+    # chance that a term without meaning is as one-sided, times all terms that a sample can have, stays far below 1
+    share = n_toxic / (n_toxic + n_clean)
+    chance = F.col("t") * float(np.log(share)) + F.when(F.col("c") > 0, F.col("c") * (1 + F.log((F.col("t") + F.col("c")) / F.col("c")))).otherwise(0.0)
+    found = counted.filter((F.col("term") != "") & (rate >= least_ratio) & (chance < -float(np.log(1e6)))).orderBy(F.desc("t"), "term").limit(entries).collect()
     chosen: dict[str, bool] = {}
     for t in sorted((r["term"] for r in found), key=lambda t: (not t.endswith("*"), t)):
         if t.endswith("*"):
@@ -234,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.array([r.tolist() for r in features(texts.to_pylist(), lexicon)], pa.list_(pa.float64()))
 
     rows = sample.select(seen(text_col).alias("x"), "__label").toPandas()
+    common.drop_saved(one)
     return Scorer(chosen, logistic(np.array(rows["x"].tolist()), rows["__label"].to_numpy(float)), None)
 
 
