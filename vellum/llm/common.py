@@ -13,7 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; numpy temporaries are some tens of times as large.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+
+
+#: Tables that Python workers keep from task to task, by the operator that fills them.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """This worker's table of one operator. Another operator's task in the same worker empties it first, so that what
+    different operators keep doesn't add up."""
+    for name, held in _kept.items():
+        if name != owner:
+            held.clear()
+    return _kept.setdefault(owner, {})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +146,7 @@ class Rolling:
     @classmethod
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls._powers) < n:
-            m = max(n, BLOCK_BYTES + 1024)
+            m = max(n, (BLOCK_BYTES >> 1) + 1024)
             out = []
             for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
                 p, w = np.ones(m, np.uint64), 1

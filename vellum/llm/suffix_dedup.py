@@ -12,8 +12,11 @@ strings share; consecutive strings of one anchor form a segment, about one for 7
 
 1. Segments meet by their anchor's bucket. If a whole segment occurs twice, all its strings are repeats; if only its
    anchor does, it needs refinement; most drop out.
-2. Strings of the segments left are refined inside each block, and met by their last bucket over all blocks.
-3. Each text removes the union of its repeated strings.
+2. The segments left are taken out of the texts. Each is cut into ranges of eight strings, aligned to the anchor. What
+   all strings of such a range share (its core) is their bucket now: ranges meet by it, and the question is the same as
+   for segments. Most are settled: the range is a repeat, or its core is single.
+3. Strings of the ranges left are refined inside each block, and met by their last bucket over all blocks.
+4. Each text removes the union of its repeated strings.
 
 Before each meeting a block sends a bucket once however often it has it, so a passage that a third of all texts
 share costs a row for each block. What comes back to a text are facts on content ("this bucket is repeated"), true
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,45 +42,50 @@ from .common import mix
 
 U64 = np.uint64
 GRAM = 64
+#: Bytes of text of a block.
+BLOCK = 1 << 20
+#: Strings of a range.
+RANGE = 8
 
 
-class Block:
-    """Segments of a block of texts."""
+class Segments:
+    """Segments of strings over some bytes: first and last string, anchor, owner, bucket and hash of the whole."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
-        self.data, self.offsets, self.width = data, offsets, width
+    def __init__(self, data: np.ndarray, width: int):
+        common.kept("suffix_dedup")
+        self.data, self.width = data, width
         self.grams = common.Rolling(data)
-        gram = self.gram = self.grams.width(GRAM)
-        size = np.diff(offsets)
-        starts = np.maximum(size - width + 1, 0)
-        valid = np.zeros(len(data) + 1, np.int32)
-        np.add.at(valid, offsets[:-1], (starts > 0).astype(np.int32))
-        np.add.at(valid, offsets[:-1] + starts, -(starts > 0).astype(np.int32))
-        at = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
-        self.key = self.whole = np.zeros(0, U64)
-        if not len(at):
-            return
-        # least gram of each string, the leftmost of equals: one minimum finds both
-        low = (gram & U64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=U64)
-        span, have = width - GRAM + 1, 1
-        while have < span:
-            step = min(have, span - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
-            have += step
-        anchor = (low[at] & U64(0xFFFFFFFF)).astype(np.int64)
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
-        i = np.flatnonzero(new)
-        self.first, self.last = at[i], at[np.append(i[1:], len(at)) - 1]
-        anchor = anchor[i]
-        self.doc = np.searchsorted(offsets, self.first, "right") - 1
-        self.key = gram[anchor]
-        self.whole = mix(self.grams.of(self.first, self.last + width) + (anchor - self.first).astype(U64) * U64(0x9E6C63D0876A9A47)) | U64(1)
-
-    def strings(self, chosen: np.ndarray) -> np.ndarray:
-        """Positions of the strings of the chosen segments."""
-        first, n = self.first[chosen], (self.last - self.first + 1)[chosen]
+        self.gram = self.grams.width(GRAM)
+
+    def set(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> None:
+        self.first, self.last, self.anchor, self.doc = first, last, anchor, doc
+        self.key = self.gram[anchor] if len(anchor) else np.zeros(0, U64)
+        self.whole = self.hashed(first, last, anchor - first)
+
+    def hashed(self, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Odd hash of all bytes of the strings first ... last, and of where they are with regard to the anchor."""
+        if not len(first):
+            return np.zeros(0, U64)
+        return mix(self.grams.of(first, last + self.width) + place.astype(U64) * U64(0x9E6C63D0876A9A47)) | U64(1)
+
+    def ranges(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first, last, owner, core, whole) of the ranges of the chosen segments."""
+        first, last, anchor, doc = self.first[chosen], self.last[chosen], self.anchor[chosen], self.doc[chosen]
+        low = (anchor - last) // RANGE
+        n = (anchor - first) // RANGE - low + 1
+        before = np.cumsum(n) - n
+        r = np.repeat(low - before, n) + np.arange(int(n.sum()))
+        a = np.repeat(anchor, n)
+        core = a - RANGE * r  # the last string that a range can have starts here
+        lo, hi = np.maximum(np.repeat(first, n), core - RANGE + 1), np.minimum(np.repeat(last, n), core)
+        if not len(lo):
+            return lo, hi, lo, np.zeros(0, U64), np.zeros(0, U64)
+        key = mix(self.grams.of(core, core - RANGE + 1 + self.width) + r.astype(U64))
+        return lo, hi, np.repeat(doc, n), key, self.hashed(lo, hi, a - lo)
+
+    def positions(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """All of first ... last, one after another."""
+        n = last - first + 1
         before = np.cumsum(n) - n
         return np.repeat(first - before, n) + np.arange(int(n.sum()))
 
@@ -109,6 +118,50 @@ class Block:
         return _ranks(out)
 
 
+class Block(Segments):
+    """Segments of whole texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
+        super().__init__(data, width)
+        self.offsets = offsets
+        size = np.diff(offsets)
+        starts = np.maximum(size - width + 1, 0)
+        valid = np.zeros(len(data) + 1, np.int32)
+        np.add.at(valid, offsets[:-1], (starts > 0).astype(np.int32))
+        np.add.at(valid, offsets[:-1] + starts, -(starts > 0).astype(np.int32))
+        at = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
+        if not len(at):
+            self.set(at, at, at, at)
+            return
+        # least gram of each string, the leftmost of equals: one minimum finds both
+        low = (self.gram & U64(0xFFFFFFFF00000000)) | np.arange(len(self.gram), dtype=U64)
+        span, have = width - GRAM + 1, 1
+        while have < span:
+            step = min(have, span - have)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            have += step
+        anchor = (low[at] & U64(0xFFFFFFFF)).astype(np.int64)
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+        i = np.flatnonzero(new)
+        first = at[i]
+        self.set(first, at[np.append(i[1:], len(at)) - 1], anchor[i], np.searchsorted(offsets, first, "right") - 1)
+
+
+class Extract(Segments):
+    """Segments that were taken out of their texts: packed rows of TAKEN."""
+
+    def __init__(self, b: pa.RecordBatch, width: int):
+        data, _ = common.raw(b.column("data"))
+        super().__init__(data, width)
+        size, place = (np.frombuffer(common.raw(b.column(c))[0].tobytes(), np.int32).astype(np.int64) for c in ("size", "place"))
+        n = np.diff(common.raw(b.column("size"))[1]) // 4
+        first = np.cumsum(size) - size
+        self.set(first, first + size - width, first + place, np.repeat(np.arange(b.num_rows), n))
+
+
+TAKEN = "row long, place binary, size binary, data binary"
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1]
 
@@ -126,9 +179,10 @@ def _packed(part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatc
 
 
 SENT = "part int, fact boolean, key binary, whole binary, row binary"
-FACTS = "row long, kind int, keys binary"
-#: Kinds of facts: a repeated segment, a repeated anchor, a repeated string.
-SEGMENT, ANCHOR, STRING = range(3)
+FACTS = "part int, row binary, kind binary, keys binary"
+#: Kinds of facts: a repeated segment, an anchor of different segments, the same for ranges and cores, a repeated string.
+SEGMENT, ANCHOR, WHOLE, CORE, STRING = range(5)
+KIND_NAMES = ["segments", "anchors", "wholes", "cores", "strings"]
 
 
 def _groups(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -155,24 +209,57 @@ def _sent(block_number: int, parts: int, key: np.ndarray, whole: np.ndarray, row
     k, w, r = key[first], np.where(mixed, U64(0), whole)[first], np.where(mixed, np.int64(0), row)[first]
     yield _packed(((k >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), parts, k, w, r)
     if again.any() or mixed.any():
-        fact = np.concatenate([whole[again], key[mixed]])
+        fact = np.concatenate([(key if kinds[0] == STRING else whole)[again], key[mixed]])
         kind = np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()])
         rows = np.concatenate([row[again], row[mixed]])
-        yield pa.RecordBatch.from_arrays([pa.array([block_number % parts], pa.int32()), pa.array([True]), *(pa.array([x.tobytes()], pa.binary()) for x in (fact, kind, rows))], ["part", "fact", "key", "whole", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array([(1009 * TaskContext.get().partitionId() + block_number) % parts], pa.int32()), pa.array([True]), *(pa.array([x.tobytes()], pa.binary()) for x in (fact, kind, rows))], ["part", "fact", "key", "whole", "row"])
+
+
+def _facts(fact: np.ndarray, kind: np.ndarray, row: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of FACTS: for each part of the rows their facts' bytes."""
+    part = (common.mix(row.view(U64)) >> U64(32)) * U64(parts) >> U64(32)
+    order = np.lexsort((fact, kind, row, part))
+    part, fact, kind, row = part[order].astype(np.int64), fact[order], kind[order], row[order]
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(ends))
+    cut = lambda x: pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in used], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cut(row), cut(kind.astype(np.uint8)), cut(fact)], ["part", "row", "kind", "keys"])
 
 
-def _facts(fact: np.ndarray, kind: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of FACTS, one for each row and kind."""
-    order = np.lexsort((fact, kind, row))
-    fact, kind, row = fact[order], kind[order], row[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])]) if len(row) else np.zeros(0, bool)
-    ends = np.append(np.flatnonzero(new), len(row))
-    for i in range(0, len(ends) - 1, 20_000):
-        e = ends[i : i + 20_001]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row[e[:-1]]), pa.array(kind[e[:-1]].astype(np.int32)), pa.array([np.unique(fact[a:z]).tobytes() for a, z in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)], pa.binary())],
-            ["row", "kind", "keys"],
-        )
+def _by_row(facts: DataFrame, parts: int, kinds: list[int]) -> DataFrame:
+    """One row for each text that has facts of these kinds: row, and for each kind the keys' bytes (null: none)."""
+    names = [KIND_NAMES[k] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found, keys = [], [], []
+        for b in batches:
+            for r, k, f in zip(b.column("row"), b.column("kind"), b.column("keys"), strict=True):
+                k = np.frombuffer(k.as_buffer(), np.uint8)
+                use = np.isin(k, kinds)
+                if use.any():
+                    rows.append(np.frombuffer(r.as_buffer(), np.int64)[use])
+                    found.append(k[use])
+                    keys.append(np.frombuffer(f.as_buffer(), U64)[use])
+        if not rows:
+            return
+        row, kind, key = np.concatenate(rows), np.concatenate(found), np.concatenate(keys)
+        order = np.lexsort((key, kind, row))
+        row, kind, key = row[order], kind[order], key[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
+        row, kind, key = row[new], kind[new], key[new]
+        one = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        ids = row[one]
+        for i in range(0, len(ids), 2000):
+            part = ids[i : i + 2000]
+            cols = [pa.array(part)]
+            for k in kinds:
+                mine = kind == k
+                lo, hi = np.searchsorted(row[mine], part), np.searchsorted(row[mine], part, "right")
+                own = key[mine]
+                cols.append(pa.array([own[x:y].tobytes() if y > x else None for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["row", *names])
+
+    return facts.repartitionById(parts, F.col("part")).mapInArrow(run, "row long, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _meeting(sent: DataFrame, parts: int, kinds: tuple[int, int]) -> DataFrame:
@@ -185,7 +272,7 @@ def _meeting(sent: DataFrame, parts: int, kinds: tuple[int, int]) -> DataFrame:
             for is_fact, k, w, r in zip(known, b.column("key"), b.column("whole"), b.column("row"), strict=True):
                 k, r = np.frombuffer(k.as_buffer(), U64), np.frombuffer(r.as_buffer(), np.int64)
                 if is_fact:
-                    yield from _facts(k, np.frombuffer(w.as_buffer(), np.uint8), r)
+                    yield _facts(k, np.frombuffer(w.as_buffer(), np.uint8), r, parts)
                 else:
                     keys.append(k)
                     wholes.append(np.frombuffer(w.as_buffer(), U64))
@@ -199,15 +286,14 @@ def _meeting(sent: DataFrame, parts: int, kinds: tuple[int, int]) -> DataFrame:
         _, mixed, many, again = _groups(key, whole)
         asks = many & (whole != 0)
         again, mixed = again & asks, mixed & asks
-        yield from _facts(np.concatenate([whole[again], key[mixed]]), np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()]), np.concatenate([row[again], row[mixed]]))
+        yield _facts(np.concatenate([(key if kinds[0] == STRING else whole)[again], key[mixed]]), np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()]), np.concatenate([row[again], row[mixed]]), parts)
 
     return sent.repartitionById(parts, F.col("part")).mapInArrow(run, FACTS)
 
 
 def _known(b: pa.RecordBatch, kind: str) -> np.ndarray:
-    """Distinct keys of a column of lists of packed keys."""
-    parts = [np.frombuffer(x.as_buffer(), U64) for x in b.column(kind).flatten() if x.is_valid]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+    """Distinct keys of a column of packed keys."""
+    return np.unique(np.frombuffer(common.raw(b.column(kind))[0].tobytes(), U64))
 
 
 def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -218,8 +304,8 @@ def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with dedup_kept (the bytes left), dedup_bytes, dedup_removed and dedup_spans
-    (maximal removed runs)."""
+    """All rows and columns of ``docs``, with dedup_kept (the bytes left), dedup_text (those that are whole characters),
+    dedup_bytes, dedup_removed and dedup_spans (maximal removed runs)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # content facts come back by this key; where two rows share one, each gets true facts of the other besides its own
@@ -227,40 +313,67 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     texts = docs.select(row.alias("row"), F.col(text_col).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(common.blocks(batches, "text")):
+        for number, b in enumerate(common.blocks(batches, "text", BLOCK)):
             block = Block(*common.raw(b.column("text")), width)
             yield from _sent(number, parts, block.key, block.whole, b.column("row").to_numpy()[block.doc], (SEGMENT, ANCHOR))
 
     found = common.saved(_meeting(texts.mapInArrow(anchors, SENT), parts, (SEGMENT, ANCHOR)), "repeat-segments")
     common.forget(spark)
-    pick = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("keys")))
-    by_row = lambda facts, **kinds: facts.groupBy("row").agg(*(pick(v).alias(k) for k, v in kinds.items()))
-    joined = texts.join(by_row(found, segments=SEGMENT, anchors=ANCHOR).filter(F.size("anchors") > 0), "row")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, "text", BLOCK):
+            block = Block(*common.raw(b.column("text")), width)
+            # segments that are repeats as a whole stay in: others may share a piece of them
+            chosen = np.flatnonzero(_in(block.key, _known(b, "anchors")))
+            doc, size = block.doc[chosen], (block.last - block.first)[chosen] + width
+            place = (block.anchor - block.first)[chosen].astype(np.int32)
+            data = block.data[block.positions(block.first[chosen], block.last[chosen] + width - 1)] if len(chosen) else block.data[:0]
+            ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            stop = np.concatenate([[0], np.cumsum(size)])
+            cut_ = lambda x, e: pa.array([x[i:j].tobytes() for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), cut_(place, ends), cut_(size.astype(np.int32), ends), cut_(data, stop[ends])], ["row", "place", "size", "data"])
+
+    some = _by_row(found, parts, [ANCHOR])
+    taken = common.saved(texts.join(some, "row").select("row", "text", "anchors").mapInArrow(take, TAKEN), "repeat-taken")
+    common.forget(spark)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in enumerate(common.blocks(batches, "data", BLOCK)):
+            x = Extract(b, width)
+            _, _, doc, core, whole = x.ranges(np.arange(len(x.first)))
+            yield from _sent(number, parts, core, whole, b.column("row").to_numpy()[doc], (WHOLE, CORE))
+
+    met = common.saved(_meeting(taken.mapInArrow(ranges, SENT), parts, (WHOLE, CORE)), "repeat-ranges")
+    common.forget(spark)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(common.blocks(batches, "text")):
-            block = Block(*common.raw(b.column("text")), width)
-            # segments that are repeats as a whole take part too: others may share a piece of them
-            at = block.strings(_in(block.key, _known(b, "anchors")))
-            rows = b.column("row").to_numpy()[np.searchsorted(block.offsets, at, "right") - 1]
-            key = block.bucket(at, block.refined(at))
-            yield from _sent(number, parts, key, key, rows, (STRING, STRING))
-
-    met = _meeting(joined.select("row", "text", "segments", "anchors").mapInArrow(strings, SENT), parts, (STRING, STRING))
-    met = common.saved(met, "repeat-strings")
+        for number, b in enumerate(common.blocks(batches, "data", BLOCK)):
+            x = Extract(b, width)
+            lo, hi, doc, core, _ = x.ranges(np.arange(len(x.first)))
+            left = _in(core, _known(b, "cores"))
+            at = x.positions(lo[left], hi[left])
+            rows = b.column("row").to_numpy()[np.repeat(doc[left], (hi - lo + 1)[left])]
+            key = x.bucket(at, x.refined(at))
+            yield from _sent(number, parts, key, np.ones(len(at), U64), rows, (STRING, STRING))
+
+    mixed = taken.join(_by_row(met, parts, [CORE]), "row").select("row", "place", "size", "data", "cores")
+    last = common.saved(_meeting(mixed.mapInArrow(strings, SENT), parts, (STRING, STRING)), "repeat-strings")
+    common.drop_saved(taken)
+    del mixed, taken
     common.forget(spark)
-    facts = by_row(found.unionByName(met), segments=SEGMENT, anchors=ANCHOR, strings=STRING)
+    facts = _by_row(found.unionByName(met).unionByName(last), parts, kinds := [SEGMENT, ANCHOR, WHOLE, STRING])
     names = docs.columns
-    full = docs.withColumn("dedup_row", row).join(facts.select(F.col("row").alias("dedup_row"), F.col("segments").alias("dedup_segments"), F.col("anchors").alias("dedup_anchors"), F.col("strings").alias("dedup_strings")), "dedup_row", "left").drop("dedup_row")
+    full = docs.withColumn("dedup_row", row).join(facts.select(F.col("row").alias("dedup_row"), *(F.col(KIND_NAMES[k]).alias(f"dedup_{KIND_NAMES[k]}") for k in kinds)), "dedup_row", "left").drop("dedup_row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text_col):
+        for b in common.blocks(batches, text_col, BLOCK):
             block = Block(*common.raw(b.column(text_col)), width)
-            segments, known = _known(b, "dedup_segments"), _known(b, "dedup_anchors")
-            whole = _in(block.whole, segments)
+            whole = _in(block.whole, _known(b, "dedup_segments"))
             start = np.zeros(len(block.data) + 1, np.int64)
-            start[1:][block.strings(whole)] = 1
-            at = block.strings(_in(block.key, known) & ~whole)
+            start[1:][block.positions(block.first[whole], block.last[whole])] = 1
+            lo, hi, _, _, all_ = block.ranges(np.flatnonzero(_in(block.key, _known(b, "dedup_anchors")) & ~whole))
+            repeated = _in(all_, _known(b, "dedup_wholes"))
+            start[1:][block.positions(lo[repeated], hi[repeated])] = 1
+            at = block.positions(lo[~repeated], hi[~repeated])
             if len(at):
                 start[1:][at[_in(block.bucket(at), _known(b, "dedup_strings"))]] = 1
             total = np.cumsum(start)
@@ -271,12 +384,12 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
             begin[heads] = gone[heads]
             per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets])
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(np.diff(block.offsets)), pa.array(per(gone)), pa.array(per(begin))],
-                [*names, "dedup_kept", "dedup_bytes", "dedup_removed", "dedup_spans"],
+                [*(b.column(c) for c in names), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(np.diff(block.offsets)), pa.array(per(gone)), pa.array(per(begin))],
+                [*names, "dedup_kept", "dedup_text", "dedup_bytes", "dedup_removed", "dedup_spans"],
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return full.mapInArrow(cut, f"{schema}, dedup_kept binary, dedup_bytes long, dedup_removed long, dedup_spans long")
+    return full.mapInArrow(cut, f"{schema}, dedup_kept binary, dedup_text string, dedup_bytes long, dedup_removed long, dedup_spans long")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
