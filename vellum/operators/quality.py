@@ -102,7 +102,7 @@ def signature(df: DataFrame, doc: Sequence[str], order: Sequence[str], parts: Se
 
 def token_loss(df: DataFrame, before: Column, after: Column) -> DataFrame:
     """Distinct tokens and lines that ``after`` lacks, and the loss in percent: distinct missing tokens over all tokens."""
-    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     # each array once: the counts below read columns, not expressions that would be evaluated again
     # as hashes: set operations on arrays of longs take a hash set, those on strings compare each with each
     hashed = lambda a: F.transform(a, lambda x: F.xxhash64(x))
