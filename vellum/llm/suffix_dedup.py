@@ -207,7 +207,8 @@ def _sent(block_number: int, parts: int, key: np.ndarray, whole: np.ndarray, row
     key, whole, row = key[order], whole[order], row[order]
     first, mixed, _, again = _groups(key, whole)
     k, w, r = key[first], np.where(mixed, U64(0), whole)[first], np.where(mixed, np.int64(0), row)[first]
-    yield _packed(((k >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), parts, k, w, r)
+    # mixed anew: anchors are least hashes, so their own high bits are all small
+    yield _packed(((mix(k) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), parts, k, w, r)
     if again.any() or mixed.any():
         fact = np.concatenate([(key if kinds[0] == STRING else whole)[again], key[mixed]])
         kind = np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()])
