@@ -6,7 +6,6 @@ packed pieces. Stages depend on one another's decisions: models and corpus facts
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +34,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur elsewhere go from the texts; what is left of a character cut apart goes too."""
-
-    @F.arrow_udf("string")
-    def whole(kept: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
-
     out = suffix_dedup.deduplicated(docs)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col("dedup_removed") > 0, whole("dedup_kept")).otherwise(F.col("text")))
-    out = out.withColumn("text", text)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("dedup_text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

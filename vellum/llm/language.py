@@ -94,19 +94,20 @@ class Centroids:
 
     def __call__(self, texts: pa.Array, sharpness: float = 12.0) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
+        common.kept("language")
         size = np.zeros(len(texts), np.int64)
         best_lang = np.zeros(len(texts), np.int64)
         score, reject = np.zeros(len(texts)), np.ones(len(texts), bool)
         names = sorted(set(self.langs))
         member = np.array([[lang == x for x in names] for lang in self.langs])
         data, offsets = common.raw(texts)
-        for i, j in common.spans(np.diff(offsets), common.BLOCK_BYTES // 2):
+        for i, j in common.spans(np.diff(offsets)):
             part = offsets[i : j + 1]
             size[i:j] = np.diff(part)
             if not names:
                 continue
-            for a in range(i, j, 512):
-                o = offsets[a : min(a + 512, j) + 1]
+            for a in range(i, j, 128):
+                o = offsets[a : min(a + 128, j) + 1]
                 x = vectors(gram_counts(data[o[0] : o[-1]], o - o[0]), self.idf)
                 cos = x @ self.centroids.T
                 by_lang = np.stack([cos[:, member[:, m]].max(1) for m in range(len(names))], 1)
@@ -139,11 +140,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return Centroids()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("language")
         df, n = np.zeros(DIMS, np.int64), 0
-        for b in common.blocks(batches, text_col, common.BLOCK_BYTES // 2):
+        for b in common.blocks(batches, text_col):
             data, offsets = common.raw(b.column(text_col))
-            for a in range(0, b.num_rows, 512):
-                o = offsets[a : a + 513]
+            for a in range(0, b.num_rows, 128):
+                o = offsets[a : a + 129]
                 df += (gram_counts(data[o[0] : o[-1]], o - o[0]) > 0).sum(0)
             n += b.num_rows
         if n:
@@ -162,10 +164,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def centroids(t: pa.Table) -> pa.Table:
         x, size = [], []
-        for b in common.blocks(iter(t.select([text_col]).combine_chunks().to_batches()), text_col, common.BLOCK_BYTES // 2):
+        for b in common.blocks(iter(t.select([text_col]).combine_chunks().to_batches()), text_col):
             data, offsets = common.raw(b.column(text_col))
-            for a in range(0, b.num_rows, 512):
-                o = offsets[a : a + 513]
+            for a in range(0, b.num_rows, 128):
+                o = offsets[a : a + 129]
                 x.append(vectors(gram_counts(data[o[0] : o[-1]], o - o[0]), idf))
             size.append(np.diff(offsets))
         v = np.concatenate(x)

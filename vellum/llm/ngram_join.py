@@ -196,6 +196,7 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], cross:
 
 
 def _sets_of(b: pa.RecordBatch, text_col: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    common.kept("ngram_join")
     data, offsets = common.raw(b.column(text_col))
     return shingles(data, offsets, n, seed)
 

@@ -40,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounts:
     """Counts of all prefixes for one vocabulary file of kind byte-level BPE."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = byte_letters()
@@ -243,14 +243,12 @@ class PrefixCounts:
         return int(np.flatnonzero(self.counts(text) <= budget)[-1])
 
 
-_loaded: dict[str, PrefixCounts] = {}
-
-
 def loaded(path: str) -> PrefixCounts:
     """One table for each vocabulary and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = PrefixCounts(path)
-    return _loaded[path]
+    held = common.kept("prefix_counts")
+    if path not in held:
+        held[path] = PrefixCounts(path)
+    return held[path]
 
 
 def n_tokens(text: F.Column, vocabulary: str) -> F.Column:

@@ -156,6 +156,8 @@ class Pieces:
             joining.add_special_tokens([AddedToken(self.SEPARATOR, normalized=False)])
             sep = joining.token_to_id(self.SEPARATOR)
             self.cache = IdCache(lambda w: encode_joined(joining, w, self.SEPARATOR, sep))
+            #: The same for words that a single space leads, without their marker.
+            self.words = IdCache(lambda w: encode_joined(joining, [MARK + x for x in w], self.SEPARATOR, sep))
             self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         else:
             self.cache = None
@@ -184,16 +186,12 @@ class Pieces:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}|\x00").to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        words = parts.flatten().dictionary_encode()
-        at = self.cache.at([MARK + w for w in words.dictionary.to_pylist()])[words.indices.to_numpy()]
-        n = self.cache.count[at]
-        ids = gather(self.cache.flat, self.cache.start[at], n)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
+        ids, n = self.words.encode_array(parts.flatten(), pc.list_value_length(parts).to_numpy())
         if not odd.any():
-            return ids, np.diff(ends)
+            return ids, n
         other, counts = self.encode(texts.filter(pa.array(odd)).to_pylist())
         rest = iter(np.split(other, np.cumsum(counts)[:-1]))
-        plain = iter(np.split(ids, ends[1:-1]))
+        plain = iter(np.split(ids, np.cumsum(n)[:-1]))
         each = [next(rest) if o else next(plain) for o in odd.tolist()]
         return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 

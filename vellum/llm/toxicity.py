@@ -194,8 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     @F.arrow_udf("long")
     def kin(texts: pa.Array) -> pa.Array:
-        """Least hash of a text's words: copies, and most near copies, share it."""
-        return pa.array([min(map(crc32, {w.encode() for w in _word.findall((t or "").lower())}), default=-1) for t in texts.to_pylist()], pa.int64())
+        """Least hash of a text's four-word shingles: copies, and most near copies, share it, other texts don't."""
+
+        def least(text: str | None) -> int:
+            w = _word.findall((text or "").lower())
+            return min(crc32(" ".join(w[i : i + 4]).encode()) for i in range(max(1, len(w) - 3)))
+
+        return pa.array([least(t) for t in texts.to_pylist()], pa.int64())
 
     # copies of one text would make its every word a sign of its label: one of each kin teaches
     one = sample.select(id_col, "__label", kin(text_col).alias("__kin")).groupBy("__kin", "__label").agg(F.min(id_col).alias(id_col))
