@@ -177,3 +177,18 @@ def reference_zone_end(df: DataFrame, doc: Names, pos: Names, hit: Column, strea
     df = df.withColumn("__misses", misses)
     ended = F.coalesce(F.bool_or(F.col("__misses") >= streak).over(so_far(doc, pos)), F.lit(False))
     return df.withColumn("in_zone", ~ended & (F.col("__hits") > 0)).drop("__hits", "__misses")
+
+
+def between(df: DataFrame, doc: Names, pos: Names, opens: Column, closes: Column) -> DataFrame:
+    """Rows inside open and close rows (both kept), by the running balance; nested ones count as inside."""
+    w = so_far(doc, pos)
+    opened = F.sum(F.when(opens, 1).otherwise(0)).over(w)
+    closed = F.sum(F.when(closes, 1).otherwise(0)).over(before(doc, pos))
+    return df.withColumn("__open", opened - F.coalesce(closed, F.lit(0))).filter(F.col("__open") > 0).drop("__open")
+
+
+def unexpected_levels(df: DataFrame, doc: Names, pos: Names, level: str) -> DataFrame:
+    """Headings whose next outer level never came before: ``missing`` is that level, else null."""
+    seen = F.collect_set(level).over(before(doc, pos))
+    need = F.col(level) - 1
+    return df.withColumn("missing", F.when((need >= 1) & ~F.array_contains(seen, need), need))
