@@ -192,3 +192,23 @@ def unexpected_levels(df: DataFrame, doc: Names, pos: Names, level: str) -> Data
     seen = F.collect_set(level).over(before(doc, pos))
     need = F.col(level) - 1
     return df.withColumn("missing", F.when((need >= 1) & ~F.array_contains(seen, need), need))
+
+
+def reference_zone(df: DataFrame, doc: Names, pos: Names, heading: Column, secondary: Column, like: Column, streak: int = 15, hits: int = 3) -> DataFrame:
+    """``in_zone``: rows of a document's list of references.
+
+    It starts after the first heading; without one, after a secondary heading in the last quarter that at least 3 of
+    the next 5 rows bear out. After ``hits`` rows that read like references it ends where ``streak`` others in a row
+    are complete."""
+    whole = Window.partitionBy(*cols(doc))
+    w = ordered(doc, pos)
+    df = df.withColumns({"__r": F.row_number().over(w), "__n": F.count(F.lit(1)).over(whole), "__like": F.coalesce(like, F.lit(False)), "__head": F.coalesce(heading, F.lit(False))})
+    df = df.withColumn("__late", F.coalesce(secondary, F.lit(False)) & (F.col("__r") > 0.75 * F.col("__n")) & (F.coalesce(F.sum(F.col("__like").cast("int")).over(w.rowsBetween(1, 5)), F.lit(0)) >= 3))
+    first = lambda c: F.min(F.when(F.col(c), F.col("__r"))).over(whole)
+    df = df.withColumn("__start", F.coalesce(first("__head"), first("__late")))
+    df = df.withColumn("__in", F.coalesce(F.col("__r") > F.col("__start"), F.lit(False)))
+    df = df.withColumn("__hits", F.sum((F.col("__in") & F.col("__like")).cast("int")).over(so_far(doc, pos)))
+    misses = F.row_number().over(Window.partitionBy(*cols(doc), "__in", "__hits").orderBy(*cols(pos))) - F.col("__like").cast("int")
+    df = df.withColumn("__done", F.col("__in") & (F.col("__hits") >= hits) & (misses >= streak))
+    ended = F.coalesce(F.bool_or("__done").over(so_far(doc, pos)), F.lit(False))
+    return df.withColumn("in_zone", F.col("__in") & ~ended).drop("__r", "__n", "__like", "__head", "__late", "__start", "__in", "__hits", "__done")
