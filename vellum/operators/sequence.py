@@ -208,7 +208,7 @@ def reference_zone(df: DataFrame, doc: Names, pos: Names, heading: Column, secon
     df = df.withColumn("__start", F.coalesce(first("__head"), first("__late")))
     df = df.withColumn("__in", F.coalesce(F.col("__r") > F.col("__start"), F.lit(False)))
     df = df.withColumn("__hits", F.sum((F.col("__in") & F.col("__like")).cast("int")).over(so_far(doc, pos)))
-    misses = F.row_number().over(Window.partitionBy(*cols(doc), "__in", "__hits").orderBy(*cols(pos))) - F.col("__like").cast("int")
+    misses = F.row_number().over(Window.partitionBy(*cols(doc), "__in", "__hits").orderBy(*cols(pos))) - 1  # the first row of such a group is the hit
     df = df.withColumn("__done", F.col("__in") & (F.col("__hits") >= hits) & (misses >= streak))
     ended = F.coalesce(F.bool_or("__done").over(so_far(doc, pos)), F.lit(False))
     return df.withColumn("in_zone", F.col("__in") & ~ended).drop("__r", "__n", "__like", "__head", "__late", "__start", "__in", "__hits", "__done")
