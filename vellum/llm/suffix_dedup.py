@@ -250,13 +250,12 @@ def _by_row(facts: DataFrame, parts: int, kinds: list[int]) -> DataFrame:
         row, kind, key = row[new], kind[new], key[new]
         one = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         ids = row[one]
+        each = [(row[kind == k], key[kind == k]) for k in kinds]
         for i in range(0, len(ids), 2000):
             part = ids[i : i + 2000]
             cols = [pa.array(part)]
-            for k in kinds:
-                mine = kind == k
-                lo, hi = np.searchsorted(row[mine], part), np.searchsorted(row[mine], part, "right")
-                own = key[mine]
+            for rows_of, own in each:
+                lo, hi = np.searchsorted(rows_of, part), np.searchsorted(rows_of, part, "right")
                 cols.append(pa.array([own[x:y].tobytes() if y > x else None for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["row", *names])
 
