@@ -52,3 +52,13 @@ def test_overlay_against_characters(spark):
     df = spark.createDataFrame(rows, "doc string, s int, e int, v string, p int")
     got = {(r["doc"], r["s"], r["e"], r["v"]) for r in spans.overlay(df, ["doc"], "s", "e", "v", "p").collect()}
     assert got == {("a", 0, 5, "x"), ("a", 5, 8, "y"), ("a", 8, 12, "x"), ("b", 3, 4, "z")}
+
+
+def test_lists_and_numbers(spark):
+    rows = [(1, "KT-BL-FIRST", 0, True, "BODY"), (2, "NL-LAST", 0, True, "BODY"), (3, "TXT", 1, True, "BODY"), (4, "TXT", 1, True, "TABLE"), (5, "BL2-MID", 1, True, None), (6, "TXT", None, False, "BODY")]
+    df = spark.createDataFrame(rows, "i int, tag string, xml_list_level int, has_bullet boolean, zone string").withColumns({"has_numbering": F.lit(False), "has_xml_list": F.lit(False), "list_style_prefix": F.lit(None).cast("string")})
+    assert [r["tag"] for r in stages.kept_lists(df).orderBy("i").collect()] == ["KT-BL-FIRST", "BL-LAST", "BL2-MID", "TXT", "BL2-MID", "TXT"]
+    rows = [("d", 1, "TXT", "EXERCISE", "1. What?"), ("d", 2, "odd", "BODY", "plain"), ("d", 3, "TXT", "BACK_MATTER", "(2) Smith"), ("d", 4, "REF-U", "BACK_MATTER", "3) Jones"), ("e", 1, "QUES-TTL", "BODY", "Questions"), ("e", 2, "TXT", "BODY", "Q1. Why?"), ("f", 1, "TXT", "BODY", "1. Alone"), ("g", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "doc string, pos int, tag string, zone string, text string")
+    got = [(r["doc"], r["pos"], r["tag"]) for r in stages.question_numbers(df, "doc", "pos", {"odd": "EVEN"}).orderBy("doc", "pos").collect()]
+    assert got == [("d", 1, "QUES-NL-MID"), ("d", 2, "EVEN"), ("d", 3, "REF-N"), ("d", 4, "REF-U"), ("e", 1, "QUES-TTL"), ("e", 2, "QUES-NL-MID"), ("f", 1, "TXT"), ("g", 1, None)]

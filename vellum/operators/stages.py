@@ -210,3 +210,46 @@ def first_matching(df: DataFrame, text: str, rules: list[tuple[int, str, str]],
     for _, pattern, tag in sorted(rules, reverse=True):
         out = F.when(F.col(text).rlike(pattern), tag).otherwise(out)
     return df.withColumn("tag", out)
+
+
+def lock_numbered_references(df: DataFrame, doc: seq.Names, pos: seq.Names, in_zone: str) -> DataFrame:
+    """Numbered rows of the zone of references (a boolean column, see ``sequence.reference_zone``) become REF-N."""
+    return locked(df, F.col(in_zone) & F.col("text").rlike(r"^\s*(\[\d+\]|\(\d+\)|\d+[.)])\s"), F.lit("REF-N"))
+
+
+def kept_lists(df: DataFrame) -> DataFrame:
+    """List tags after a model: family and level as the source has them, the model's position where it gave one, and a
+    prefix of its tag if the rest fits. Tables and references stay as they are."""
+    want = F.when(~F.col("zone").eqNullSafe("TABLE") & ~F.col("zone").eqNullSafe("REFERENCE"), list_tag())
+    tag = F.coalesce("tag", F.lit(""))
+    base = F.regexp_replace(want, "-MID$", "")
+    position = F.nullif(F.regexp_extract(tag, "-(FIRST|MID|LAST)$", 1), F.lit(""))
+    exact = F.concat(base, F.lit("-"), position)
+    fits = (tag == want) | (tag == exact) | F.endswith(tag, F.concat(F.lit("-"), exact))
+    new = F.when(F.coalesce(fits, F.lit(False)), F.col("tag")).otherwise(F.coalesce(exact, want))
+    hit = want.isNotNull() & ~new.eqNullSafe(F.col("tag"))
+    return df.withColumns({"original_tag": F.when(hit, F.col("tag")), "list_preserved": hit, "tag": F.when(hit, new).otherwise(F.col("tag"))})
+
+
+#: Starts of question tags, and tags that numbered questions and references may keep.
+QUESTION_STARTS = ("QUES-", "REV-QUES-", "EXER-", "CS-QUES-", "BX1-QUES-")
+QUESTION_TAGS = ("QUES-NL-FIRST", "QUES-NL-MID", "QUES-NL-LAST", "REV-QUES-NL-FIRST", "REV-QUES-NL-MID", "REV-QUES-NL-LAST")
+REFERENCE_TAGS = ("REF-N", "REF-N0", "REF-N-FIRST", "REF-U")
+
+
+def question_numbers(df: DataFrame, doc: seq.Names, pos: seq.Names, aliases: dict[str, str], reach: int = 10) -> DataFrame:
+    """Numbered rows of exercises (by zone, or by question tags within ``reach`` rows) and of back matter get question
+    and reference tags; other rows their alias."""
+    starts = lambda c: F.array_contains(F.array(*(F.startswith(c, F.lit(q)) for q in QUESTION_STARTS)), True)
+    tag = F.coalesce("tag", F.lit(""))
+    df = df.withColumns({"__own": F.coalesce(table_of(aliases)[tag], tag), "__near": seq.neighbour_exists(starts(tag), doc, pos, reach)})
+    own = F.col("__own")
+    numbered = F.coalesce(F.col("text").rlike(r"(?i)^\s*(?:Q\d+\.\s|\d+\.\s|\(\d+\)\s|\d+\)\s)"), F.lit(False))
+    reference = F.col("zone").eqNullSafe("BACK_MATTER")
+    question = F.col("zone").eqNullSafe("EXERCISE") | (~reference & (F.col("__near") | starts(own)))
+    new = (
+        F.when(numbered & question, F.when(~own.isin(*QUESTION_TAGS), "QUES-NL-MID"))
+        .when(numbered & reference, F.when(~own.isin(*REFERENCE_TAGS), "REF-N"))
+        .when(own != tag, own)
+    )
+    return repaired(df, new, "number-or-alias", ",").drop("__own", "__near")
