@@ -25,9 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (four-word shingles, similarity 0.85 or more) the document with the least
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the least
     doc_id stays; of repeated rows one."""
-    kept = ngram_join.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    kept = ngram_join.linked(docs, n=5, num=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
     docs = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return docs.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 

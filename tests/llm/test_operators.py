@@ -74,12 +74,12 @@ def test_packing_is_optimal():
         assert cost(packing.cuts(place, pen, 12).tolist()) == best[-1]
 
 
-def brute_links(rows: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+def brute_links(rows: dict[int, str | None], n: int = 4, num: int = 85) -> dict[int, tuple[int, int]]:
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for k, t in rows.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets[k] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     root = {k: k for k in sets}
 
     def find(x):
@@ -89,15 +89,16 @@ def brute_links(rows: dict[int, str | None]) -> dict[int, tuple[int, int]]:
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and sets[b]:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) and sets[b]:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
 def test_ngram_join(docs, none):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs).collect()}
-    assert got == {(k, *v) for k, v in brute_links(dict(enumerate(texts()))).items()}
+    for n, num in ((4, 85), (5, 80), (2, 95)):
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs, n, num).collect()}
+        assert got == {(k, *v) for k, v in brute_links(dict(enumerate(texts())), n, num).items()}
     assert ngram_join.linked(none).count() == 0
 
 
@@ -112,8 +113,9 @@ def test_ngram_join_near_copies(spark):
             w[r.randrange(150)] = f"x{r.randrange(1000)}"
         rows[k] = " ".join(w)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(df, chunk=16).collect()}
-    assert got == brute_links(rows)
+    for n, num in ((4, 85), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(df, n, num, chunk=16).collect()}
+        assert got == brute_links(rows, n, num)
 
 
 def test_sketches_bound_the_difference():

@@ -107,7 +107,12 @@ class Bands:
         self.bounds = np.array(b, np.int64)
         top = self.bounds[1:] - 1
         self.diff = self.most(top, top)
-        self.slack = np.where(self.diff > 0, np.maximum(1, self.diff // 16), 0)
+        # slack for half as many empty blocks again as the band's smallest sets have on average
+        least, slack = np.maximum(1, self.bounds[:-1] * num // 100), np.ones(len(top))
+        for _ in range(30):
+            blocks = self.diff + 1 + slack
+            slack = np.clip(1.5 * blocks * np.exp(-least / blocks), 1, self.diff + 1)
+        self.slack = np.where(self.diff > 0, np.ceil(slack), 0).astype(np.int64)
         self.blocks = self.diff + 1 + self.slack
 
     def most(self, a, b):
@@ -275,7 +280,7 @@ def _placed(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["centre", "a", "b", "side", "node", "tokens"])
 
 
-def linked(docs: DataFrame, n: int = 4, num: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) per row: rows whose sets reach each other by links (similarity >= num / 100)."""
     spark = docs.sparkSession
     bands = Bands(num)
