@@ -12,8 +12,9 @@ keeps each bit's parity, so two sketches differ in at most as many bits as the s
 3. Nodes that share a block join the cluster of the least node of that block's bucket. So a bucket of m nodes yields
    m - 1 rows, and each linked pair meets in a cluster. Large clusters are cut into chunks, and each pair of chunks is
    a task's group of its own.
-4. In a group, pairs with fitting sizes whose sketches differ in at most D bits are verified on the full sets. Pairs
-   that links found so far connect already are left out; the group gives a spanning forest of its links.
+4. Groups get small parity sketches first. Pairs with fitting sizes whose sketches differ in at most D bits are
+   candidates; only members of candidates send their full sets to the group, and there pairs are verified. Pairs that
+   links found so far connect already are left out; the group gives a spanning forest of its links.
 5. Components of all these links.
 
 No pair is lost, no bucket capped. Null and empty texts: an empty set, linked with nothing. Fewer words than n: one
@@ -168,6 +169,47 @@ def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out.view(U64)
 
 
+def sketch_bits(most_apart: int) -> int:
+    """Bits that tell sets with a difference of at most ``most_apart`` from unrelated ones."""
+    return min(1 << 16, max(512, 1 << int(4 * most_apart).bit_length()))
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (last axis) of fewer words: the parities of what falls together."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def candidates(size: np.ndarray, sketch: list[np.ndarray], side: np.ndarray, cross: bool, bands: Bands) -> np.ndarray:
+    """Which members of a group have a partner that their sketches don't rule out."""
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    words = np.array([len(sketch[i]) for i in order])
+    hit = np.zeros(len(size), bool)
+    for w in np.unique(words):
+        rows = np.flatnonzero(words >= w)  # larger sets have sketches at least as long
+        table = np.stack([folded(sketch[order[i]], int(w)) for i in rows])
+        for k, i in enumerate(rows.tolist()):
+            if words[i] != w:
+                continue
+            stop = int(np.searchsorted(size[rows], size[i] * 100 // bands.num, "right"))
+            near = np.arange(k + 1, stop)
+            if cross:
+                near = near[side[rows[near]] != side[i]]
+            if not len(near):
+                continue
+            apart = np.bitwise_count(table[near] ^ table[k]).sum(1)
+            near = near[apart <= bands.most(size[rows[near]], size[i])]
+            if len(near):
+                hit[i] = True
+                hit[rows[near]] = True
+    out = np.zeros(len(size), bool)
+    out[order] = hit
+    return out
+
+
 def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], cross: bool, bands: Bands) -> list[tuple[int, int]]:
     """A spanning forest of the links of a group; ``cross``: only between members of different sides."""
     m = len(ids)
@@ -275,9 +317,27 @@ def groups(stars: DataFrame, chunk: int) -> DataFrame:
     return members.withColumn("side", side).select("node", F.explode(each).alias("g")).select("node", "g.*")
 
 
+PLACED = "centre long, a int, b int, side int, node long, size int, data binary"
+
+
 def _placed(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["centre", "a", "b", "side", "node", "tokens"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in PLACED.split(", ")])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], dict[int, tuple[int, int, bytes]]]]:
+    """(centre, a, b) and the members' (side, size, data) of each group, of sorted rows."""
+    held: dict[int, tuple[int, int, bytes]] = {}
+    now = None
+    for b in batches:
+        for *key, side, node, size, data in zip(*(b.column(f.split()[0]).to_pylist() for f in PLACED.split(", ")), strict=True):
+            if key != now:
+                if now:
+                    yield now, held
+                now, held = key, {}
+            held[node] = (side, size, data)
+    if now:
+        yield now, held
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
@@ -295,52 +355,62 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
         common.drop_saved(rows)
     own = own.select("node", "least")
     stars = common.saved(buckets(docs, id_col, text_col, n, seed, bands), "shingle-stars")
-    where = groups(stars, chunk).groupBy("node").agg(F.collect_list(F.struct("centre", "a", "b", "side")).alias("groups"))
+    at = ["centre", "a", "b", "side"]
+    gathered = lambda rows: rows.groupBy("node").agg(F.collect_list(F.struct(*at)).alias("groups"))
     # one text of each node that has company
-    wanted = own.join(where, "node").select(F.col("least").alias(id_col), "node", "groups")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text_col):
-            sets, offsets = _sets_of(b, text_col, n, seed)
-            key, _ = set_keys(sets, offsets)
-            real = np.flatnonzero(key.view(np.int64) == b.column("node").to_numpy())  # not another text of the same id
-            out: list[tuple] = []
-            held = 0
-            for i in real.tolist():
-                tokens, node = sets[offsets[i] : offsets[i + 1]].tobytes(), int(key.view(np.int64)[i])
-                for g in b.column("groups")[i].as_py():
-                    out.append((g["centre"], g["a"], g["b"], g["side"], node, tokens))
-                    held += len(tokens) + 64
-                    if held > common.BLOCK_BYTES:
-                        yield _placed(out)
-                        out, held = [], 0
-            if out:
-                yield _placed(out)
+    texts = lambda rows: docs.join(own.join(gathered(rows), "node").select(F.col("least").alias(id_col), "node", "groups"), id_col)
+
+    def place(whole: bool):
+        """Kernel: a row for each group of a node, with its set or with its sketch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in common.blocks(batches, text_col):
+                sets, offsets = _sets_of(b, text_col, n, seed)
+                key, _ = set_keys(sets, offsets)
+                real = np.flatnonzero(key.view(np.int64) == b.column("node").to_numpy())  # not another text of the same id
+                out: list[tuple] = []
+                held = 0
+                for i in real.tolist():
+                    own_set, node = sets[offsets[i] : offsets[i + 1]], int(key.view(np.int64)[i])
+                    data = own_set.tobytes() if whole else sketches([own_set], sketch_bits(int(bands.most(len(own_set), len(own_set)))))[0].tobytes()
+                    for g in b.column("groups")[i].as_py():
+                        out.append((g["centre"], g["a"], g["b"], g["side"], node, len(own_set), data))
+                        held += len(data) + 64
+                        if held > common.BLOCK_BYTES:
+                            yield _placed(out)
+                            out, held = [], 0
+                if out:
+                    yield _placed(out)
+
+        return run
+
+    def meet(rows: DataFrame, whole: bool) -> DataFrame:
+        return texts(rows).mapInArrow(place(whole), PLACED).repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _groups(batches):
+            if len(held) < 2:
+                continue
+            ids = list(held)
+            keep = candidates(np.array([held[i][1] for i in ids]), [np.frombuffer(held[i][2], U64) for i in ids], np.array([held[i][0] for i in ids]), key[1] != key[2], bands)
+            left = [i for i, k in zip(ids, keep.tolist(), strict=True) if k]
+            if left:
+                m = len(left)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array([key[0]] * m, pa.int64()), *(pa.array(x, pa.int32()) for x in ([key[1]] * m, [key[2]] * m, [held[i][0] for i in left]))], ["node", *at])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        held: dict[int, tuple[int, np.ndarray]] = {}
-        now = None
-
-        def close() -> None:
+        for key, held in _groups(batches):
             if len(held) > 1:
                 ids = list(held)
-                out.extend(links_within(ids, [held[i][1] for i in ids], [held[i][0] for i in ids], now[1] != now[2], bands))
-
-        for b in batches:
-            for *key, side, node, tokens in zip(*(b.column(c).to_pylist() for c in ("centre", "a", "b", "side", "node", "tokens")), strict=True):
-                if key != now:
-                    if now:
-                        close()
-                    now, held = key, {}
-                held[node] = (side, np.frombuffer(tokens, U64))
-        if now:
-            close()
+                out += links_within(ids, [np.frombuffer(held[i][2], U64) for i in ids], [held[i][0] for i in ids], key[1] != key[2], bands)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    placed = docs.join(wanted, id_col).mapInArrow(place, "centre long, a int, b int, side int, node long, tokens binary")
-    edges = common.saved(placed.repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b").mapInArrow(compare, "u long, v long"), "shingle-links")
+    left = common.saved(meet(groups(stars, chunk), whole=False).mapInArrow(sift, "node long, centre long, a int, b int, side int"), "shingle-candidates")
+    common.forget(spark)
+    edges = common.saved(meet(left, whole=True).mapInArrow(compare, "u long, v long"), "shingle-links")
+    common.forget(spark)
     roots = components(edges)
     named = own.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = common.saved(named, "shingle-roots")
