@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -23,12 +24,27 @@ _kept: dict[str, dict] = {}
 def kept(owner: str) -> dict:
     """This worker's table of one operator. Another operator's task in the same worker empties it first, so that what
     different operators keep doesn't add up."""
-    for name, held in _kept.items():
-        if name != owner:
-            held.clear()
+    stale = [held for name, held in _kept.items() if name != owner and held]
+    for held in stale:
+        held.clear()
+    _calls[0] += 1
+    if stale or _calls[0] % 32 == 1:
+        give_back()
     return _kept.setdefault(owner, {})
 
 
+_calls = [0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: pools and the C library keep it otherwise, and idle workers add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark (the folder may be in any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,9 +67,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session has the default of 10,000 rows for an Arrow batch, 2,000 keep workers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/vellum/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -50,7 +50,7 @@ class IdCache:
     same.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_200_000):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
         self.learn, self.most = learn, most
         self.clear()
 
