@@ -340,7 +340,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], dict
         yield now, held
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512) -> DataFrame:
     """(id, n_shingles, component_id) per row: rows whose sets reach each other by links (similarity >= num / 100)."""
     spark = docs.sparkSession
     bands = Bands(num)
