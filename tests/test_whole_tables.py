@@ -11,6 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 #: What narrows the registered SQL, and what stands in its place.
 WHOLE = {
+    "coverage_check": (" WHERE doc_id % 10 = 3", ""),
+    "script_pages": (" WHERE doc_id % 4 < 2", ""),
     "term_scan": (" WHERE doc_id % 5 = 1", ""),
 }
 
