@@ -1,5 +1,7 @@
 """Queries whose registered SQL covers a part of the rows, against that SQL over all of them; queries without SQL against brute force."""
 
+from difflib import SequenceMatcher
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -32,3 +34,16 @@ def test_all_rows(spark, name):
     cur = con.execute(plans.SQL[name].replace(part, whole))
     columns = [c[0] for c in cur.description]
     assert rows(plans.QUERIES[name](spark, FOLDER).select(columns).collect()) == rows(cur.fetchall())
+
+
+def test_near_duplicates(spark, tmp_path):
+    """First lines that differ, are short, or are all that is alike; lengths of 63 and 64; two languages; two sources."""
+    long = " ".join(f"word{i} of number {i * 7 % 31}" for i in range(60))
+    even = "abcdefghij klmnopqrst uvwxyzabcd efghijklmn opqrstuvwx yzabcdefg"[:63]
+    texts = [f"A title\n{long}", f"Another heading\n{long}", f"A title\n{long[::-1]}", even, even + "h", f"x\n{long}", "", "", f"A title\n{long}", "A title", "A titel"]
+    whole = [(i, t, "de" if i == 5 else "en", "s2" if i == 8 else "s1") for i, t in enumerate(texts)]
+    spark.createDataFrame(whole, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, docs in ((str(tmp_path), whole), (FOLDER, [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source").collect()])):
+        got = plans.QUERIES["near_duplicates"](spark, folder).collect()
+        want = [(a, b, r) for (a, x, _, s), (b, y, _, t) in combinations(sorted(docs), 2) if s == t and (r := SequenceMatcher(None, x, y).ratio()) > 0.85]
+        assert rows(got) == rows(want) and got
