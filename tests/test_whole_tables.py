@@ -14,8 +14,10 @@ FOLDER = "/root/testdata/sf0.001"
 #: What narrows the registered SQL, and what stands in its place.
 WHOLE = {
     "coverage_check": (" WHERE doc_id % 10 = 3", ""),
+    "majority_vote": (" WHERE n_chars < 600", " WHERE doc_id % 20 = 0"),
     "script_pages": (" WHERE doc_id % 4 < 2", ""),
     "term_scan": (" WHERE doc_id % 5 = 1", ""),
+    "tfidf_topk": (" WHERE n_chars < 600", " WHERE doc_id % 20 = 0"),
 }
 
 
