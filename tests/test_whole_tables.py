@@ -49,3 +49,22 @@ def test_near_duplicates(spark, tmp_path):
         got = plans.QUERIES["near_duplicates"](spark, folder).collect()
         want = [(a, b, r) for (a, x, _, s), (b, y, _, t) in combinations(sorted(docs), 2) if s == t and (r := SequenceMatcher(None, x, y).ratio()) > 0.85]
         assert rows(got) == rows(want) and got
+
+
+def test_greedy_align(spark, tmp_path):
+    """Turns that share an opening of 200 letters and differ after it, and turns that differ only in it."""
+    head, other = "An opening that many turns share. " * 6, "Quite 1 different & wholly new start? " * 6
+    tails = [" ".join(f"{w}{i}" for i in range(150)) for w in ("first", "second", "third")]
+    users, bots = [head + tails[0], head + tails[1], head + tails[2]], [head + tails[1], other + tails[2], "x"]
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", (users, bots)[i % 2][i // 2]) for i in range(6)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for folder, all_turns in ((str(tmp_path), turns), (FOLDER, [tuple(r) for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()])):
+        want, used = [], set()
+        for c, p, role, t in sorted(all_turns, key=lambda r: r[:2]):
+            found = [(r, -q, q) for k, q, _, u in all_turns if role == "user" and k == c and (k, q) not in used and (r := SequenceMatcher(None, t, u + ".").ratio()) >= 0.85]
+            if found:
+                r, _, q = max(found)
+                used.add((c, q))
+                want.append((c, p, q, r))
+        got = plans.QUERIES["greedy_align"](spark, folder).collect()
+        assert rows(got) == rows(want) and got
