@@ -181,6 +181,28 @@ def test_automaton_against_brute_force():
         assert (got is None) == (best[0] > 1) and (got is None or (got[1], got[0]) == best)
 
 
+def test_lexicon_against_brute_force():
+    """What the quick test lets through: every word within one edit of a term, or with a beginning within one of a stem."""
+
+    def edited(t: str, letters: str) -> set[str]:
+        cuts = [(t[:i], t[i:]) for i in range(len(t) + 1)]
+        return {t} | {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
+
+    r = random.Random(6)
+    for letters, n in (("abcdefghij", 12), ("abc", 4)):
+        terms = {"".join(r.choice(letters) for _ in range(r.randint(5, 9))): i % 2 == 0 for i in range(n)}
+        lexicon = toxicity.Lexicon(terms)
+        near = {t: edited(t, letters + "jabc") for t in terms}
+        words = {w + rest for t in terms for w in near[t] for rest in ("", "jab", "c")} | {"".join(r.choice(letters) for _ in range(r.randint(3, 12))) for _ in range(2000)}
+        for w in words:
+            exact = any(w.startswith(t) if stem else w == t for t, stem in terms.items())
+            close = any(not near[t].isdisjoint(w[:k] for k in range(1, len(w) + 1)) if stem else w in near[t] for t, stem in terms.items())
+            got = lexicon.match(w)
+            assert (got and got[1]) == (0 if exact else 1 if close else None), w
+    lexicon = toxicity.Lexicon({"trash": False, "idiot": False, "clown": True, "moron": True})
+    assert [lexicon.match(w) for w in ("tarsh", "iidot", "colwnish", "mroons")] == [("trash", 1), ("idiot", 1), ("clown", 1), ("moron", 1)]
+
+
 def test_webp_known_files():
     # fixed values: two well-known one-pixel files
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[0]]

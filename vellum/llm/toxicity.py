@@ -77,7 +77,8 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """A trie with a quick test in front: within one edit, a term's first or its second half is intact."""
+    """A trie with a quick test in front: within one edit, a term's first or its second half is intact, or the letters on
+    both sides of its middle are swapped. Stems are found in longer words too."""
 
     terms: dict[str, bool] = field(default_factory=dict)
     fuzzy_from: int = 5
@@ -85,12 +86,18 @@ class Lexicon:
     def __post_init__(self):
         self.trie = Trie(self.terms)
         self.exact = {n: {t for t in self.terms if len(t) == n} for n in {len(t) for t in self.terms}}
-        long = [t for t in self.terms if len(t) >= self.fuzzy_from and not self.terms[t]]
-        self.fuzzy = Trie({t: False for t in long})
-        self.heads = {t[: len(t) // 2] for t in long}
-        self.tails = {t[len(t) // 2 :] for t in long}
+        long = [t for t in self.terms if len(t) >= self.fuzzy_from]
+        stems = [t for t in long if self.terms[t]]
+        self.fuzzy = Trie({t: self.terms[t] for t in long})
+        half = {t: len(t) // 2 for t in long}
+        self.heads = {t[: half[t]] for t in long} | {t[: half[t] - 1] + t[half[t]] for t in long}
+        self.tails = {t[half[t] :] for t in long if not self.terms[t]}
+        # after one edit before it, a stem's second half stands at most one place away from its own
+        self.inner = {(half[t] + d, t[half[t] :]) for t in stems for d in (-1, 0, 1)}
         self.head_sizes, self.tail_sizes = ({len(x) for x in y} for y in (self.heads, self.tails))
-        self.sizes = {len(t) + d for t in long for d in (-1, 0, 1)}
+        self.inner_spans = {(at, len(x)) for at, x in self.inner}
+        self.sizes = {len(t) + d for t in long if not self.terms[t] for d in (-1, 0, 1)}
+        self.open_from = min((len(t) - 1 for t in stems), default=1 << 62)
         self.seen: dict[str, tuple[str, int] | None] = {}
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -110,10 +117,17 @@ class Lexicon:
         plain = word.translate(_disguise) if not word.isalpha() else word
         if plain != word and (m := self._match(plain)) is not None:
             return m[0], max(1, m[1])
-        if len(word) in self.sizes and (any(plain[:n] in self.heads for n in self.head_sizes) or any(plain[-n:] in self.tails for n in self.tail_sizes)):
+        if (len(word) in self.sizes or len(word) >= self.open_from) and self._may(plain):
             return self.fuzzy.search(plain, 1)
         return None
 
+    def _may(self, word: str) -> bool:
+        return (
+            any(word[:n] in self.heads for n in self.head_sizes)
+            or any(word[-n:] in self.tails for n in self.tail_sizes)
+            or any((at, word[at : at + n]) in self.inner for at, n in self.inner_spans)
+        )
+
 
 #: What a text is scored by.
 FEATURES = ["exact", "misspelled", "quoted", "exact_share", "misspelled_share", "distinct", "any"]
@@ -241,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         t = r["term"]
         if t.endswith("*") and any(w.startswith(t[:-1]) and n >= 0.8 * r["t"] for w, n in full.items()):
             chosen.pop(t[:-1], None)
-    chosen |= {w: False for w in full if not any(w[:k] in chosen for k in stems)}
+    # a stem stands for the words under it where it is long enough to be found misspelled
+    chosen |= {w: False for w in full if not any(k >= Lexicon.fuzzy_from and w[:k] in chosen for k in stems)}
     common.drop_saved(counted)
     lexicon = Lexicon(chosen)
 
