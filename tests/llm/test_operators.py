@@ -203,6 +203,17 @@ def test_lexicon_against_brute_force():
     assert [lexicon.match(w) for w in ("tarsh", "iidot", "colwnish", "mroons")] == [("trash", 1), ("idiot", 1), ("clown", 1), ("moron", 1)]
 
 
+def test_lexicon_keeps_every_term(spark):
+    """120 words of ten toxic texts each, with their stems six times as many entries."""
+    r = random.Random(8)
+    bad = sorted({"".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(120)})
+    dealt = [b for _ in range(10) for b in r.sample(bad, len(bad))]
+    rows = [(i, " ".join([r.choice(WORDS) + str(r.randrange(30)) for _ in range(12)] + dealt[5 * i : 5 * i + 5]), int(5 * i < len(dealt))) for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.Lexicon(toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).terms)
+    assert len(bad) == 120 and [b for b in bad if lexicon.match(b) is None] == []
+
+
 def test_webp_known_files():
     # fixed values: two well-known one-pixel files
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[0]]

@@ -193,12 +193,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, entries: int = 400, least_ratio: float = 40.0, stems: tuple[int, ...] = (4, 5, 6, 7, 8)) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least_ratio: float = 40.0, stems: tuple[int, ...] = (4, 5, 6, 7, 8)) -> Scorer:
     """Fit on ``docs`` joined with ``labels`` by id.
 
     Of copies one teaches. ``most``: labelled rows that may, a hash sample of about that many (the bound of the fitted sample; its ids are
-    broadcast). ``entries``: most terms of the lexicon, the best first. ``least_ratio``: how much more often toxic
-    texts have a term. ``stems``: lengths of the stems that may enter it.
+    broadcast). ``least_ratio``: how much more often toxic texts have a term. ``stems``: lengths of the stems that may
+    enter the lexicon. It holds every term that passes; the sample bounds their number.
     """
     labels = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     n = labels.count()
@@ -245,16 +245,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # chance that a term without meaning is as one-sided, times all terms that a sample can have, stays far below 1
     share = n_toxic / (n_toxic + n_clean)
     chance = F.col("t") * float(np.log(share)) + F.when(F.col("c") > 0, F.col("c") * (1 + F.log((F.col("t") + F.col("c")) / F.col("c")))).otherwise(0.0)
-    found = counted.filter((F.col("term") != "") & (rate >= least_ratio) & (chance < -float(np.log(1e6)))).orderBy(F.desc("t"), "term").limit(entries).collect()
+    found = counted.filter((F.col("term") != "") & (rate >= least_ratio) & (chance < -float(np.log(1e6)))).collect()
     chosen: dict[str, bool] = {}
     for t in sorted((r["term"] for r in found), key=lambda t: (not t.endswith("*"), t)):
         if t.endswith("*"):
             chosen[t[:-1]] = True
     full = {r["term"]: r["t"] for r in found if not r["term"].endswith("*")}
+    most_of: Counter = Counter()  # texts of the most frequent word under each beginning
+    for w, n in full.items():
+        for k in stems:
+            if len(w) >= k:
+                most_of[w[:k]] = max(most_of[w[:k]], n)
     for r in found:  # a stem that only one whole word explains is that word
         t = r["term"]
-        if t.endswith("*") and any(w.startswith(t[:-1]) and n >= 0.8 * r["t"] for w, n in full.items()):
+        if t.endswith("*") and most_of[t[:-1]] >= max(1, 0.8 * r["t"]):
             chosen.pop(t[:-1], None)
+    # nor does a stem add to a shorter one that is found misspelled as well
+    chosen = {t: stem for t, stem in chosen.items() if not any(Lexicon.fuzzy_from <= k < len(t) and t[:k] in chosen for k in stems)}
     # a stem stands for the words under it where it is long enough to be found misspelled
     chosen |= {w: False for w in full if not any(k >= Lexicon.fuzzy_from and w[:k] in chosen for k in stems)}
     common.drop_saved(counted)
