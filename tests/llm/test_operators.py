@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +430,13 @@ def test_chat(spark):
         if w["window"] and w["conv_id"] % 2:
             assert turns[0][0] == "system" and turns[0][2]
     assert chat.digest(chat.formatted(df.limit(0), path)).count() == 0
+
+
+def test_language_rejects_by_distance(spark):
+    """One garbage text with a language lowers the bar for no other."""
+    r = random.Random(12)
+    known = {"a": "the house stands near a river and many people walk there every morning".split(), "b": "das haus steht am fluss und viele leute gehen dort jeden morgen vorbei".split()}
+    garbage = ["".join(r.choice("bcdfghjklmnpqrstvwxz    ") for _ in range(300)) for _ in range(41)]
+    rows = [(i, " ".join(r.choice(known["ab"[i % 2]]) for _ in range(55)), "ab"[i % 2]) for i in range(300)]
+    fitted = language.fit(spark.createDataFrame(rows + [(300, garbage[0], "a")], "doc_id long, text string, lang string"), clusters=1)
+    assert all(fitted(pa.array(garbage[1:]))[2]) and not any(fitted(pa.array([t for _, t, _ in rows]))[2])

@@ -85,12 +85,12 @@ def size_class(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """A fitted model: languages of the centroids, centroids, weights, least usual cosine by size class."""
+    """A fitted model: languages of the centroids, centroids, weights, least usual cosine by language (in order) and size class."""
 
     langs: list[str] = field(default_factory=list)
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), np.float32))
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIMS, np.float32))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(21))
+    least: np.ndarray = field(default_factory=lambda: np.zeros((0, 21)))
 
     def __call__(self, texts: pa.Array, sharpness: float = 12.0) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
@@ -115,7 +115,7 @@ class Centroids:
                 e = np.exp(sharpness * (by_lang - by_lang.max(1, keepdims=True)))
                 s = slice(a, a + len(o) - 1)
                 best_lang[s], score[s] = top, e.max(1) / e.sum(1)
-                reject[s] = by_lang.max(1) < self.least[size_class(np.diff(o))]
+                reject[s] = by_lang.max(1) < self.least[top, size_class(np.diff(o))]
         out = []
         for k, t in enumerate(texts):
             text = t.as_py()
@@ -126,12 +126,13 @@ class Centroids:
         return out, score, reject
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, clusters: int = 4, slack: float = 0.5, unjudged: int = 5) -> Centroids:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, clusters: int = 4, slack: float = 0.8, unjudged: int = 5, low: float = 0.02, enough: int = 50) -> Centroids:
     """Fit on rows with a text and a language.
 
     Document frequencies: all rows. Centroids: a hash sample of about ``per_language`` rows of each language, which
     bounds what is fitted; each language is fitted in a task of its own. ``slack``: a text is rejected when its
-    cosine is below this share of the least one among training texts of its size class. ``unjudged``: texts of fewer
+    cosine is below this share of the ``low`` quantile among its language's training texts of its size class, and of as
+    many smaller classes as it takes for ``enough`` texts, so that a few odd texts don't set the bar. ``unjudged``: texts of fewer
     than 2^this bytes hold too little to be rejected for their distance.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, F.col(lang_col).cast("string").alias(lang_col))
@@ -173,17 +174,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         v = np.concatenate(x)
         c = clustered(v[(v != 0).any(1)], clusters) if (v != 0).any() else v[:1]
         cos, kind = (v @ c.T).max(1), size_class(np.concatenate(size))
-        least = [float(cos[kind == k].min()) if (kind == k).any() else 2.0 for k in range(21)]
+        least = np.zeros(21)
+        for k in range(unjudged, 21):
+            of = next((m for j in range(k, -1, -1) if (m := (kind >= j) & (kind <= k)).sum() >= enough), kind <= k)
+            least[k] = np.quantile(cos[of], low, method="lower") if of.any() else 0.0
+        least = least.tolist()
         lang = t.column(lang_col)[0].as_py()
         return pa.table({"lang": [lang] * len(c), "centroid": list(c.astype(np.float32)), "least": [least] * len(c)})
 
     fitted = sorted(sample.groupBy(lang_col).applyInArrow(centroids, "lang string, centroid array<float>, least array<double>").collect(), key=lambda r: (r["lang"], r["centroid"]))
-    least = np.min([r["least"] for r in fitted], axis=0) if fitted else np.full(21, 2.0)
-    for k in range(1, 21):  # a size class that training lacks is judged as the next smaller one
-        if least[k] > 1:
-            least[k] = least[k - 1]
-    least[least > 1] = 0
-    least[:unjudged] = 0
+    by = {r["lang"]: r["least"] for r in fitted}
+    least = np.array([by[x] for x in sorted(by)]).reshape(-1, 21)
     return Centroids([r["lang"] for r in fitted], np.array([r["centroid"] for r in fitted], np.float32).reshape(-1, DIMS), idf, least * slack)
 
 
