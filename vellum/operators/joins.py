@@ -63,13 +63,14 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], pos: str, value:
 def nearest_within(anchors: DataFrame, candidates: DataFrame, by: Sequence[str], pos: str, reach: int, prefer: Column) -> DataFrame:
     """For each anchor the best candidate at most ``reach`` positions away: preferred ones, then the nearest, then the
     one before. Positions are cut into blocks of ``reach``, so the range join becomes an equi-join of three blocks.
-    Columns of candidates get the prefix ``c_``."""
+    Columns of candidates get the prefix ``c_``. Repeated anchors get a row each, repeated candidates count once."""
     block = F.floor(F.col(pos) / reach)
     a = anchors.withColumn("__b", F.explode(F.array(block - 1, block, block + 1)))
-    c = candidates.select(*(F.col(k) for k in by), *(F.col(k).alias(f"c_{k}") for k in candidates.columns if k not in by)).withColumn("__b", F.floor(F.col(f"c_{pos}") / reach))
+    c = candidates.select(*(F.col(k) for k in by), *(F.col(k).alias(f"c_{k}") for k in candidates.columns if k not in by)).distinct().withColumn("__b", F.floor(F.col(f"c_{pos}") / reach))
     both = a.join(c, [*by, "__b"]).withColumn("__d", F.abs(F.col(pos) - F.col(f"c_{pos}"))).filter((F.col("__d") <= reach) & (F.col("__d") > 0))
-    w = Window.partitionBy(*by, pos).orderBy(F.desc(prefer.cast("int")), "__d", f"c_{pos}")
-    return both.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__b").withColumnRenamed("__d", "distance")
+    # equal ranks are repeated anchors only: the order ends with all columns of the candidates, which are distinct
+    w = Window.partitionBy(*anchors.columns).orderBy(F.desc(prefer.cast("int")), "__d", f"c_{pos}", *(x for x in c.columns if x.startswith("c_")))
+    return both.withColumn("__rank", F.rank().over(w)).filter("__rank = 1").drop("__rank", "__b").withColumnRenamed("__d", "distance")
 
 
 def positional_diff(a: DataFrame, b: DataFrame, on: Sequence[str], compare: Sequence[str]) -> DataFrame:

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def overlay(spans: DataFrame, doc: Sequence[str], start: str, end: str, value: str, priority: str) -> DataFrame:
-    """Disjoint spans with the value of the highest priority at each place; equal neighbours are merged.
-
-    Borders cut the text into pieces. Which spans cover a piece is found by a sweep: each border opens or closes
-    spans, and the open ones are carried along as a bounded array per document; no range join."""
-    border = spans.select(*doc, F.col(start).alias("at")).unionByName(spans.select(*doc, F.col(end).alias("at"))).distinct()
-    w = Window.partitionBy(*doc).orderBy("at")
-    pieces = border.withColumn("to", F.lead("at").over(w)).filter(F.col("to").isNotNull())
-    own = spans.groupBy(*doc).agg(F.collect_list(F.struct(F.col(priority).alias("p"), F.col(value).alias("v"), F.col(start).alias("s"), F.col(end).alias("e"))).alias("spans"))
-    best = F.array_max(F.transform(F.filter("spans", lambda x: (x["s"] <= F.col("at")) & (x["e"] >= F.col("to"))), lambda x: F.struct(x["p"].alias("p"), x["v"].alias("v"))))
-    cut = pieces.join(own, list(doc)).select(*doc, "at", "to", best["v"].alias(value)).filter(F.col(value).isNotNull())
-    step = F.when((F.lag("to").over(w) == F.col("at")) & (F.lag(value).over(w) == F.col(value)), 0).otherwise(1)
-    run = cut.withColumn("__step", step).withColumn("__run", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*doc, "__run", value).agg(F.min("at").alias(start), F.max("to").alias(end)).drop("__run")
+    """Disjoint spans with the value of the highest priority at each place (of the largest value, at equal priority);
+    equal neighbours are merged.
+
+    A sweep over the borders of a document in order: each opens or closes spans, the open ones stand in a heap, and a
+    span that is closed leaves it when it comes to its top. No range join; a document is one task's group."""
+    import pandas as pd
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        open_: list = []
+        opening = g.sort_values("__s", kind="stable")
+        todo = list(zip(opening["__s"].tolist(), opening["__e"].tolist(), opening["__rank"].tolist(), opening["__v"].tolist(), strict=True))
+        borders, k = sorted({*g["__s"], *g["__e"]}), 0
+        for at, to in pairwise(borders):
+            while k < len(todo) and todo[k][0] == at:
+                heapq.heappush(open_, (-todo[k][2], todo[k][1], todo[k][3]))
+                k += 1
+            while open_ and open_[0][1] <= at:
+                heapq.heappop(open_)
+            if not open_:
+                continue
+            v = open_[0][2]
+            if out and out[-1][1] == at and out[-1][2] == v:
+                out[-1][1] = to
+            else:
+                out.append([at, to, v])
+        return pd.DataFrame([(*key, *o) for o in out], columns=[*doc, start, end, value])
+
+    order = Window.partitionBy(*doc).orderBy(priority, value)
+    ranked = spans.filter(F.col(start) < F.col(end)).select(*doc, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias("__v"), F.dense_rank().over(order).alias("__rank"))
+    kinds = [*((d, spans.schema[d].dataType) for d in doc), (start, spans.schema[start].dataType), (end, spans.schema[end].dataType), (value, spans.schema[value].dataType)]
+    return ranked.groupBy(*doc).applyInPandas(run, StructType([StructField(n, t) for n, t in kinds])).select(*doc, value, start, end)
 
 
 def caption_status(items: DataFrame, doc: Sequence[str], kind: str, number: str, is_caption: str) -> DataFrame:

@@ -89,7 +89,7 @@ def caption_status(spark, d):
     return spans.caption_status(i, ["l_orderkey"], "kind", "number", "cap")
 
 
-@query("""WITH p AS (SELECT DISTINCT lang, CAST(floor(doc_id / 3) AS BIGINT) AS page FROM documents WHERE doc_id % 4 < 2), g AS (SELECT *, page - row_number() OVER (PARTITION BY lang ORDER BY page) AS g FROM p),
+@query("""WITH p AS (SELECT DISTINCT lang, CAST(floor(doc_id / 3) AS BIGINT) AS page FROM documents), g AS (SELECT *, page - row_number() OVER (PARTITION BY lang ORDER BY page) AS g FROM p),
 r AS (SELECT lang, min(page) AS a, max(page) AS b FROM g GROUP BY lang, g) SELECT lang, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY lang""")
 def script_pages(spark, d):
     return spans.page_runs(table(spark, d, "documents").select("lang", F.floor(F.col("doc_id") / 3).alias("page")), ["lang"], "page")

@@ -23,7 +23,7 @@ def token_loss(spark, d):
     return quality.token_loss(table(spark, d, "documents").select("doc_id", "text"), F.col("text"), clean).drop("text")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id % 10 = 3),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 o AS (SELECT line FROM l WHERE pos % 5 <> 0 UNION SELECT line || ' ' || nx FROM (SELECT line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM l WHERE pos % 5 <> 0) WHERE nx IS NOT NULL)
 SELECT doc_id, pos, line FROM l ANTI JOIN o USING (line)""")
 def coverage_check(spark, d):
@@ -69,7 +69,7 @@ def unbalanced_pairs(spark, d):
 TERMS = [("the", "article"), ("idiot", "insult"), ("de la", "phrase"), ("THE", "shout"), ("und", "conjunction")]
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS sentence FROM documents WHERE doc_id % 5 = 1),
+@query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS sentence FROM documents),
 t(term, category) AS (VALUES ('the', 'article'), ('idiot', 'insult'), ('de la', 'phrase'), ('THE', 'shout'), ('und', 'conjunction'))
 SELECT doc_id, category, count(*) AS sentences FROM s JOIN t ON CASE WHEN term = upper(term) THEN contains(sentence, term) ELSE contains(lower(sentence), lower(term)) END GROUP BY ALL""")
 def term_scan(spark, d):
