@@ -155,7 +155,7 @@ def test_toxicity(spark, none):
         assert lexicon.match(w) == ("grobbler", 1), w
     assert lexicon.match("grable") is None
     f = toxicity.features(['He said "you grobbler" to them.', "you grobbler", None, ""], lexicon)
-    assert f[0][2] > 0 and f[0][0] == 0 and f[1][0] > 0 and not f[2:].any()
+    assert f[0][0] > 0 and f[0][1] == 0 and f[1][1] > 0 and not f[2:].any()
     s = model.scores(["you grobbler", "kind alpha3 words", None, ""])
     assert s[0] > 0.5 > s[1] and ((0 <= s) & (s <= 1)).all()
     empty = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -191,19 +191,51 @@ def test_lexicon_against_brute_force():
 
     r = random.Random(6)
     for letters, n in (("abcdefghij", 12), ("abc", 4)):
-        terms = {"".join(r.choice(letters) for _ in range(r.randint(5, 9))): i % 2 == 0 for i in range(n)}
+        terms = {"".join(r.choice(letters) for _ in range(r.randint(4, 9))): i % 2 == 0 for i in range(n)}
         lexicon = toxicity.Lexicon(terms)
         near = {t: edited(t, letters + "jabc") for t in terms}
         words = {w + rest for t in terms for w in near[t] for rest in ("", "jab", "c")} | {"".join(r.choice(letters) for _ in range(r.randint(3, 12))) for _ in range(2000)}
         for w in words:
             exact = any(w.startswith(t) if stem else w == t for t, stem in terms.items())
-            close = any(not near[t].isdisjoint(w[:k] for k in range(1, len(w) + 1)) if stem else w in near[t] for t, stem in terms.items())
+            close = any(not near[t].isdisjoint(w[:k] for k in range(1, len(w) + 1)) if stem and len(t) > 4 else w in near[t] for t, stem in terms.items())
             got = lexicon.match(w)
             assert (got and got[1]) == (0 if exact else 1 if close else None), w
     lexicon = toxicity.Lexicon({"trash": False, "idiot": False, "clown": True, "moron": True})
     assert [lexicon.match(w) for w in ("tarsh", "iidot", "colwnish", "mroons")] == [("trash", 1), ("idiot", 1), ("clown", 1), ("moron", 1)]
 
 
+def test_toxicity_disguise_and_quotation(spark):
+    """A disguised term scores above a clean text and above its quotation; every one-edit form of a learned term is
+    found; repeated, null, empty and very long rows and clashing columns are scored."""
+    r = random.Random(9)
+    bad = ["grobbler", "snazzard", "vexmitch", "dolt"]
+    rows = []
+    for i in range(600):
+        w = [r.choice(WORDS) + str(r.randrange(30)) for _ in range(40)]
+        if i % 4 == 0:
+            w[r.randrange(40)] = r.choice(bad)
+            if i % 3 == 0:
+                w[r.randrange(40)] = r.choice(bad)
+        elif i in (1, 2, 3, 5):
+            w[20:21] = f'he said "{r.choice(bad[:2])}" to'.split(" ")
+        rows.append((i, " ".join(w), int(i % 4 == 0), 0.5, "x"))
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, toxic int, score double, `__label` string")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert (model.weights[1:-1] >= 0).all()
+    plain = " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(80))
+    for t in bad:
+        clean, disguised, quoted, exact = model.scores([plain, f"{plain} {t[:2]}{t[3]}{t[2]}{t[4:]}", f'{plain} he said "you {t}" to them', f"{plain} {t}"])
+        assert clean < disguised and quoted < disguised <= exact, t
+    lexicon = toxicity.Lexicon(model.terms, model.own, model.strict)
+    for t in model.terms:
+        cuts = [(t[:i], t[i:]) for i in range(len(t) + 1)]
+        forms = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + "q" + b for a, b in cuts} | {a + "q" + b[1:] for a, b in cuts if b}
+        assert [w for w in forms if lexicon.match(w) is None] == [], t
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, plain * 400 + " grobbler"), (3, plain * 400 + " grobbler")], "doc_id long, text string")
+    got = [r["s"] for r in odd.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] < got[2] == got[3]
+
+
 def test_lexicon_keeps_every_term(spark):
     """120 words of ten toxic texts each, with their stems six times as many entries."""
     r = random.Random(8)

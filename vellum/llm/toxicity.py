@@ -2,18 +2,26 @@
 
 The lexicon (whole terms and stems) is learned from labelled texts: those that toxic texts have far more often than
 others. Its entries stand in a trie. A word of a text runs through the trie together with a Levenshtein automaton of
-the word, so terms with one edit (insert, delete, replace, swap of neighbours) are found without listing variants. Each hit gets a context
-window; quotation marks around it and words of reporting before it part quotation from abuse. A logistic regression
-over counts and densities of these hits gives the score.
+the word, so terms with one edit (insert, delete, replace, swap of neighbours) are found without listing variants.
+Stems of five letters or more are found at the beginning of longer words too, shorter ones with an edit in whole words
+only. A word that clean labelled texts have is a word of its own and no misspelling, and a term with several such words
+one edit away stands where the language is dense: it is matched exactly only, as most words near it would be words too.
+Each hit gets a context window; quotation marks around it and words of reporting before it part quotation from abuse.
+
+A hit with an edit counts as 0.8 of an exact one, in all features alike, so that a disguised term scores above its
+quotation and above a text without it. A logistic regression over counts and densities of these hits gives the score;
+its weights of abuse aren't negative, and a quotation weighs at most half as much as abuse.
 
 Null and empty texts: scored as texts without a hit. Texts are scanned whole. Repeated rows: scored each. Rows without
-a label don't teach. Without toxic or without clean labelled texts the score is the share of toxic ones (0 if none is labelled).
-Other columns are not read.
+a label don't teach; of rows with one id one text (the least) teaches, and of an id's labels the largest counts. Ties
+of edit distance: the first term in order. Without toxic or without clean labelled texts the score is the share of
+toxic ones (0 if none is labelled). Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -78,25 +86,26 @@ class Trie:
 @dataclass
 class Lexicon:
     """A trie with a quick test in front: within one edit, a term's first or its second half is intact, or the letters on
-    both sides of its middle are swapped. Stems are found in longer words too."""
+    both sides of its middle are swapped. Words in ``own`` are no misspellings; terms in ``strict`` have none."""
 
     terms: dict[str, bool] = field(default_factory=dict)
+    own: frozenset[str] = frozenset()
+    strict: frozenset[str] = frozenset()
     fuzzy_from: int = 5
 
     def __post_init__(self):
-        self.trie = Trie(self.terms)
         self.exact = {n: {t for t in self.terms if len(t) == n} for n in {len(t) for t in self.terms}}
-        long = [t for t in self.terms if len(t) >= self.fuzzy_from]
-        stems = [t for t in long if self.terms[t]]
-        self.fuzzy = Trie({t: self.terms[t] for t in long})
-        half = {t: len(t) // 2 for t in long}
-        self.heads = {t[: half[t]] for t in long} | {t[: half[t] - 1] + t[half[t]] for t in long}
-        self.tails = {t[half[t] :] for t in long if not self.terms[t]}
+        entries = {t: stem and len(t) >= self.fuzzy_from for t, stem in self.terms.items() if t not in self.strict}
+        stems = [t for t, stem in entries.items() if stem]
+        self.fuzzy = Trie(entries)
+        half = {t: len(t) // 2 for t in entries}
+        self.heads = {t[: half[t]] for t in entries} | {t[: half[t] - 1] + t[half[t]] for t in entries if half[t]}
+        self.tails = {t[half[t] :] for t, stem in entries.items() if not stem}
         # after one edit before it, a stem's second half stands at most one place away from its own
         self.inner = {(half[t] + d, t[half[t] :]) for t in stems for d in (-1, 0, 1)}
         self.head_sizes, self.tail_sizes = ({len(x) for x in y} for y in (self.heads, self.tails))
         self.inner_spans = {(at, len(x)) for at, x in self.inner}
-        self.sizes = {len(t) + d for t in long if not self.terms[t] for d in (-1, 0, 1)}
+        self.sizes = {len(t) + d for t, stem in entries.items() if not stem for d in (-1, 0, 1)}
         self.open_from = min((len(t) - 1 for t in stems), default=1 << 62)
         self.seen: dict[str, tuple[str, int] | None] = {}
 
@@ -117,7 +126,7 @@ class Lexicon:
         plain = word.translate(_disguise) if not word.isalpha() else word
         if plain != word and (m := self._match(plain)) is not None:
             return m[0], max(1, m[1])
-        if (len(word) in self.sizes or len(word) >= self.open_from) and self._may(plain):
+        if word not in self.own and (len(word) in self.sizes or len(word) >= self.open_from) and self._may(plain):
             return self.fuzzy.search(plain, 1)
         return None
 
@@ -129,12 +138,13 @@ class Lexicon:
         )
 
 
-#: What a text is scored by.
-FEATURES = ["exact", "misspelled", "quoted", "exact_share", "misspelled_share", "distinct", "any"]
+#: What a text is scored by; all but the first grow with abuse.
+FEATURES = ["quoted", "abuse", "share", "distinct"]
 
 
-def features(texts: list[str | None], lexicon: Lexicon, window: int = 60) -> np.ndarray:
-    """A row of FEATURES for each text; ``window``: characters of context on either side of a hit."""
+def features(texts: list[str | None], lexicon: Lexicon, window: int = 60, per_edit: float = 0.8) -> np.ndarray:
+    """A row of FEATURES for each text; ``window``: characters of context on either side of a hit; ``per_edit``: what a
+    hit with an edit counts of an exact one."""
     out = np.zeros((len(texts), len(FEATURES)))
     for k, text in enumerate(texts):
         if not text:
@@ -144,7 +154,8 @@ def features(texts: list[str | None], lexicon: Lexicon, window: int = 60) -> np.
         hits = {w: m for w in set(words) if (m := lexicon.match(w)) is not None}
         if not hits:
             continue
-        exact = misspelled = quoted = 0.0
+        abuse = quoted = 0.0
+        terms: dict[str, float] = {}
         for m in _word.finditer(low):
             hit = hits.get(m[0])
             if hit is None:
@@ -153,15 +164,28 @@ def features(texts: list[str | None], lexicon: Lexicon, window: int = 60) -> np.
             marks = len(_quotes.findall(before)) % 2 == 1 and _quotes.search(after) is not None
             if marks or not _reports.isdisjoint(_word.findall(before)[-4:]):
                 quoted += 1
-            elif hit[1]:
-                misspelled += 1
             else:
-                exact += 1
-        n = len(words)
-        out[k] = [np.log1p(exact), np.log1p(misspelled), np.log1p(quoted), exact / n * 20, misspelled / n * 20, np.log1p(len({h[0] for h in hits.values() if not h[1]})), exact + misspelled > 0]
+                weight = per_edit ** hit[1]
+                abuse += weight
+                terms[hit[0]] = max(weight, terms.get(hit[0], 0.0))
+        out[k] = [np.log1p(quoted), np.log1p(abuse), abuse / len(words) * 20, np.log1p(sum(terms.values()))]
     return np.minimum(out, 8)
 
 
+def weighed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of FEATURES and intercept; what speaks against abuse although it is a count of abuse is left out."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(use, True)] = logistic(x[:, use], y)
+        wrong = np.append(False, w[1:-1] < 0)
+        if not wrong.any():
+            break
+        use &= ~wrong
+    w[0] = min(w[0], w[1:-1].sum() / 2)
+    return w
+
+
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3, rounds: int = 40) -> np.ndarray:
     """Weights (the last one: intercept) by Newton's method with weight decay."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -182,29 +206,33 @@ class Scorer:
     terms: dict[str, bool] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
     constant: float | None = 0.0
+    own: frozenset[str] = frozenset()
+    strict: frozenset[str] = frozenset()
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        key, held = tuple(self.terms), common.kept("toxicity")
-        if held.get("key") != key:
-            held.update(key=key, lexicon=Lexicon(self.terms))
+        held = common.kept("toxicity")
+        if held.get("name") != self.name:
+            held.update(name=self.name, lexicon=Lexicon(self.terms, self.own, self.strict))
         z = features(texts, held["lexicon"]) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least_ratio: float = 40.0, stems: tuple[int, ...] = (4, 5, 6, 7, 8)) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least_ratio: float = 40.0, stems: tuple[int, ...] = (4, 5, 6, 7, 8), dense: int = 3) -> Scorer:
     """Fit on ``docs`` joined with ``labels`` by id.
 
-    Of copies one teaches. ``most``: labelled rows that may, a hash sample of about that many (the bound of the fitted sample; its ids are
-    broadcast). ``least_ratio``: how much more often toxic texts have a term. ``stems``: lengths of the stems that may
-    enter the lexicon. It holds every term that passes; the sample bounds their number.
+    Of copies one teaches. ``most``: labelled ids that may, a hash sample of about that many (the bound of the fitted
+    sample; the ids are broadcast). ``least_ratio``: how much more often toxic texts have a term. ``stems``: lengths of the stems that may
+    enter the lexicon. It holds every term that passes; the sample bounds their number. ``dense``: words of clean texts
+    one edit away from a term from which on it is matched exactly only.
     """
     labels = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     n = labels.count()
     if n > most:
         labels = labels.filter((F.xxhash64(F.col(id_col).cast("string"), F.lit(4)) % 1_000_003 + 1_000_003) % 1_000_003 < int(most / n * 1_000_003))
-    sample = docs.select(id_col, text_col).join(F.broadcast(labels), id_col)
+    sample = docs.select(id_col, text_col).join(F.broadcast(labels), id_col).groupBy(id_col).agg(F.max("__label").alias("__label"), F.min(text_col).alias(text_col))
 
     @F.arrow_udf("long")
     def kin(texts: pa.Array) -> pa.Array:
@@ -217,9 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.array([least(t) for t in texts.to_pylist()], pa.int64())
 
     # copies of one text would make its every word a sign of its label: one of each kin teaches
-    one = sample.select(id_col, "__label", kin(text_col).alias("__kin")).groupBy("__kin", "__label").agg(F.min(id_col).alias(id_col))
-    one = common.saved(one.select(id_col, "__label"), "toxic-sample")
-    sample = docs.select(id_col, text_col).join(F.broadcast(one), id_col).select(text_col, "__label")
+    one = sample.select(id_col, text_col, "__label", kin(text_col).alias("__kin")).groupBy("__kin", "__label").agg(F.min(F.struct(id_col, text_col)).alias("__one"))
+    sample = common.saved(one.select(F.col(f"__one.{text_col}").alias(text_col), "__label"), "toxic-sample")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, docs_in = Counter(), Counter(), [0, 0]
@@ -239,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = counted.filter("term = ''").collect()
     n_toxic, n_clean = (total[0]["t"], total[0]["c"]) if total else (0, 0)
     if not n_toxic or not n_clean:
-        common.drop_saved(counted)
+        for t in (counted, sample):
+            common.drop_saved(t)
         return Scorer(constant=n_toxic / max(1, n_toxic + n_clean))
     rate = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
     # chance that a term without meaning is as one-sided, times all terms that a sample can have, stays far below 1
@@ -265,15 +293,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a stem stands for the words under it where it is long enough to be found misspelled
     chosen |= {w: False for w in full if not any(k >= Lexicon.fuzzy_from and w[:k] in chosen for k in stems)}
     common.drop_saved(counted)
-    lexicon = Lexicon(chosen)
+    bare = Lexicon(chosen)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words one edit away from a term, and how many toxic and clean texts have them."""
+        found = {0: Counter(), 1: Counter()}
+        for b in common.blocks(batches, text_col):
+            for text, label in zip(b.column(text_col).to_pylist(), b.column("__label").to_pylist(), strict=True):
+                found[int(bool(label))].update(w for w in set(_word.findall((text or "").lower())) if (m := bare.match(w)) is not None and m[1])
+        names = list(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[k][w] for w in names], pa.int64()) for k in (1, 0))], ["term", "in_toxic", "in_clean"])
+
+    words = sample.mapInArrow(near, "term string, in_toxic long, in_clean long").groupBy("term").agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
+    own = frozenset(r["term"] for r in words.filter((F.col("c") > 0) & (rate < least_ratio)).collect())
+    beside = Counter(bare.match(w)[0] for w in own)
+    strict = frozenset(t for t, k in beside.items() if k >= dense)
+    lexicon = Lexicon(chosen, own, strict)
 
     @F.arrow_udf("array<double>")
     def seen(texts: pa.Array) -> pa.Array:
         return pa.array([r.tolist() for r in features(texts.to_pylist(), lexicon)], pa.list_(pa.float64()))
 
     rows = sample.select(seen(text_col).alias("x"), "__label").toPandas()
-    common.drop_saved(one)
-    return Scorer(chosen, logistic(np.array(rows["x"].tolist()), rows["__label"].to_numpy(float)), None)
+    common.drop_saved(sample)
+    return Scorer(chosen, weighed(np.array(rows["x"].tolist()), rows["__label"].to_numpy(float)), None, own, strict)
 
 
 def score(text: F.Column, model: Scorer) -> F.Column:
