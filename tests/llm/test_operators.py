@@ -119,6 +119,25 @@ def test_ngram_join_near_copies(spark):
         assert got == brute_links(rows, n, num)
 
 
+def test_ngram_join_rounds(spark):
+    """Clusters of which the centre is no typical member, null ids, and clashing columns."""
+    r = random.Random(11)
+    rows: list[tuple] = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, 14)):
+                w[r.randrange(120)] = f"y{r.randrange(60)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, node int, component_id int, `groups` string")
+    for n, num in ((4, 85), (5, 80), (3, 90)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(df, n, num, chunk=7).collect()}
+        assert got == brute_links(dict(rows), n, num)
+    nulls = spark.createDataFrame([(None, "a b c d e f g"), (None, "z y x w v u"), (3, "z y x w v u"), (5, "a b c d e f g"), (9, "one two three four five")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.linked(nulls).collect()), key=str) == [(3, 3), (5, 5), (9, 9), (None, 3), (None, 5)]
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(0)
     a, b = (np.unique(r.integers(0, 1 << 60, 300).astype(np.uint64)) for _ in range(2))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -58,10 +59,13 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one is set only where the session has none."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where the session has none, a local session gets one of
+    its own; on a cluster that is an error, as executors don't share a machine's folders."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = f"file:///tmp/vellum-shared-{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"file://{tempfile.gettempdir()}/vellum-shared-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -74,6 +78,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "2000")
 
 
+#: Bytes of packed rows that a task brings together in one Python worker.
+PART_BYTES = 128 << 20
+
+
+def parts(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for a shuffle of packed rows: the session's number, or more, so that none gets more than PART_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -10,15 +10,21 @@ keeps each bit's parity, so two sketches differ in at most as many bits as the s
    blocks doesn't send them, and still shares a block with each partner. A text near a band's upper end is also sent
    to the next band.
 3. Nodes that share a block join the cluster of the least node of that block's bucket. So a bucket of m nodes yields
-   m - 1 rows, and each linked pair meets in a cluster. Large clusters are cut into chunks, and each pair of chunks is
-   a task's group of its own.
-4. Groups get small parity sketches first. Pairs with fitting sizes whose sketches differ in at most D bits are
-   candidates; only members of candidates send their full sets to the group, and there pairs are verified. Pairs that
-   links found so far connect already are left out; the group gives a spanning forest of its links.
-5. Components of all these links.
+   m - 1 rows, and each linked pair meets in a cluster. A task sends the blocks of a set once, however many copies it
+   has.
+4. First each member is compared with its cluster's centre only, which is linear in the members. The links found so
+   far make components. A cluster whose members are all in one component is done: that is what a group of near copies,
+   however large, mostly comes to. In the others the members of the most frequent component needn't be compared with
+   one another; the rest is compared with all. Both sides are cut into chunks of a fixed size, and each pair of chunks
+   is a group of its own.
+5. Groups get small parity sketches first. Pairs with fitting sizes whose sketches differ in at most D bits are
+   candidates; only members of candidates send their full sets to the group, and there pairs are verified. A group
+   gives a spanning forest of its links.
+6. Components of all these links.
 
 No pair is lost, no bucket capped. Null and empty texts: an empty set, linked with nothing. Fewer words than n: one
-shingle of the whole sequence. Repeated rows: one node. Empty table: no rows. Other columns are ignored.
+shingle of the whole sequence. Repeated rows: one node. Rows with a null id link like others; a component's id is the
+least id that isn't null, if there is one. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -260,14 +266,22 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int) -> Dat
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_shingles long, node long, check long")
 
 
-def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int, bands: Bands) -> DataFrame:
+def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int, bands: Bands, parts: int) -> DataFrame:
     """(centre, node): the least node of each block's bucket with each other one."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # nodes of this task; a partition holds one split of the input
         for b in common.blocks(batches, text_col):
             sets, offsets = _sets_of(b, text_col, n, seed)
             key, _ = set_keys(sets, offsets)
+            first = np.zeros(len(key), bool)
+            for i, k in enumerate(key.tolist()):
+                if k not in sent:
+                    sent.add(k)
+                    first[i] = True
+            own = np.flatnonzero(first)
+            size = np.diff(offsets)[own]
+            sets, offsets, key = common_gather(sets, offsets[own], size), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), key[own]
             sig, who = bands.signatures(sets, offsets)
             part = (((sig >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -306,15 +320,46 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int, band
     return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "centre long, node long").distinct()
 
 
-def groups(stars: DataFrame, chunk: int) -> DataFrame:
-    """(node, groups: array of (centre, a, b, side)): where each node must be compared."""
-    size = stars.groupBy("centre").agg(F.count("*").alias("m"))
-    # more chunks for larger clusters, and larger chunks for the largest, which bounds both copies and memory
-    size = size.select("centre", F.ceil((F.col("m") + 1) / F.greatest(F.lit(chunk), F.ceil(F.col("m") / 24))).cast("int").alias("chunks"))
-    members = stars.join(size, "centre").unionByName(size.select("centre", F.col("centre").alias("node"), "chunks"))
-    side = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
-    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda v: F.struct(F.col("centre"), F.least(v, "side").alias("a"), F.greatest(v, "side").alias("b"), F.col("side")))
-    return members.withColumn("side", side).select("node", F.explode(each).alias("g")).select("node", "g.*")
+#: Tasks that the members of one large cluster are dealt to.
+SALTS = 256
+
+
+def with_cluster(stars: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``stars`` (centre, node, ...) joined with what ``clusters`` says of each centre, if anything. The members of a
+    centre are dealt to SALTS keys, so no task owns a large cluster."""
+    salts = F.array(*map(F.lit, range(SALTS)))
+    return stars.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(clusters.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
+
+
+def chunked(n: F.Column, chunk: int) -> F.Column:
+    return F.ceil(n / chunk).cast("int")
+
+
+def star_groups(stars: DataFrame, chunk: int) -> DataFrame:
+    """(node, centre, a, b, side): each chunk of a cluster with its centre; sides are the centre and the members."""
+    large = stars.groupBy("centre").agg(F.count("*").alias("m")).filter(F.col("m") > chunk).select("centre", chunked(F.col("m"), chunk).alias("chunks"))
+    members = with_cluster(stars, large).select("node", "centre", F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("chunks", F.lit(1))).cast("int").alias("a"))
+    centres = members.select("centre", "a").distinct().select(F.col("centre").alias("node"), "centre", "a", F.lit(-1).alias("b"), F.lit(0).alias("side"))
+    return members.select("node", "centre", "a", F.lit(-1).alias("b"), F.lit(1).alias("side")).unionByName(centres)
+
+
+def rest_groups(stars: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
+    """(node, centre, a, b, side): pairs of chunks of what is left to compare, given components (node, root).
+
+    Chunks of the members outside a cluster's most frequent component come first, then those of that component; pairs
+    of two of the latter are left out, and so are clusters of one component."""
+    members = stars.unionByName(stars.select("centre", F.col("centre").alias("node")).distinct())
+    members = members.join(roots, "node", "left").select("node", "centre", F.coalesce("root", "node").alias("root"))
+    of = members.groupBy("centre", "root").agg(F.count("*").alias("m"))
+    clusters = of.groupBy("centre").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("main")).filter(F.col("all") > F.col("main.m"))
+    clusters = clusters.select("centre", F.col("main.root").alias("main"), chunked(F.col("all") - F.col("main.m"), chunk).alias("others"), chunked(F.col("main.m"), chunk).alias("mains"))
+    placed = with_cluster(members, clusters).filter(F.col("others").isNotNull())
+    is_main, h = F.col("root") == F.col("main"), F.xxhash64("node", F.lit(2))
+    side = F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    placed = placed.withColumn("side", side)
+    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    each = F.transform(F.sequence(F.lit(0), last), lambda v: F.struct(F.least(v, "side").alias("a"), F.greatest(v, "side").alias("b")))
+    return placed.select("node", "centre", "side", F.explode(each).alias("g")).select("node", "centre", "g.a", "g.b", "side")
 
 
 PLACED = "centre long, a int, b int, side int, node long, size int, data binary"
@@ -354,11 +399,24 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
         seed += 1  # two different sets with one node: other hashes
         common.drop_saved(rows)
     own = own.select("node", "least")
-    stars = common.saved(buckets(docs, id_col, text_col, n, seed, bands), "shingle-stars")
+    # some 24 bytes for each block of a set, of which there are about as many as shingles
+    parts = common.parts(spark, 24 * (rows.agg(F.sum("n_shingles")).first()[0] or 0))
+    stars = common.saved(buckets(docs, id_col, text_col, n, seed, bands, parts), "shingle-stars")
     at = ["centre", "a", "b", "side"]
     gathered = lambda rows: rows.groupBy("node").agg(F.collect_list(F.struct(*at)).alias("groups"))
-    # one text of each node that has company
-    texts = lambda rows: docs.join(own.join(gathered(rows), "node").select(F.col("least").alias(id_col), "node", "groups"), id_col)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, text_col):
+            key, _ = set_keys(*_sets_of(b, text_col, n, seed))
+            yield pa.RecordBatch.from_arrays([b.column(text_col), pa.array(key.view(np.int64))], [text_col, "node"])
+
+    # sets that only rows without an id have are found by their node
+    nameless = docs.filter(F.col(id_col).isNull()).select(text_col).mapInArrow(keyed, f"`{text_col}` string, node long").dropDuplicates(["node"])
+
+    def texts(rows: DataFrame) -> DataFrame:
+        """One text of each node that has company."""
+        asked = own.join(gathered(rows), "node").select(F.col("least").alias(id_col), "node", "groups")
+        named = docs.join(asked.filter(F.col(id_col).isNotNull()), id_col).select(text_col, "node", "groups")
+        return named.unionByName(nameless.join(asked.filter(F.col(id_col).isNull()), "node").select(text_col, "node", "groups"))
 
     def place(whole: bool):
         """Kernel: a row for each group of a node, with its set or with its sketch."""
@@ -407,15 +465,30 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    left = common.saved(meet(groups(stars, chunk), whole=False).mapInArrow(sift, "node long, centre long, a int, b int, side int"), "shingle-candidates")
-    common.forget(spark)
-    edges = common.saved(meet(left, whole=True).mapInArrow(compare, "u long, v long"), "shingle-links")
-    common.forget(spark)
-    roots = components(edges)
+    def links(placed: DataFrame) -> DataFrame:
+        left = common.saved(meet(placed, whole=False).mapInArrow(sift, "node long, centre long, a int, b int, side int"), "shingle-candidates")
+        common.forget(spark)
+        edges = common.saved(meet(left, whole=True).mapInArrow(compare, "u long, v long"), "shingle-links")
+        common.drop_saved(left)
+        common.forget(spark)
+        return edges
+
+    first = links(star_groups(stars, chunk))
+    known = common.saved(components(first), "shingle-roots")
+    rest = links(rest_groups(stars, known, chunk))
+    common.drop_saved(stars)
+    now = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    moved = rest.join(now("u"), "u", "left").join(now("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    later = components(moved).select(F.col("node").alias("root"), F.col("root").alias("__later"))
+    # nodes that only the second round has linked stand for themselves after the first
+    roots = known.unionByName(later.select(F.col("root").alias("node"), "root").join(known.select("node"), "node", "left_anti"))
+    roots = roots.join(later, "root", "left").select("node", F.coalesce("__later", "root").alias("root"))
     named = own.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = common.saved(named, "shingle-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("node", "component_id")
+    for t in (first, rest, known):
+        common.drop_saved(t)
     out = rows.join(named, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
     common.forget(spark)
     return out
