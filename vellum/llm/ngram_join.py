@@ -324,11 +324,12 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int, band
 SALTS = 256
 
 
-def with_cluster(stars: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``stars`` (centre, node, ...) joined with what ``clusters`` says of each centre, if anything. The members of a
-    centre are dealt to SALTS keys, so no task owns a large cluster."""
+def dealt(stars: DataFrame, large: DataFrame) -> DataFrame:
+    """``stars`` (centre, node, ...) left joined with what is known of large clusters. The members of a centre are dealt
+    to SALTS keys, so no task owns a cluster; ``large`` must be clusters of at least SALTS members, so that their copies
+    are no more than the stars."""
     salts = F.array(*map(F.lit, range(SALTS)))
-    return stars.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(clusters.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
+    return stars.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(large.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
 
 
 def chunked(n: F.Column, chunk: int) -> F.Column:
@@ -337,8 +338,8 @@ def chunked(n: F.Column, chunk: int) -> F.Column:
 
 def star_groups(stars: DataFrame, chunk: int) -> DataFrame:
     """(node, centre, a, b, side): each chunk of a cluster with its centre; sides are the centre and the members."""
-    large = stars.groupBy("centre").agg(F.count("*").alias("m")).filter(F.col("m") > chunk).select("centre", chunked(F.col("m"), chunk).alias("chunks"))
-    members = with_cluster(stars, large).select("node", "centre", F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("chunks", F.lit(1))).cast("int").alias("a"))
+    large = stars.groupBy("centre").agg(F.count("*").alias("m")).filter(F.col("m") > max(chunk, SALTS)).select("centre", chunked(F.col("m"), chunk).alias("chunks"))
+    members = dealt(stars, large).select("node", "centre", F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("chunks", F.lit(1))).cast("int").alias("a"))
     centres = members.select("centre", "a").distinct().select(F.col("centre").alias("node"), "centre", "a", F.lit(-1).alias("b"), F.lit(0).alias("side"))
     return members.select("node", "centre", "a", F.lit(-1).alias("b"), F.lit(1).alias("side")).unionByName(centres)
 
@@ -353,7 +354,9 @@ def rest_groups(stars: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     of = members.groupBy("centre", "root").agg(F.count("*").alias("m"))
     clusters = of.groupBy("centre").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("main")).filter(F.col("all") > F.col("main.m"))
     clusters = clusters.select("centre", F.col("main.root").alias("main"), chunked(F.col("all") - F.col("main.m"), chunk).alias("others"), chunked(F.col("main.m"), chunk).alias("mains"))
-    placed = with_cluster(members, clusters).filter(F.col("others").isNotNull())
+    is_large = F.col("others") + F.col("mains") > 1 + SALTS // chunk
+    either = dealt(members, clusters.filter(is_large))
+    placed = either.filter("others is not null").unionByName(either.filter("others is null").select(members.columns).join(clusters.filter(~is_large), "centre"))
     is_main, h = F.col("root") == F.col("main"), F.xxhash64("node", F.lit(2))
     side = F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
     placed = placed.withColumn("side", side)
@@ -385,7 +388,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], dict
         yield now, held
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) per row: rows whose sets reach each other by links (similarity >= num / 100)."""
     spark = docs.sparkSession
     bands = Bands(num)
