@@ -345,6 +345,85 @@ def test_webp_symbols():
     assert (webp.decode(webp.encode(image)) == image).all()
 
 
+def test_webp_code_groups():
+    """A meta image of two groups: each 4 x 4 tile is read with its own codes."""
+    r = random.Random(5)
+    bits = [r.randrange(2) for _ in range(64)]
+    out = webp.Writer()
+    for v, n in ((0x2F, 8), (7, 14), (7, 14), (1, 1), (0, 3), (0, 1), (0, 1), (1, 1), (0, 3)):  # no transform, no cache, meta in tiles of 4
+        out.put(v, n)
+    webp.put_image(out, np.array([0, 1 << 8, 1 << 8, 0], np.uint32) | np.uint32(0xFF000000), False)
+    for first in (10, 30):
+        out.code(np.isin(np.arange(280), (first, first + 10)).astype(int))
+        for s in (1, 2, 255, 0):
+            out.single(s)
+    for b in bits:
+        out.put(b, 1)
+    got = webp.decode(webp.container(out.word.to_bytes(-(-out.n // 8), "little")))
+    for i, b in enumerate(bits):
+        y, x = divmod(i, 8)
+        green = (10 if (y < 4) == (x < 4) else 30) + 10 * b
+        assert got[y, x] == 0xFF000000 | 1 << 16 | green << 8 | 2
+
+
+def test_webp_code_lengths():
+    """Runs of equal lengths and of zeros (symbols 16, 17 and 18), and the longest codes."""
+    r = random.Random(6)
+    cases = [np.full(256, 8), np.where(np.arange(280) % 70 < 4, 4, 0)[:280]]
+    for _ in range(40):
+        counts = np.zeros(r.choice([40, 256, 280, 536]), int)
+        for _ in range(r.randint(1, 60)):
+            i = r.randrange(len(counts))
+            counts[i : i + r.randint(1, 12)] = int(1.6 ** r.randint(0, 40)) + 1
+        cases.append(webp.code_lengths(counts))
+    for n in cases:
+        if n.sum() and sum(2.0**-k for k in n.tolist() if k) != 1 and np.count_nonzero(n) > 1:
+            n = webp.code_lengths((n > 0).astype(int))
+        out = webp.Writer()
+        out.code(n)
+        bits = webp.Bits(out.word.to_bytes(-(-out.n // 8) + 1, "little"))
+        assert webp.read_prefix(bits, len(n)).table == webp.Prefix(tuple(n.tolist())).table and bits.place == out.n
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16, 17, 200, 256, 1000])
+def test_webp_palettes(colours):
+    r = np.random.default_rng(colours)
+    table = r.integers(0, 1 << 32, colours, dtype=np.uint64).astype(np.uint32)
+    for shape in ((64, 16), (1, 16), (5, 7), (40, 33)):
+        image = table[r.integers(0, colours, shape)]
+        image[-1, -8:] = image[0, :8] if shape[1] > 8 else image[-1, -8:]
+        assert (webp.decode(webp.encode(image)) == image).all()
+
+
+def test_webp_uses_what_fits():
+    """Text repeats become back-references, recent colours cache entries, columns that change slowly the predictor."""
+    r = random.Random(7)
+    words = [f"{w}{i}" for w in WORDS for i in range(60)]
+    text = " ".join(r.choice(words) for _ in range(3000)).encode()
+    text += b"x" * (-len(text) % 64)
+    assert len(webp.store(text * 2)) < 1.1 * len(webp.store(text)) < len(text)
+    slow = np.cumsum(np.random.default_rng(3).integers(-1, 2, (300, 64)), 0).astype(np.uint8).tobytes()
+    assert len(webp.store(slow)) < 0.35 * len(slow)
+    few = b"".join(r.choice([b"abcd", b"efgh", b"ijkl"]) for _ in range(1600))
+    assert len(webp.store(few)) < 0.12 * len(few)
+    for x in (text * 2, slow, few, r.randbytes(64 * 300)):
+        assert webp.load(webp.store(x)) == x
+
+
+def test_webp_query(spark, docs, monkeypatch):
+    """The query's columns against plain Python, for nulls, empty, long and repeated texts."""
+    monkeypatch.setattr(webp.common, "table", lambda *_: docs)
+    for row in webp.op5_webp(spark, "").collect():
+        raw = (texts()[row["doc_id"]] or "").encode()
+        want = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = webp.store(want)
+        lines = [want[i : i + 64] for i in range(0, len(want), 64)]
+        steps = [abs(x - y) for a, b in zip(lines, lines[1:]) for x, y in zip(a, b, strict=True)]
+        feature = f"rows={len(lines)};distinct={len(set(want))};mean={sum(want) / len(want):.6f};high={sum(b > 127 for b in want) / len(want):.6f};step={sum(steps) / len(steps) if steps else 0:.6f}"
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (row["media_bytes"], row["media_sha256"], row["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+
+
 def test_webp_round_trip(docs, none):
     rows = webp.stored(docs).collect()
     for r in rows:

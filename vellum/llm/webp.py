@@ -1,11 +1,18 @@
-"""Lossless WebP: a decoder for the whole public bitstream and an encoder for raw samples.
+"""Lossless WebP: a decoder for the whole public bitstream and an encoder.
 
 The decoder reads prefix codes (simple and normal), back-references, the colour cache and meta prefix images, and
-inverts the predictor, cross-colour, subtract-green and palette transforms. Pixel arrays are uint32 ARGB. Images whose
-prefix codes are all of one length and hold literals only are decoded with numpy; others symbol by symbol.
-
-``store`` writes bytes as the channels of an image (green, red, blue, alpha order of the bitstream), with the
-predictor, cross-colour and subtract-green transforms on, one file for each 2^20 bytes; ``load`` reads them back.
+inverts the predictor, cross-colour, subtract-green and palette transforms. Pixel arrays are uint32 ARGB. Symbols are
+read by tables, one look-up for each; what back-references and cache entries stand for is resolved for the whole image
+at once: each such pixel points at an earlier one, and pointers are followed in doubling steps. Images of several code
+groups are decoded pixel by pixel.
+
+``store`` writes bytes as the channels of an image, 16 pixels a row, one file for each 2^20 bytes. Images of few
+colours get a palette, packed where it is small; others the predictor (from above or none, whichever gives the lower
+entropy in a tile), cross-colour factors by least squares, or subtract-green where these are large. Then repeated pixels become
+back-references, recent colours cache entries, and each alphabet gets its own prefix code. ``load`` reads it back.
+
+Null and empty texts: 64 zeros. Long texts are stored whole. Repeated rows: equal values. Empty table: no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +43,15 @@ NEAR = [
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE = 16384
-_reverse = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+
+
+@lru_cache(16)
+def turned(n: int) -> np.ndarray:
+    """All numbers of n bits, each with its bits turned round."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
 
 
 class Bits:
@@ -45,17 +60,24 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.have, self.word = data, 0, 0, 0
 
-    def read(self, n: int) -> int:
-        while self.have < n:
-            part = self.data[self.at : self.at + 8]
-            if not part:
-                raise ValueError("the bitstream ends too early")
+    def peek(self, n: int) -> int:
+        """The next n bits, zeros after the end."""
+        while self.have < n and self.at < len(self.data):
+            part = self.data[self.at : self.at + max(8, (n - self.have + 7) >> 3)]
             self.word |= int.from_bytes(part, "little") << self.have
             self.have += 8 * len(part)
             self.at += len(part)
-        out = self.word & ((1 << n) - 1)
+        return self.word & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
+        if n > self.have:
+            raise ValueError("the bitstream ends too early")
         self.word >>= n
         self.have -= n
+
+    def read(self, n: int) -> int:
+        out = self.peek(n)
+        self.skip(n)
         return out
 
     @property
@@ -70,48 +92,46 @@ class Bits:
 
 
 class Prefix:
-    """A canonical prefix code out of its code lengths."""
+    """A canonical prefix code out of its code lengths: for the next ``bits`` bits the symbol and how many it takes, as
+    one number. A code of one symbol takes none."""
 
     def __init__(self, lengths: tuple[int, ...]):
-        used = [i for i, n in enumerate(lengths) if n]
-        if not used:
-            used, lengths = [0], (1,)
-        self.only = used[0] if len(used) == 1 else None
-        self.uniform = {lengths[i] for i in used} == {8} and used == list(range(256))
-        self.codes: dict[tuple[int, int], int] = {}
-        code = 0
-        for n in range(1, 16):
-            for i in used:
-                if lengths[i] == n:
-                    self.codes[n, code] = i
-                    code += 1
-            code <<= 1
-        if self.only is None and sum(2.0 ** -lengths[i] for i in used) != 1:
+        n = np.array(lengths)
+        used = np.flatnonzero(n)
+        self.bits, self.only = 0, None
+        if len(used) < 2:
+            self.only = int(used[0]) if len(used) else 0
+            self.table = [self.only << 4]
+            return
+        self.bits = int(n.max())
+        order = used[np.argsort(n[used], kind="stable")]
+        span = 1 << (self.bits - n[order])
+        if span.sum() != 1 << self.bits:
             raise ValueError("a prefix code isn't complete")
+        self.table = np.repeat(order << 4 | n[order], span)[turned(self.bits)].tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = n = 0
-        while n < 15:
-            code = code << 1 | bits.read(1)
-            n += 1
-            if (n, code) in self.codes:
-                return self.codes[n, code]
-        raise ValueError("no such prefix code")
+        e = self.table[bits.peek(self.bits)]
+        bits.skip(e & 15)
+        return e >> 4
 
 
 prefix = lru_cache(4096)(Prefix)
 
 
+@lru_cache(4096)
+def simple(first: int, second: int) -> Prefix:
+    """The code of one symbol or two."""
+    return Prefix(tuple(int(i in (first, second)) for i in range(256)))
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
     if bits.read(1):
-        two, first8 = bits.read(1), bits.read(1)
-        lengths = [0] * max(size, 256)
-        lengths[bits.read(8 if first8 else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return prefix(tuple(lengths))
+        head = bits.peek(18)
+        two, wide = head & 1, 8 if head & 2 else 1
+        first, second = head >> 2 & (1 << wide) - 1, head >> (2 + wide) & 255
+        bits.skip(2 + wide + 8 * two)
+        return simple(first, second if two else first)
     coded = [0] * 19
     for i in range(4 + bits.read(4)):
         coded[LENGTH_ORDER[i]] = bits.read(3)
@@ -120,21 +140,49 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     lengths, last = [], 8
     if of.only is not None and of.only < 16:  # one symbol takes no bits
         lengths, left = [of.only] * min(left, size), 0
-    while len(lengths) < size and left:
+    # symbols and their extra bits by one number: at most 7 + 7 bits for each of what is left
+    word, used, table, mask = bits.peek(14 * min(left, size)), 0, of.table, (1 << of.bits) - 1
+    while left and len(lengths) < size:
         left -= 1
-        s = of.read(bits)
+        e = table[word & mask]
+        n, s = e & 15, e >> 4
+        word >>= n
         if s < 16:
             lengths.append(s)
             last = s or last
         elif s == 16:
-            lengths += [last] * (3 + bits.read(2))
+            lengths += [last] * (3 + (word & 3))
+            word >>= 2
+            n += 2
         else:
-            lengths += [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
+            k, least = (3, 3) if s == 17 else (7, 11)
+            lengths += [0] * (least + (word & (1 << k) - 1))
+            word >>= k
+            n += k
+        used += n
+    bits.skip(used)
     if len(lengths) > size:
         raise ValueError("too many code lengths")
     return prefix((*lengths, *[0] * (size - len(lengths))))
 
 
+def read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[Prefix]:
+    """The codes of a group. Where the same bits come again for an alphabet of the same size it's the same code, as a
+    code's text tells its own end."""
+    out: list[Prefix] = []
+    text, n, before = 0, 0, 0
+    for size in sizes:
+        if size == before and bits.peek(n) == text and bits.have >= n:
+            bits.skip(n)
+            out.append(out[-1])
+            continue
+        place, ahead = bits.place, bits.peek(14 * size + 80)
+        out.append(read_prefix(bits, size))
+        n, before = bits.place - place, size
+        text = ahead & ((1 << n) - 1)
+    return out
+
+
 def extended(bits: Bits, code: int) -> int:
     """A length or distance from its prefix symbol."""
     if code < 4:
@@ -153,10 +201,16 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = (read_image(bits, meta_width, -(-height >> shift), False) >> np.uint32(8)) & np.uint32(0xFFFF)
         groups = int(meta.max()) + 1
     size = 256 + 24 + ((1 << cache_bits) if cache_bits else 0)
-    codes = [[read_prefix(bits, n) for n in (size, 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [read_codes(bits, (size, 256, 256, 256, 40)) for _ in range(groups)]
     total = width * height
-    if meta is None and all(c.uniform for c in codes[0][:4]):
-        return _read_uniform(bits, total)
+    if meta is None and total and codes[0][0].only is not None and codes[0][0].only < 256 and all(c.only is not None for c in codes[0][1:4]):
+        g, r, b, a = (c.only for c in codes[0][:4])
+        return np.full(total, a << 24 | r << 16 | g << 8 | b, np.uint32)
+    if meta is None:
+        place = bits.place
+        if (out := _read_whole(bits, codes[0], width, total, cache_bits)) is not None:
+            return out
+        bits.skip_to(place)  # an entry of the cache is used that no pixel has set
     out = np.zeros(total, np.uint32)
     cache = [0] * (1 << cache_bits)
     at = cached = 0
@@ -189,18 +243,99 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _read_uniform(bits: Bits, total: int) -> np.ndarray:
-    """Literals of 8 bits a channel: the stream's bytes, each with its bits turned round."""
-    first, shift = divmod(bits.place, 8)
-    d = np.frombuffer(bits.data, np.uint8, offset=first)
-    n = 4 * total
-    if len(d) < n + (shift > 0):
+def _followed(source: np.ndarray) -> np.ndarray:
+    """Where each pointer ends; those to themselves are ends."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """Pixels of an image of one code group; None if it uses a cache entry before a pixel has set it."""
+    first = bits.place
+    data = np.frombuffer(bits.data, np.uint8, offset=first >> 3)
+    b = np.zeros(len(data) + 40, np.uint32)
+    b[: len(data)] = data
+    b = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
+    # the 15 bits from each bit on
+    ahead = memoryview(((b[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.uint16).reshape(-1))
+    (green, red, blue, alpha, far), (g, r, u, a, f) = ([c.table for c in codes], [(1 << c.bits) - 1 for c in codes])
+    pixels: list[int] = []
+    marks: list[tuple[int, int, int, int]] = []  # place, length, distance, cache key
+    literal, p, at, most = pixels.append, first & 7, 0, 8 * len(data)
+    while at < total:
+        if p > most:
+            raise ValueError("the bitstream ends too early")
+        e = green[ahead[p] & g]
+        p += e & 15
+        s = e >> 4
+        if s < 256:
+            x = red[ahead[p] & r]
+            p += x & 15
+            y = blue[ahead[p] & u]
+            p += y & 15
+            z = alpha[ahead[p] & a]
+            p += z & 15
+            literal((z >> 4) << 24 | (x >> 4) << 16 | s << 8 | y >> 4)
+            at += 1
+        elif s >= 280:
+            marks.append((at, 1, 0, s - 280))
+            at += 1
+        else:
+            found = []
+            code = s - 256
+            for k in range(2):
+                n = (code - 2) >> 1 if code > 3 else 0
+                low = ahead[p] & ((1 << min(n, 15)) - 1)
+                if n > 15:
+                    low |= (ahead[p + 15] & ((1 << (n - 15)) - 1)) << 15
+                p += n
+                found.append(((2 + (code & 1)) << n) + low + 1 if n else code + 1)
+                if not k:
+                    e = far[ahead[p] & f]
+                    p += e & 15
+                    code = e >> 4
+            length, code = found
+            back = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+            if back > at or at + length > total:
+                raise ValueError("a back-reference leaves the image")
+            marks.append((at, length, back, 0))
+            at += length
+    if p > most:
         raise ValueError("the bitstream ends too early")
-    if shift:
-        d = (d[:n] >> np.uint8(shift)) | (d[1 : n + 1] << np.uint8(8 - shift))
-    x = _reverse[d[:n]].reshape(-1, 4)
-    bits.skip_to(8 * first + shift + 8 * n)
-    return np.ascontiguousarray(x[:, [2, 0, 1, 3]]).view("<u4")[:, 0]
+    bits.skip_to(8 * (first >> 3) + p)
+    if not marks:
+        return np.array(pixels, np.uint32)
+    place, length, back, key = np.array(marks).T
+    source, literals = np.arange(total), np.ones(total, bool)
+    copied = np.repeat(place - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    literals[copied] = False
+    source[copied] -= np.repeat(back, length)
+    out = np.zeros(total, np.uint32)
+    out[literals] = pixels
+    source = _followed(source)
+    cached = back == 0
+    if cached.any():
+        # the key of every pixel is known before its colour is: an entry's colour has that entry's key
+        keys = np.zeros(total, np.int64)
+        keys[literals] = cache_key(out[literals], cache_bits)
+        keys[place[cached]] = key[cached]
+        keys = keys[source]
+        order = np.argsort(keys, kind="stable")
+        before = np.full(total, -1)
+        same = keys[order[1:]] == keys[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        if (before[place[cached]] < 0).any():
+            return None
+        source[place[cached]] = before[place[cached]]
+        source = _followed(source)
+    return out[source]
+
+
+def cache_key(p: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
 def _channels(p: np.ndarray) -> np.ndarray:
@@ -226,7 +361,7 @@ def _select(left: int, top: int, top_left: int) -> int:
 
 def predict(mode: int, left: int, top: int, top_right: int, top_left: int) -> int:
     """The format's fourteen predictors."""
-    if mode == 0:
+    if mode in (0, 14, 15):  # the last two aren't defined and count as none
         return 0xFF000000
     if mode <= 4:
         return (left, top, top_right, top_left)[mode - 1]
@@ -248,11 +383,25 @@ def _add(a: int, b: int) -> int:
 
 def invert_predictor(p: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
     modes = ((modes >> np.uint32(8)) & np.uint32(15)).reshape(-(-height >> bits), -1)
-    if (modes == 2).all() or height == 1:  # all from above: sums down the columns
+    if height == 1 or modes.shape[1] == 1 and np.isin(modes, (0, 2)).all():  # from above or none, by rows: sums down the columns
         x = _channels(p.reshape(height, width)).copy()
         x[0, :1, 3] += np.uint8(255)
         x[0] = np.cumsum(x[0], 0, np.uint8)
-        return np.cumsum(x, 0, np.uint8).view("<u4").reshape(-1)
+        if height > 1 and not modes.any():
+            x[1:, 1:, 3] += np.uint8(255)
+            x[:, 0] = np.cumsum(x[:, 0], 0, np.uint8)
+            return x.view("<u4").reshape(-1)
+        new = np.repeat(modes[:, 0] == 0, 1 << bits)[:height] if height > 1 else np.ones(1, bool)
+        new[0] = False
+        x[new, 1:, 3] += np.uint8(255)
+        new[0] = True
+        sums = np.cumsum(x, 0, np.uint8)
+        start = np.maximum.accumulate(np.where(new, np.arange(height), 0))  # the row where each row's sums begin
+        later = start > 0
+        first_column = sums[:, 0].copy()
+        sums[later] -= sums[start[later] - 1]
+        sums[:, 0] = first_column  # always from above
+        return sums.view("<u4").reshape(-1)
     out = p.tolist()
     for y in range(height):
         for x in range(width):
@@ -273,6 +422,8 @@ def _delta(element: np.ndarray, channel: np.ndarray) -> np.ndarray:
 
 def cross_colour(p: np.ndarray, width: int, height: int, bits: int, elements: np.ndarray, back: bool) -> np.ndarray:
     """The cross-colour transform of an image (``back``: its inverse)."""
+    if not (elements & np.uint32(0xFFFFFF)).any():
+        return p
     e = _channels(elements.reshape(-(-height >> bits), -1))
     e = e.repeat(1 << bits, 0)[:height].repeat(1 << bits, 1)[:, :width]
     x = _channels(p.reshape(height, width)).copy()
@@ -360,24 +511,103 @@ class Writer:
         self.put(1, 1)
         self.put(symbol, 8)
 
-    def uniform(self, size: int) -> None:
-        """A normal prefix code: 8 bits for each of the first 256 symbols."""
-        self.put(0, 1)
-        self.put(8, 4)
-        for s in LENGTH_ORDER[:12]:
-            self.put(1 if s == 8 else 0, 3)
-        if size > 256:
+    def pack(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many values of up to 64 bits."""
+        total = int(sizes.sum())
+        each = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(total, dtype=np.int32) - (np.cumsum(sizes) - sizes).astype(np.int32)[each]
+        bit = (values[each] >> place.astype(np.uint64)).astype(np.uint8) & np.uint8(1)
+        self.put(int.from_bytes(np.packbits(bit, bitorder="little").tobytes(), "little"), total)
+
+    def code(self, lengths: np.ndarray) -> None:
+        """A prefix code by its code lengths: simple for one or two symbols, else normal, with runs."""
+        used = np.flatnonzero(lengths)
+        if len(used) <= 2 and not (used > 255).any():
             self.put(1, 1)
-            self.put(3, 3)
-            self.put(254, 8)
-        else:
-            self.put(0, 1)
-
-    def constant_image(self, argb: int) -> None:
-        """An image of one colour: five codes of one symbol, no data."""
+            self.put(int(len(used) == 2), 1)
+            self.put(1, 1)
+            for symbol in used.tolist() or [0]:
+                self.put(symbol, 8)
+            return
+        # fixed lengths of the code of code lengths: 13 symbols of four bits and six rare ones of five fill it
+        head = sum((5 if s in RARE else 4) << 3 * i for i, s in enumerate(LENGTH_ORDER))
+        self.put(15 << 1 | head << 5, 5 + 57)
         self.put(0, 1)
-        for s in (argb >> 8 & 255, argb >> 16 & 255, argb & 255, argb >> 24, 0):
-            self.single(s)
+        edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1], [True]]))
+        word = n = 0
+        for v, k in zip(lengths[edge[:-1]].tolist(), np.diff(edge).tolist(), strict=True):
+            if v:
+                c, m = LENGTH_CODES[v]
+                word |= c << n
+                n += m
+                k -= 1
+            while k:
+                if not v and k > 10:
+                    t, s, low, extra = min(k, 138), 18, 11, 7
+                elif not v and k > 2:
+                    t, s, low, extra = k, 17, 3, 3
+                elif v and k > 2:
+                    t, s, low, extra = min(k, 6), 16, 3, 2
+                else:
+                    t, s, low, extra = 1, v, 1, 0
+                c, m = LENGTH_CODES[s]
+                word |= (c | (t - low) << m) << n
+                n += m + extra
+                k -= t
+        self.put(word, n)
+
+
+#: Rare symbols of the code of code lengths, and the codes of all.
+RARE = (1, 2, 13, 14, 15, 16)
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes of a complete set of lengths, to be written with their first bit first."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[order]
+    out = np.zeros(len(lengths), np.uint64)
+    if len(order) > 1:
+        span = 1 << (15 - n)
+        out[order] = turned(15)[np.cumsum(span) - span]
+    return out
+
+
+_meta = np.array([5 if s in RARE else 4 for s in range(19)])
+LENGTH_CODES = list(zip(canonical(_meta).astype(int).tolist(), _meta.tolist(), strict=True))
+
+
+def code_lengths(counts: np.ndarray, most: int = 12) -> np.ndarray:
+    """Lengths of a prefix code for symbols used that often: merging the two rarest, by two queues. Where a code is
+    longer than ``most``, counts are halved until none is."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    c = counts[used]
+    while True:
+        order = np.argsort(c, kind="stable")
+        n = len(c)
+        w, up = c[order].tolist(), [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= k or w[leaf] <= w[node]):
+                    x, leaf = leaf, leaf + 1
+                else:
+                    x, node = node, node + 1
+                up[x] = k
+                total += w[x]
+            w.append(total)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[up[x]] + 1
+        if max(depth[:n]) <= most:
+            out[used[order]] = depth[:n]
+            return out
+        c = (c + 1) // 2
 
 
 def container(body: bytes) -> bytes:
@@ -385,51 +615,176 @@ def container(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
-#: Cross-colour factors (5-bit fixed point) of what ``encode`` writes: green to red, green to blue, red to blue.
-FACTORS = (8, 8, 8)
+def repeats(p: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of disjoint runs of ``least`` or more pixels that stand as well at the last place where
+    their beginning was."""
+    n = len(p) - least + 1
+    if n < 2:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(p, least)
+    key = np.zeros(n, np.uint64)
+    for k in range(least):
+        key = (key ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if not same.any():
+        return []
+    back = np.zeros(n, np.int64)
+    later, earlier = order[1:][same], order[:-1][same]
+    real = (windows[later] == windows[earlier]).all(1)
+    back[later[real]] = (later - earlier)[real]
+    edge = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1], [True]]))
+    out, at = [], 0
+    for i, j, d in zip(edge[:-1].tolist(), edge[1:].tolist(), back[edge[:-1]].tolist(), strict=True):
+        end = j - 1 + least
+        i = max(i, at)
+        if d and end - i >= least:
+            out += [(k, min(4096, end - k), d) for k in range(i, end, 4096)]
+            at = end
+    return out
+
+
+def prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distances, with their extra bits and how many these are."""
+    d = v - 1
+    top = np.maximum(np.frexp(d.astype(float))[1] - 1, 1)
+    n = np.where(d < 4, 0, top - 1)
+    return np.where(d < 4, d, 2 * top + (d >> (top - 1) & 1)), d & ((1 << n) - 1), n
+
+
+def put_image(out: Writer, p: np.ndarray, main: bool) -> None:
+    """An entropy-coded image: back-references, cache entries and literals under five prefix codes."""
+    n = len(p)
+    if not main and (p == p[0]).all():  # five codes of one symbol, no data
+        out.put(0, 1)
+        for k in (8, 16, 0, 24):
+            out.single(int(p[0]) >> k & 255)
+        out.single(0)
+        return
+    marks = repeats(p) if main else []
+    alone = np.ones(n, bool)
+    place, length, back = np.array(marks, np.int64).reshape(-1, 3).T
+    if marks:
+        alone[np.repeat(place - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] = False
+    cache_bits, hit, keys = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if main:
+        keys = cache_key(p, 8)
+        order = np.argsort(keys, kind="stable")
+        recent = order[1:][p[order[1:]] == p[order[:-1]]]  # equal colours have equal keys
+        hit = np.sort(recent[alone[recent]])
+        cache_bits = 8 if len(hit) >= 16 else 0
+        hit = hit if cache_bits else hit[:0]
+        alone[hit] = False
+    literal = np.flatnonzero(alone)
+    c = _channels(p[literal])
+    (ls, lx, ln), (ds, dx, dn) = (prefixed(length), prefixed(back + 120)) if marks else ((length,) * 3,) * 2
+    greens = np.concatenate([c[:, 1].astype(np.int64), 256 + ls, 280 + keys[hit]])
+    # red, blue and alpha have one code's lengths in common
+    counts = [np.bincount(greens, minlength=280 + (1 << cache_bits if cache_bits else 0)), np.bincount(c[:, (2, 0, 3)].reshape(-1), minlength=256), np.bincount(ds, minlength=40)]
+    lengths = [code_lengths(x) for x in counts]
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)  # one group of codes
+    for x, times in zip(lengths, (1, 3, 1), strict=True):
+        head = Writer()
+        head.code(x)
+        for _ in range(times):
+            out.put(head.word, head.n)
+    # a code of one symbol takes no bits
+    lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
+    codes = [canonical(x) for x in lengths]
+    value, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+
+    def add(at: np.ndarray, v: np.ndarray, k: np.ndarray) -> None:
+        value[at] |= v.astype(np.uint64) << size[at].astype(np.uint64)
+        size[at] += k
+
+    for k, i in ((1, 0), (2, 1), (0, 1), (3, 1)):
+        add(literal, codes[i][c[:, k]], lengths[i][c[:, k]])
+    if cache_bits:
+        add(hit, codes[0][280 + keys[hit]], lengths[0][280 + keys[hit]])
+    if marks:
+        for v, k in ((codes[0][256 + ls], lengths[0][256 + ls]), (lx, ln), (codes[2][ds], lengths[2][ds]), (dx, dn)):
+            add(place, v, k)
+    out.pack(value, size)
+
+
+#: x log2 x, for the entropies of tiles.
+_xlog = np.array([0.0, *(x * np.log2(x) for x in range(1, 1025))])
+
+
+def factors(p: np.ndarray) -> tuple[int, int, int]:
+    """Least-squares slopes green to red, green to blue and red to what is left of blue, in 32nds, for signed bytes; 0
+    where one explains little."""
+    m = _channels(p).view(np.int8).T[:3].astype(np.float32)
+    m -= m.sum(1, keepdims=True) / m.shape[1]
+    (bb, gb, rb), (_, gg, rg), (_, _, rr) = (m @ m.T).tolist()
+
+    def slope(both: float, a: float, b: float) -> int:
+        return max(-128, min(127, round(32 * both / a))) if both * both > 0.1 * a * b > 0 else 0
+
+    to_red, to_blue = slope(rg, gg, rr), slope(gb, gg, bb)
+    f = to_blue / 32
+    return to_red, to_blue, slope(rb - f * rg, rr, bb - 2 * f * gb + f * f * gg)
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A lossless file of pixels (height x width, uint32 ARGB): prediction from above, cross-colour, subtract-green."""
+    """A lossless file of pixels (height x width, uint32 ARGB); see the module's text for what it chooses."""
     height, width = pixels.shape
-    x = _channels(pixels)
-    residual = x.copy()
-    residual[1:] -= x[:-1]
-    residual[0, 1:] -= x[0, :-1]
-    residual[0, :1, 3] -= np.uint8(255)
-    b = 9
-    element = 0xFF000000 | FACTORS[2] << 16 | FACTORS[1] << 8 | FACTORS[0]
-    blocks = (-(-height >> b)) * (-(-width >> b))
-    p = cross_colour(residual.view("<u4").reshape(-1), width, height, b, np.full(blocks, element, np.uint32), False)
-    p = subtract_green(p, False)
     out = Writer()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(1, 1)
-    out.put(0, 3)
-    for kind, colour in ((PREDICTOR, 0xFF000200), (CROSS_COLOUR, element)):
+    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        out.put(v, n)
+    colours = np.sort(pixels, axis=None)
+    colours = colours[np.concatenate([[True], colours[1:] != colours[:-1]])]
+    if len(colours) <= min(256, max(1, pixels.size // 2)):
+        index = np.searchsorted(colours, pixels)
+        b = pack_bits(len(colours))
         out.put(1, 1)
-        out.put(kind, 2)
-        out.put(b - 2, 3)
-        out.constant_image(colour)
-    out.put(1, 1)
-    out.put(SUBTRACT_GREEN, 2)
-    out.put(0, 3)  # no further transform, no colour cache, one group of codes
-    for n in (280, 256, 256, 256):
-        out.uniform(n)
-    out.single(0)
-    data = _reverse[_channels(p)[:, [1, 2, 0, 3]].reshape(-1)]
-    n, shift = divmod(out.n, 8)
-    head = (out.word & ((1 << 8 * n) - 1)).to_bytes(n, "little")
-    if shift:
-        tail = np.zeros(len(data) + 1, np.uint8)
-        tail[:-1] = data << np.uint8(shift)
-        tail[1:] |= data >> np.uint8(8 - shift)
-        tail[0] |= np.uint8(out.word >> 8 * n)
+        out.put(PALETTE, 2)
+        out.put(len(colours) - 1, 8)
+        steps = _channels(colours)
+        put_image(out, np.concatenate([steps[:1], steps[1:] - steps[:-1]]).view("<u4").reshape(-1), False)
+        grid = np.zeros((height, -(-width >> b) << b), np.uint32)
+        grid[:, :width] = index
+        packed = (grid.reshape(height, -1, 1 << b) << (np.arange(1 << b, dtype=np.uint32) * np.uint32(8 >> b))).sum(2, dtype=np.uint32)
+        out.put(0, 1)
+        put_image(out, (packed << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), True)
+        return container(out.word.to_bytes(-(-out.n // 8), "little"))
+    x = _channels(pixels)
+    above = x.copy()
+    above[1:] -= x[:-1]
+    residual = x.copy()
+    bits = 4 if width <= 16 else 9
+    rows = np.arange(height) >> bits
+    if width <= 16:
+        tile = (rows * 256)[:, None]
+        cost = [-_xlog[np.bincount((tile + v.reshape(height, -1)).reshape(-1), minlength=256 * (rows[-1] + 1))].reshape(-1, 256).sum(1) for v in (x, above)]
+        up = cost[1] < cost[0]
     else:
-        tail = data
-    return container(head + tail.tobytes())
+        up = np.ones(rows[-1] + 1, bool)
+    residual[..., 3] -= np.uint8(255)
+    residual[up[rows]] = above[up[rows]]
+    residual[:, 0] = above[:, 0]
+    residual[0, 1:] = x[0, 1:] - x[0, :-1]
+    residual[0, 0] = x[0, 0] - np.array([0, 0, 0, 255], np.uint8)
+    modes = np.repeat(np.where(up, 2, 0), -(-width >> bits)).astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+    p = residual.view("<u4").reshape(-1)
+    to_red, to_blue, red_to_blue = factors(p)
+    minus_green = min(to_red, to_blue) > 16
+    element = 0xFF000000 if minus_green else 0xFF000000 | (red_to_blue & 255) << 16 | (to_blue & 255) << 8 | (to_red & 255)
+    elements = np.full((-(-height >> 9)) * (-(-width >> 9)), element, np.uint32)
+    p = cross_colour(p, width, height, 9, elements, False)
+    for kind, b, image in ((PREDICTOR, bits, modes), (CROSS_COLOUR, 9, elements)):
+        out.put(1 | kind << 1 | (b - 2) << 3, 6)
+        put_image(out, image, False)
+    if minus_green:
+        p = subtract_green(p, False)
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(0, 1)
+    put_image(out, p, True)
+    return container(out.word.to_bytes(-(-out.n // 8), "little"))
 
 
 #: Bytes of one stored image: 16 pixels a row, at most MAX_SIDE rows.
