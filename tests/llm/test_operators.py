@@ -441,11 +441,18 @@ def test_prefix_counts(docs, none):
 
     tok = Tokenizer.from_file(path)
     n = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
-    got = {r["doc_id"]: r["n_tokens"] for r in prefix_counts.token_counts(docs, path, 512).collect()}
-    assert got == {i: n(t) for i, t in enumerate(texts())}
+    for limit in (3, 40):
+        got = {r["doc_id"]: (r["n_tokens"], r["over_limit"], r["fit_chars"]) for r in prefix_counts.token_counts(docs, path, limit).collect()}
+        for i, t in enumerate(texts()):
+            t = t or ""
+            fit = len(t) if n(t) <= limit else max(k for k in range(min(len(t), 12 * limit) + 1) if n(t[:k]) <= limit)
+            assert got[i] == (n(t), n(t) > limit, fit), t
     counter = prefix_counts.loaded(path)
-    for t in ("a  b\n c  ", "don't we'll 12345 ...", "naïve 🙂🙂 x<|endoftext|>y z", " \n\t x"):
-        assert counter.counts(t).tolist() == [n(t[:k]) for k in range(len(t) + 1)]
+    odd = ["a  b\n c  ", "don't we'll 12345 ...", "naïve 🙂🙂 x<|endoftext|>y z", " \n\t x", "x   'll  '  's'd!!'re \u3000\u3000é", "\x1c\x1d a\x85\xa0b", " " * 70 + "a" * 300, "'", "''s'S"]
+    r = random.Random(3)
+    odd += ["".join(r.choice("ab'sltdre  \n.,1é東\u3000<|") for _ in range(60)) for _ in range(30)]
+    for t in odd:
+        assert counter.counts(t).tolist() == [n(t[:k]) for k in range(len(t) + 1)], t
         assert counter.fits(t, 3) == max(k for k in range(len(t) + 1) if n(t[:k]) <= 3)
     assert prefix_counts.token_counts(none, path, 1).count() == 0
 

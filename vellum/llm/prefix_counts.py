@@ -6,10 +6,12 @@ exact count, of *every* prefix, without encoding any prefix anew. Two tokens may
 their border comes before the merges that built the two inner edges; that is read off the merge ranks.
 
 ``PrefixCounts.counts`` stores the count at every character of a text and answers how much of a text fits a budget
-and what a cut costs. The column functions below count whole texts with the tables of distinct space-led chunks.
+and what a cut costs. The column functions count whole texts with the tables of distinct space-led chunks; the query
+also tells how many characters fit its limit, from the table of the one chunk where the count passes it.
 
 Nulls and empty texts: 0 tokens. Special strings inside texts are one token each, as the tokenizer's default has it.
-Long texts are counted whole. Repeated rows: counted each. Other columns: kept by ``token_counts`` callers as they are.
+Long texts are counted whole. Repeated rows: counted each. Empty table: no rows. Other columns are not read; the result
+has the id and the counts only.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from . import common
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+
 
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the rest from 256."""
@@ -62,6 +66,7 @@ class PrefixCounts:
             self.parts.setdefault(z, (r, x, y))
         self.pairs: dict[int, bool] = {}
         self.find = regex.compile(PATTERN).findall
+        self.white = regex.compile(rf"[{SPACE}]+").finditer
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         #: A space with white space or a text's edge on both sides: there a chunk isn't independent of its neighbour.
         self.odd = regex.compile(r"(?:^|\s) (?=\s|$)").search
@@ -177,8 +182,9 @@ class PrefixCounts:
             core = c[:-1]
             known[c] = known[core] + 1 if c[-1:] in (",", ".") and core.isalpha() else self._sum(f" {c}")
 
-    def count_all(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of whole texts; only distinct chunks become Python strings."""
+    def count_all(self, texts: pa.Array, budget: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens of whole texts, and with ``budget`` the characters of each text's longest prefix within it. Only
+        distinct chunks become Python strings."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         plain = texts.to_pylist()
         alone = [i for i, t in enumerate(plain) if self.odd(t) or any(s in t for s in self.special)]
@@ -193,17 +199,33 @@ class PrefixCounts:
         each = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[at]
         heads = ends[:-1]
         each[heads] = 0
-        total = np.diff(np.concatenate([[0], np.cumsum(each)])[ends])
-        for i, k in enumerate(heads.tolist()):
-            if head := names[at[k]]:
+        for i in heads.tolist():
+            if head := names[at[i]]:
                 if head not in self.first:
                     if len(self.first) > self.most // 10:
                         self.first.clear()
                     self.first[head] = self._sum(head)
-                total[i] += self.first[head]
+                each[i] = self.first[head]
+        run = np.concatenate([[0], np.cumsum(each)])
+        total = np.diff(run[ends])
+        fit = None
+        if budget is not None:
+            fit = pc.utf8_length(texts).to_numpy().astype(np.int64)
+            over = np.flatnonzero(total > budget)
+            # counts at the ends of chunks rise, so the last prefix that fits ends in the first chunk that passes it
+            chunk = np.searchsorted(run, run[heads[over]] + budget, "right") - 1
+            for i, c in zip(over.tolist(), chunk.tolist(), strict=True):
+                k, first = c - int(heads[i]), not c - int(heads[i])
+                words = parts.values.slice(heads[i], k).to_pylist() if k else []
+                piece = names[at[c]] if first else f" {names[at[c]]}"
+                fit[i] = sum(map(len, words)) + max(0, k - 1) + self.fits(piece, budget - int(run[c] - run[heads[i]]))
         for i in alone:
             total[i] = self.count(plain[i])
-        return total
+            if fit is not None and total[i] > budget:
+                fit[i] = self.fits(plain[i], budget)
+            elif fit is not None:
+                fit[i] = len(plain[i])
+        return total, fit
 
     def counts(self, text: str) -> np.ndarray:
         """Exact count of text[:k] for every k; special strings count once they are complete."""
@@ -219,24 +241,30 @@ class PrefixCounts:
         return out
 
     def _fill(self, text: str, out: np.ndarray, base: int) -> None:
-        out[0] = base
-        starts, sums, at = [], [], 0
+        """Counts of all prefixes of a text without special strings: a cut leaves all pre-tokens before it as they are,
+        and what it leaves of its own is one pre-token again, or white space that joins all white space before it."""
+        out[0], at = base, 0
+        marks: dict[int, int] = {0: base}  # counts at the beginnings of pre-tokens
         for p in self.find(text):
-            starts.append(at)
-            sums.append(base)
-            table = None
-            for k in range(at + 1, at + len(p) + 1):
-                r = len(starts) - 1
-                while r and text[starts[r] : k].isspace() and text[starts[r] - 1].isspace():
-                    r -= 1
-                part = text[starts[r] : k]
-                if len(again := self.find(part)) == 1 and starts[r] == at:
-                    table = table or self.table(p.encode())
-                    out[k] = sums[r] + (table[len(part.encode())])
-                else:
-                    out[k] = sums[r] + sum(self.table(x.encode())[-1] for x in again)
-            base += (table or self.table(p.encode()))[-1]
+            table = self.table(p.encode())
+            if p in CONTRACTIONS:
+                for k in range(1, len(p)):
+                    out[at + k] = base + self._sum(p[:k])
+                out[at + len(p)] = base + table[-1]
+            else:
+                out[at + 1 : at + len(p) + 1] = base + self._by_character(p, table)
             at += len(p)
+            base += table[-1]
+            marks[at] = base
+        for m in self.white(text):
+            run = m[0]
+            out[m.start() + 1 : m.end() + 1] = marks[m.start()] + self._by_character(run, self.table(run.encode()))
+
+    @staticmethod
+    def _by_character(p: str, table: list[int]) -> np.ndarray:
+        if p.isascii():
+            return np.array(table[1:])
+        return np.array(table)[np.cumsum([len(c.encode()) for c in p])]
 
     def fits(self, text: str, budget: int) -> int:
         """Characters of the longest prefix with at most ``budget`` tokens."""
@@ -251,14 +279,17 @@ def loaded(path: str) -> PrefixCounts:
     return held[path]
 
 
-def n_tokens(text: F.Column, vocabulary: str) -> F.Column:
-    """Column: exact number of tokens of each whole text."""
+def n_tokens(text: F.Column, vocabulary: str, limit: int) -> F.Column:
+    """Column (struct n_tokens, fit_chars): exact number of tokens of each whole text, and the characters of its longest
+    prefix that has at most ``limit`` tokens."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("n_tokens long, fit_chars long")
     def count(texts: pa.Array) -> pa.Array:
         f = loaded(vocabulary).count_all
         sizes = np.diff(common.raw(texts)[1])
-        return pa.array(np.concatenate([f(texts.slice(i, j - i)) for i, j in common.spans(sizes, 2 * common.BLOCK_BYTES)] or [np.zeros(0, np.int64)]), pa.int64())
+        found = [f(texts.slice(i, j - i), limit) for i, j in common.spans(sizes, 2 * common.BLOCK_BYTES)]
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_tokens", "fit_chars"])
 
     return count(text)
 
@@ -275,11 +306,10 @@ def longest_prefix(text: F.Column, vocabulary: str, budget: int) -> F.Column:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes, tokens and whether the tokens exceed ``limit``, for each row."""
-    return (
-        docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), n_tokens(F.col(text_col), vocabulary).alias("n_tokens"))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    """Bytes, tokens, whether the tokens exceed ``limit``, and the characters that fit it, for each row."""
+    n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
+    counted = docs.select(F.col(id_col), n_bytes, n_tokens(F.col(text_col), vocabulary, limit).alias("__n"))
+    return counted.select(id_col, "n_bytes", "__n.n_tokens", (F.col("__n.n_tokens") > limit).alias("over_limit"), "__n.fit_chars")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
