@@ -101,14 +101,22 @@ class Prefix:
         self.bits, self.only = 0, None
         if len(used) < 2:
             self.only = int(used[0]) if len(used) else 0
-            self.table = [self.only << 4]
+            self._tables(np.array([self.only << 4]))
             return
         self.bits = int(n.max())
         order = used[np.argsort(n[used], kind="stable")]
         span = 1 << (self.bits - n[order])
         if span.sum() != 1 << self.bits:
             raise ValueError("a prefix code isn't complete")
-        self.table = np.repeat(order << 4 | n[order], span)[turned(self.bits)].tolist()
+        self._tables(np.repeat(order << 4 | n[order], span)[turned(self.bits)])
+
+    def _tables(self, array: np.ndarray) -> None:
+        self.array, self.table, self.mask = array.astype(np.int32), array.tolist(), (1 << self.bits) - 1
+        self.sizes = (self.array & 15).astype(np.uint8)
+
+    def size(self, windows: np.ndarray) -> np.ndarray:
+        """Bits of the symbol that begins at each of some windows of bits."""
+        return self.sizes[windows & self.mask]
 
     def read(self, bits: Bits) -> int:
         e = self.table[bits.peek(self.bits)]
@@ -256,31 +264,41 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
     """Pixels of an image of one code group; None if it uses a cache entry before a pixel has set it."""
     first = bits.place
     data = np.frombuffer(bits.data, np.uint8, offset=first >> 3)
-    b = np.zeros(len(data) + 40, np.uint32)
+    b = np.zeros(len(data) + 12, np.uint32)
     b[: len(data)] = data
     b = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
     # the 15 bits from each bit on
-    ahead = memoryview(((b[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.uint16).reshape(-1))
-    (green, red, blue, alpha, far), (g, r, u, a, f) = ([c.table for c in codes], [(1 << c.bits) - 1 for c in codes])
-    pixels: list[int] = []
+    windows = ((b[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.uint16).reshape(-1)
+    ahead, most = memoryview(windows), 8 * len(data)
+    green, red, blue, alpha, far = codes
+    # for every bit at once: the symbol that would stand there, and where the pixel after it would begin
+    place_of = np.arange(most + 16, dtype=np.int32)
+    first_symbol = green.array[windows[: most + 16] & green.mask]
+    to = place_of + (first_symbol & 15)
+    ends = []
+    sizes = {id(c): c.size(windows) for c in {id(c): c for c in (red, blue, alpha)}.values() if c.bits}
+    for c in (red, blue, alpha):
+        ends.append(to)
+        to = to + sizes[id(c)][to] if c.bits else to
+    following = np.minimum(to, most + 1)
+    following[first_symbol >= 256 << 4] = -1
+    step, table, mask = memoryview(following), green.table, green.mask
+    starts: list[int] = []
     marks: list[tuple[int, int, int, int]] = []  # place, length, distance, cache key
-    literal, p, at, most = pixels.append, first & 7, 0, 8 * len(data)
+    literal, p, at = starts.append, first & 7, 0
     while at < total:
         if p > most:
             raise ValueError("the bitstream ends too early")
-        e = green[ahead[p] & g]
+        n = step[p]
+        if n >= 0:
+            literal(p)
+            p = n
+            at += 1
+            continue
+        e = table[ahead[p] & mask]
         p += e & 15
         s = e >> 4
-        if s < 256:
-            x = red[ahead[p] & r]
-            p += x & 15
-            y = blue[ahead[p] & u]
-            p += y & 15
-            z = alpha[ahead[p] & a]
-            p += z & 15
-            literal((z >> 4) << 24 | (x >> 4) << 16 | s << 8 | y >> 4)
-            at += 1
-        elif s >= 280:
+        if s >= 280:
             marks.append((at, 1, 0, s - 280))
             at += 1
         else:
@@ -294,7 +312,7 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
                 p += n
                 found.append(((2 + (code & 1)) << n) + low + 1 if n else code + 1)
                 if not k:
-                    e = far[ahead[p] & f]
+                    e = far.table[ahead[p] & far.mask]
                     p += e & 15
                     code = e >> 4
             length, code = found
@@ -306,8 +324,13 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
     if p > most:
         raise ValueError("the bitstream ends too early")
     bits.skip_to(8 * (first >> 3) + p)
+    at = np.array(starts, np.int64)
+    pixels = (first_symbol[at] >> 4 << 8).astype(np.uint32)
+    for c, end, shift in zip((red, blue, alpha), ends, (16, 0, 24), strict=True):
+        symbol = (c.array[windows[end[at]] & c.mask] >> 4).astype(np.uint32) if c.bits else np.uint32(c.only)
+        pixels |= symbol << np.uint32(shift)
     if not marks:
-        return np.array(pixels, np.uint32)
+        return pixels
     place, length, back, key = np.array(marks).T
     source, literals = np.arange(total), np.ones(total, bool)
     copied = np.repeat(place - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
@@ -738,7 +761,7 @@ def encode(pixels: np.ndarray) -> bytes:
         out.put(v, n)
     colours = np.sort(pixels, axis=None)
     colours = colours[np.concatenate([[True], colours[1:] != colours[:-1]])]
-    if len(colours) <= min(256, max(1, pixels.size // 2)):
+    if len(colours) <= min(256, max(2, pixels.size // 8)):
         index = np.searchsorted(colours, pixels)
         b = pack_bits(len(colours))
         out.put(1, 1)
