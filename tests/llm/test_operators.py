@@ -479,7 +479,7 @@ def test_suffix_dedup(spark, none, seed):
     pool = [say(r.randint(150, 420)) for _ in range(6)]
     rows = [None, "", "short", *("".join(r.choice([*pool, say(r.randint(5, 300))]) for _ in range(r.randint(1, 5))) for _ in range(40)), "z" * 700, pool[0] * 3]
     rows += rows[5:9]
-    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(rows)], "doc_id long, text string, n_removed int").repartition(5)
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(rows)], "doc_id long, text string, n_removed int, dedup_text string").repartition(5)
     got = {r["doc_id"]: (r["dedup_removed"], r["dedup_spans"], bytes(r["dedup_kept"])) for r in suffix_dedup.deduplicated(df).collect()}
     want = brute_repeats([(t or "").encode() for t in rows], 200)
     assert got == dict(enumerate(want))

@@ -2,10 +2,11 @@
 
 A suffix array sorts positions by what follows; here only the first ``width`` bytes matter, so positions fall into
 buckets of equal ``width``-byte strings, and a bucket of two or more positions is a repeat. Buckets are found from
-coarse to fine, as in bucket-pointer refinement: initial buckets of q-grams (q = 64), then refinement by the bucket
-identifiers at later offsets (+q, +2q, ..., the last one aligned to the string's end); positions alone in a bucket
-drop out at once, and identifiers once computed serve every position that points at them. A bucket's identifier is
-the 64-bit hash of its q-gram, so tasks that never meet agree on it.
+coarse to fine, as in bucket-pointer refinement: initial buckets of q-grams (q = 64), then refinement by sorting on
+the bucket of a later offset. What a refinement finds is what the next one points at, for all positions alike: depth 64
+gives depth 128 (offset 64), and those buckets give depth 200 (offset 72). Positions alone in a bucket aren't refined.
+A bucket's identifier between tasks is the hash of its content, so tasks that never meet agree on it; a string's is of
+128 bits.
 
 Not every position can travel. Each ``width``-byte string is charged to its least q-gram (the anchor), which equal
 strings share; consecutive strings of one anchor form a segment, about one for 70 bytes.
@@ -18,12 +19,12 @@ strings share; consecutive strings of one anchor form a segment, about one for 7
 3. Strings of the ranges left are refined inside each block, and met by their last bucket over all blocks.
 4. Each text removes the union of its repeated strings.
 
-Before each meeting a block sends a bucket once however often it has it, so a passage that a third of all texts
-share costs a row for each block. What comes back to a text are facts on content ("this bucket is repeated"), true
+Before each meeting a task sends a bucket once for about a million that it has, however often it has it, so a passage
+that a third of all texts share costs a row for some 70 MB of text. What comes back to a text are facts on content ("this bucket is repeated"), true
 wherever it occurs. Matches never cross texts; nothing is capped or sampled.
 
 Null texts: empty. Texts shorter than ``width``: kept whole. Repeated rows: each is the other's repeat. Empty table:
-no rows. Columns of the input are kept; the results' names start with ``dedup_``.
+no rows. Columns of the input are kept, but for those with a name of RESULTS, which the results replace.
 """
 
 from __future__ import annotations
@@ -89,9 +90,12 @@ class Segments:
         before = np.cumsum(n) - n
         return np.repeat(first - before, n) + np.arange(int(n.sum()))
 
-    def pointers(self) -> list[int]:
-        """Later offsets whose buckets complete a string."""
-        return [*range(GRAM, self.width - GRAM, GRAM), self.width - GRAM]
+    def depths(self) -> list[int]:
+        """Bytes that each refinement's buckets have in common: doubled, and the last one as long as a string."""
+        out = [GRAM]
+        while out[-1] < self.width:
+            out.append(min(2 * out[-1], self.width))
+        return out
 
     def bucket(self, at: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
         """Identifier of the last bucket of each position; with ``group`` (see ``refined``) once for each group."""
@@ -99,22 +103,30 @@ class Segments:
             one = np.zeros(int(group.max()) + 1, np.int64)
             one[group] = at
             return self.bucket(one)[group]
-        out = mix(self.gram[at] + U64(1))
-        for k in self.pointers():
-            out = mix(out * U64(0xFF51AFD7ED558CCD) + self.gram[at + k])
-        return out | U64(1)
-
-    def refined(self, at: np.ndarray) -> np.ndarray:
-        """Number of each position's last bucket: q-gram buckets, refined offset by offset where they hold more than
-        one position."""
-        out = _ranks(self.gram[at])
-        alive = np.arange(len(at))
-        for k in self.pointers():
-            alive = alive[(np.bincount(out, minlength=1) > 1)[out[alive]]]
-            if not len(alive):
-                break
-            finer = _ranks(out[alive].astype(U64) << U64(32) | _ranks(self.gram[at[alive] + k]).astype(U64))
-            out[alive] = finer + out.max() + 1
+        return self._identifier(at, len(self.depths()) - 1) | U64(1)
+
+    def _identifier(self, at: np.ndarray, level: int) -> np.ndarray:
+        if not level:
+            return mix(self.gram[at] + U64(1))
+        offset = self.depths()[level] - self.depths()[level - 1]
+        return mix(self._identifier(at, level - 1) * U64(0xFF51AFD7ED558CCD) + self._identifier(at + offset, level - 1))
+
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """Another hash of each position's string, of other values of bytes; odd, so never 0."""
+        return common.Rolling(self.data, 0x5DEECE66D).of(at, at + self.width) | U64(1) if len(at) else np.zeros(0, U64)
+
+    def refined(self, at: np.ndarray, level: int | None = None) -> np.ndarray:
+        """Number of each position's bucket, of the last refinement if no other is asked for."""
+        if level is None:
+            level = len(self.depths()) - 1
+        if not level or not len(at):
+            return _ranks(self.gram[at])
+        later = at + self.depths()[level] - self.depths()[level - 1]
+        both = np.unique(np.concatenate([at, later]))
+        found = self.refined(both, level - 1)
+        out, pointed = found[np.searchsorted(both, at)], found[np.searchsorted(both, later)]
+        alive = np.flatnonzero((np.bincount(out) > 1)[out])
+        out[alive] = _ranks(out[alive].astype(U64) << U64(32) | pointed[alive].astype(U64)) + out.max() + 1
         return _ranks(out)
 
 
@@ -185,27 +197,51 @@ SEGMENT, ANCHOR, WHOLE, CORE, STRING = range(5)
 KIND_NAMES = ["segments", "anchors", "wholes", "cores", "strings"]
 
 
-def _groups(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+#: Keys that a task brings together before it sends them.
+SENT_AT_ONCE = 1 << 20
+#: Columns of the result.
+RESULTS = ["dedup_kept", "dedup_text", "dedup_bytes", "dedup_removed", "dedup_spans"]
+
+
+def _groups(key: np.ndarray, whole: np.ndarray, exact: bool) -> tuple[np.ndarray, ...]:
     """Of rows sorted by key, then whole: which are the first of their key, which key's wholes differ, which keys and
-    which wholes come again."""
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    other = np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] != whole[:-1])]) if len(key) else np.zeros(0, bool)
+    which wholes come again. ``exact``: key and whole together are the key."""
+    if not len(key):
+        return (np.zeros(0, bool),) * 4
+    other = np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] != whole[:-1])])
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    if exact:
+        first, other = first | other, np.zeros(len(key), bool)
     group = np.cumsum(first) - 1
-    mixed = (np.bincount(group, other) > 0)[group] if len(key) else other
-    many = (np.bincount(group) > 1)[group] if len(key) else other
+    mixed = (np.bincount(group, other) > 0)[group]
+    many = (np.bincount(group) > 1)[group]
     same = ~first & ~other
-    again = same | np.concatenate([same[1:], [False]]) if len(key) else same
+    again = same | np.concatenate([same[1:], [False]])
     return first, mixed, many, again
 
 
-def _sent(block_number: int, parts: int, key: np.ndarray, whole: np.ndarray, row: np.ndarray, kinds: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """What a block sends to the meeting: each key once, with its whole and a row to answer to, or with whole 0 if its
-    wholes differ; and as facts what it knows by itself. kinds: of equal wholes, of keys whose wholes differ."""
-    if not len(key):
-        return
+def _sent(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int, kinds: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """What a task sends to the meeting, of its blocks' keys, wholes and rows: each key once, with its whole and a row to
+    answer to, or with whole 0 if its wholes differ; and as facts what it knows by itself. kinds: of equal wholes, of
+    keys whose wholes differ; of strings, whose wholes are second hashes, only equal pairs count."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = number = 0
+    for block in found:
+        held.append(block)
+        count += len(block[0])
+        if count >= SENT_AT_ONCE:
+            yield from _sent_together(held, number, parts, kinds)
+            held, count, number = [], 0, number + 1
+    if count:
+        yield from _sent_together(held, number, parts, kinds)
+
+
+def _sent_together(held: list[tuple[np.ndarray, ...]], number: int, parts: int, kinds: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    key, whole, row = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.lexsort((whole, key))
     key, whole, row = key[order], whole[order], row[order]
-    first, mixed, _, again = _groups(key, whole)
+    first, mixed, _, again = _groups(key, whole, kinds[0] == STRING)
     k, w, r = key[first], np.where(mixed, U64(0), whole)[first], np.where(mixed, np.int64(0), row)[first]
     # mixed anew: anchors are least hashes, so their own high bits are all small
     yield _packed(((mix(k) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), parts, k, w, r)
@@ -213,7 +249,9 @@ def _sent(block_number: int, parts: int, key: np.ndarray, whole: np.ndarray, row
         fact = np.concatenate([(key if kinds[0] == STRING else whole)[again], key[mixed]])
         kind = np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()])
         rows = np.concatenate([row[again], row[mixed]])
-        yield pa.RecordBatch.from_arrays([pa.array([(1009 * TaskContext.get().partitionId() + block_number) % parts], pa.int32()), pa.array([True]), *(pa.array([x.tobytes()], pa.binary()) for x in (fact, kind, rows))], ["part", "fact", "key", "whole", "row"])
+        for i in range(0, len(fact), 1 << 17):
+            part = (1009 * TaskContext.get().partitionId() + 31 * number + (i >> 17)) % parts
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([True]), *(pa.array([x[i : i + (1 << 17)].tobytes()], pa.binary()) for x in (fact, kind, rows))], ["part", "fact", "key", "whole", "row"])
 
 
 def _facts(fact: np.ndarray, kind: np.ndarray, row: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -283,8 +321,8 @@ def _meeting(sent: DataFrame, parts: int, kinds: tuple[int, int]) -> DataFrame:
         keys = wholes = rows = None
         order = np.lexsort((whole, key))
         key, whole, row = key[order], whole[order], row[order]
-        _, mixed, many, again = _groups(key, whole)
-        asks = many & (whole != 0)
+        _, mixed, many, again = _groups(key, whole, kinds[0] == STRING)
+        asks = many & (whole != 0)  # 0: a task knew already
         again, mixed = again & asks, mixed & asks
         yield _facts(np.concatenate([(key if kinds[0] == STRING else whole)[again], key[mixed]]), np.repeat(np.array(kinds, np.uint8), [again.sum(), mixed.sum()]), np.concatenate([row[again], row[mixed]]), parts)
 
@@ -307,15 +345,20 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     """All rows and columns of ``docs``, with dedup_kept (the bytes left), dedup_text (those that are whole characters),
     dedup_bytes, dedup_removed and dedup_spans (maximal removed runs)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.drop(*RESULTS)
+    # some 24 bytes for each segment, and about as many for facts
+    parts = common.parts(spark, common.size_of(docs.select(text_col)) // 2)
     # content facts come back by this key; where two rows share one, each gets true facts of the other besides its own
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     texts = docs.select(row.alias("row"), F.col(text_col).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(common.blocks(batches, "text", BLOCK)):
-            block = Block(*common.raw(b.column("text")), width)
-            yield from _sent(number, parts, block.key, block.whole, b.column("row").to_numpy()[block.doc], (SEGMENT, ANCHOR))
+        def keys() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in common.blocks(batches, "text", BLOCK):
+                block = Block(*common.raw(b.column("text")), width)
+                yield block.key, block.whole, b.column("row").to_numpy()[block.doc]
+
+        yield from _sent(keys(), parts, (SEGMENT, ANCHOR))
 
     found = common.saved(_meeting(texts.mapInArrow(anchors, SENT), parts, (SEGMENT, ANCHOR)), "repeat-segments")
     common.forget(spark)
@@ -337,23 +380,27 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     common.forget(spark)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(common.blocks(batches, "data", BLOCK)):
-            x = Extract(b, width)
-            _, _, doc, core, whole = x.ranges(np.arange(len(x.first)))
-            yield from _sent(number, parts, core, whole, b.column("row").to_numpy()[doc], (WHOLE, CORE))
+        def keys() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in common.blocks(batches, "data", BLOCK):
+                x = Extract(b, width)
+                _, _, doc, core, whole = x.ranges(np.arange(len(x.first)))
+                yield core, whole, b.column("row").to_numpy()[doc]
+
+        yield from _sent(keys(), parts, (WHOLE, CORE))
 
     met = common.saved(_meeting(taken.mapInArrow(ranges, SENT), parts, (WHOLE, CORE)), "repeat-ranges")
     common.forget(spark)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(common.blocks(batches, "data", BLOCK)):
-            x = Extract(b, width)
-            lo, hi, doc, core, _ = x.ranges(np.arange(len(x.first)))
-            left = _in(core, _known(b, "cores"))
-            at = x.positions(lo[left], hi[left])
-            rows = b.column("row").to_numpy()[np.repeat(doc[left], (hi - lo + 1)[left])]
-            key = x.bucket(at, x.refined(at))
-            yield from _sent(number, parts, key, np.ones(len(at), U64), rows, (STRING, STRING))
+        def keys() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in common.blocks(batches, "data", BLOCK):
+                x = Extract(b, width)
+                lo, hi, doc, core, _ = x.ranges(np.arange(len(x.first)))
+                left = _in(core, _known(b, "cores"))
+                at = x.positions(lo[left], hi[left])
+                yield x.bucket(at, x.refined(at)), x.second(at), b.column("row").to_numpy()[np.repeat(doc[left], (hi - lo + 1)[left])]
+
+        yield from _sent(keys(), parts, (STRING, STRING))
 
     mixed = taken.join(_by_row(met, parts, [CORE]), "row").select("row", "place", "size", "data", "cores")
     last = common.saved(_meeting(mixed.mapInArrow(strings, SENT), parts, (STRING, STRING)), "repeat-strings")
@@ -385,7 +432,7 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
             per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets])
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(np.diff(block.offsets)), pa.array(per(gone)), pa.array(per(begin))],
-                [*names, "dedup_kept", "dedup_text", "dedup_bytes", "dedup_removed", "dedup_spans"],
+                [*names, *RESULTS],
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
