@@ -282,24 +282,31 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
         to = to + sizes[id(c)][to] if c.bits else to
     following = np.minimum(to, most + 1)
     following[first_symbol >= 256 << 4] = -1
+    following[most + 1 :] = -1
     step, table, mask = memoryview(following), green.table, green.mask
     starts: list[int] = []
     marks: list[tuple[int, int, int, int]] = []  # place, length, distance, cache key
-    literal, p, at = starts.append, first & 7, 0
+    literal, p, at, copied = starts.append, first & 7, 0, 0
     while at < total:
-        if p > most:
-            raise ValueError("the bitstream ends too early")
         n = step[p]
-        if n >= 0:
+        while n >= 0:
             literal(p)
             p = n
-            at += 1
-            continue
+            n = step[p]
+        at = len(starts) + copied
+        if at >= total:  # what was read after the last pixel isn't the image's
+            if at > total:
+                p = starts[total - copied]
+                del starts[total - copied :]
+            break
+        if p > most:
+            raise ValueError("the bitstream ends too early")
         e = table[ahead[p] & mask]
         p += e & 15
         s = e >> 4
         if s >= 280:
             marks.append((at, 1, 0, s - 280))
+            copied += 1
             at += 1
         else:
             found = []
@@ -320,6 +327,7 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
             if back > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             marks.append((at, length, back, 0))
+            copied += length
             at += length
     if p > most:
         raise ValueError("the bitstream ends too early")
@@ -552,12 +560,9 @@ class Writer:
             for symbol in used.tolist() or [0]:
                 self.put(symbol, 8)
             return
-        # fixed lengths of the code of code lengths: 13 symbols of four bits and six rare ones of five fill it
-        head = sum((5 if s in RARE else 4) << 3 * i for i, s in enumerate(LENGTH_ORDER))
-        self.put(15 << 1 | head << 5, 5 + 57)
-        self.put(0, 1)
+        # fixed lengths of the code of code lengths, and no bound on how many follow
+        word, n = CODE_HEAD, 5 + 57 + 1
         edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1], [True]]))
-        word = n = 0
         for v, k in zip(lengths[edge[:-1]].tolist(), np.diff(edge).tolist(), strict=True):
             if v:
                 c, m = LENGTH_CODES[v]
@@ -598,6 +603,8 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 _meta = np.array([5 if s in RARE else 4 for s in range(19)])
 LENGTH_CODES = list(zip(canonical(_meta).astype(int).tolist(), _meta.tolist(), strict=True))
+#: What stands before code lengths: 13 symbols of four bits and six rare ones of five fill the code of code lengths.
+CODE_HEAD = 15 << 1 | sum(int(_meta[s]) << 3 * i for i, s in enumerate(LENGTH_ORDER)) << 5
 
 
 def code_lengths(counts: np.ndarray, most: int = 12) -> np.ndarray:
@@ -713,8 +720,7 @@ def put_image(out: Writer, p: np.ndarray, main: bool) -> None:
     for x, times in zip(lengths, (1, 3, 1), strict=True):
         head = Writer()
         head.code(x)
-        for _ in range(times):
-            out.put(head.word, head.n)
+        out.put(sum(head.word << k * head.n for k in range(times)), times * head.n)
     # a code of one symbol takes no bits
     lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
     codes = [canonical(x) for x in lengths]
