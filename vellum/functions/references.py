@@ -110,3 +110,22 @@ def number_prefix(raw: Column) -> Column:
     """(number, format) of a leading label: ``12.``, ``[12]``, ``(12)`` or ``12 ``; null without one."""
     forms = [("dot", r"^\s*(\d{1,4})\.\s"), ("square", r"^\s*\[(\d{1,4})\]"), ("round", r"^\s*\((\d{1,4})\)"), ("space", r"^\s*(\d{1,4})\s+[A-Z]")]
     return F.coalesce(*(F.when(raw.rlike(p), F.struct(F.regexp_extract(raw, p, 1).cast("int").alias("number"), F.lit(n).alias("format"))) for n, p in forms))
+
+
+def display_authors(full: Column, organisation: Column) -> Column:
+    """Authors as a text cites them: one name, two joined by an ampersand, or the first and et al. Notes in square brackets
+    go; bare initials are no names unless nothing else is there. Organisations stay whole."""
+    s = F.trim(F.regexp_replace(full, r"\[.*?\]", ""))
+    pieces = F.filter(F.transform(F.split(s, "[&,]"), lambda p: F.trim(p)), lambda p: p != "")
+    open_ended = F.exists(pieces, lambda p: F.contains(F.lower(p), F.lit("et al")))
+    bare = F.transform(pieces, lambda p: F.when(F.contains(F.lower(p), F.lit("et al")), F.trim(F.regexp_replace(p, r"(?i)\bet\s+al\.?\b", ""))).otherwise(p))
+    names = F.filter(bare, lambda p: (p != "") & ~p.rlike(r"^([A-Z]\.?\s*-?)+[A-Z]?\.?$"))
+    words = F.filter(F.split(s, r"\s+"), lambda w: w.rlike(r"^\p{Lu}") & ~w.rlike(r"^[A-Z]\.$"))
+    names = F.when(F.size(names) > 0, names).otherwise(words)
+    lead = F.get(names, F.lit(0))
+    people = (
+        F.when(F.size(names) == 0, F.substring_index(s, " ", 1))
+        .when(open_ended | (F.size(names) > 2), F.concat(lead, F.lit(" et al.")))
+        .otherwise(F.array_join(names, " & "))
+    )
+    return F.when(F.coalesce(organisation, F.lit(False)), s).otherwise(people)

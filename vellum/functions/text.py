@@ -155,6 +155,33 @@ def features(c: Column) -> Column:
     )
 
 
+def paragraph_features(text: Column, zone: Column, list_kind: Column, list_position: Column) -> Column:
+    """The whole feature struct of a paragraph: size, labels, form, content signs, zone and list facts. A null text counts
+    as empty, a null zone as BODY."""
+    text, zone = F.coalesce(text, F.lit("")), F.coalesce(zone, F.lit("BODY"))
+    s = strip(text)
+    low = F.lower(s)
+    words = F.regexp_count(text, F.lit(r"(?U)\S+"))
+    capitals = F.regexp_count(s, F.lit(r"(?U)(^|\s)\p{Lu}"))
+    label = lambda inner, flags="": s.rlike(rf"{flags}^({inner}[.)]|\({inner}\))\s")
+    numbered = label("[0-9]+") | s.rlike(r"^\[[0-9]+\]\s")
+    bullet = s.rlike(r"^[•●*–—-]\s")
+    year = text.rlike(r"(^|[^\p{L}\p{N}_])(19|20)[0-9]{2}([^\p{L}\p{N}_]|$)")
+    cited = (year | F.contains(low, F.lit("doi")) | F.contains(low, F.lit("et al"))) & (F.regexp_count(text, F.lit("[.;:,]")) >= 2)
+    starts = lambda c, *xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.startswith(c, x))
+    n = F.length(s)
+    each = {
+        "length": F.length(text), "word_count": words, "is_empty": n == 0, "is_short": n < 50, "is_long": n > 500,
+        "has_number_prefix": numbered, "has_letter_prefix": label("[a-z]", "(?i)"), "has_roman_prefix": label("[ivxlcdm]+", "(?i)"), "has_bullet": bullet,
+        "is_all_caps": s.rlike("^[A-Z0-9 \t\n\r\f,.:;!?'\"-]+$"), "starts_with_digit": s.rlike(r"^\p{Nd}"), "ends_with_period": F.endswith(s, F.lit(".")), "ends_with_colon": F.endswith(s, F.lit(":")),
+        "has_citation_year": year, "looks_like_heading": (n > 0) & (n <= 200) & ~s.rlike("[.!?]$") & (capitals >= F.greatest(F.lit(1), F.floor(F.lit(0.6) * words))),
+        "looks_like_caption": starts(low, "figure", "table", "fig.", "tab."), "looks_like_reference": (n > 0) & (numbered | bullet | cited), "looks_like_footnote": starts(s, "*", "†", "‡") | s.rlike(r"^[a-z]\)"),
+        "zone": zone, "is_in_table": zone == "TABLE", "is_in_box": F.startswith(zone, F.lit("BOX_")), "is_in_back_matter": zone == "BACK_MATTER",
+        "list_kind": list_kind, "list_position": list_position,
+    }
+    return F.struct(*(c.alias(k) for k, c in each.items()))
+
+
 def unbalanced(c: Column) -> Column:
     """(odd quotes, excess of opening over closing round, square and curly brackets)."""
     count = lambda p: F.regexp_count(c, F.lit(p)).cast("long")

@@ -93,3 +93,14 @@ def outer_merge(inline: DataFrame, legend: DataFrame, on: Sequence[str], text: s
 def covered(inputs: DataFrame, outputs: DataFrame, text: str) -> DataFrame:
     """Inputs that occur neither as an output nor as two adjacent ones (``outputs``: see ``adjacent_pairs``)."""
     return inputs.join(outputs.select(text).distinct(), text, "left_anti")
+
+
+def first_page(sentences: DataFrame, pages: DataFrame, by: Sequence[str], sentence: str, page: str, text: str) -> DataFrame:
+    """Per distinct sentence of a document the first page that holds its beginning: of letters and digits, in lower case,
+    the first 60. Null where no page does; a sentence without a letter is on the first page. The join is on the document,
+    and what meets a page there is beginnings, not sentences."""
+    plain = lambda c: F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", ""))
+    wanted = sentences.select(*by, sentence).distinct().withColumn("__start", F.left(plain(sentence), F.lit(60)))
+    held = pages.select(*by, page, plain(text).alias("__page"))
+    found = wanted.select(*by, "__start").distinct().join(held, list(by)).filter(F.contains("__page", "__start")).groupBy(*by, "__start").agg(F.min(page).alias(page))
+    return wanted.join(found, [*by, "__start"], "left").drop("__start")
