@@ -111,12 +111,8 @@ class Prefix:
         self._tables(np.repeat(order << 4 | n[order], span)[turned(self.bits)])
 
     def _tables(self, array: np.ndarray) -> None:
-        self.array, self.table, self.mask = array.astype(np.int32), array.tolist(), (1 << self.bits) - 1
-        self.sizes = (self.array & 15).astype(np.uint8)
-
-    def size(self, windows: np.ndarray) -> np.ndarray:
-        """Bits of the symbol that begins at each of some windows of bits."""
-        return self.sizes[windows & self.mask]
+        self.array, self.mask = np.ascontiguousarray(array, np.intp), (1 << self.bits) - 1
+        self.table = memoryview(self.array)
 
     def read(self, bits: Bits) -> int:
         e = self.table[bits.peek(self.bits)]
@@ -148,9 +144,13 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     lengths, last = [], 8
     if of.only is not None and of.only < 16:  # one symbol takes no bits
         lengths, left = [of.only] * min(left, size), 0
-    # symbols and their extra bits by one number: at most 7 + 7 bits for each of what is left
-    word, used, table, mask = bits.peek(14 * min(left, size)), 0, of.table, (1 << of.bits) - 1
+    # symbols and their extra bits by one number, at most 7 + 7 bits for each, 32 symbols at a time
+    used, table, mask, k = 0, of.table, of.mask, 0
     while left and len(lengths) < size:
+        if not k:
+            bits.skip(used)
+            word, used, k = bits.peek(14 * 32), 0, 32
+        k -= 1
         left -= 1
         e = table[word & mask]
         n, s = e & 15, e >> 4
@@ -163,10 +163,10 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
             word >>= 2
             n += 2
         else:
-            k, least = (3, 3) if s == 17 else (7, 11)
-            lengths += [0] * (least + (word & (1 << k) - 1))
-            word >>= k
-            n += k
+            extra, least = (3, 3) if s == 17 else (7, 11)
+            lengths += [0] * (least + (word & (1 << extra) - 1))
+            word >>= extra
+            n += extra
         used += n
     bits.skip(used)
     if len(lengths) > size:
@@ -264,22 +264,21 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
     """Pixels of an image of one code group; None if it uses a cache entry before a pixel has set it."""
     first = bits.place
     data = np.frombuffer(bits.data, np.uint8, offset=first >> 3)
-    b = np.zeros(len(data) + 12, np.uint32)
+    b = np.zeros(len(data) + 12, np.intp)
     b[: len(data)] = data
-    b = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
+    b = b[:-2] | b[1:-1] << 8 | b[2:] << 16
     # the 15 bits from each bit on
-    windows = ((b[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.uint16).reshape(-1)
+    windows = (b[:, None] >> np.arange(8) & 0x7FFF).reshape(-1)
     ahead, most = memoryview(windows), 8 * len(data)
     green, red, blue, alpha, far = codes
     # for every bit at once: the symbol that would stand there, and where the pixel after it would begin
-    place_of = np.arange(most + 16, dtype=np.int32)
+    place_of = np.arange(len(windows))
     first_symbol = green.array[windows[: most + 16] & green.mask]
-    to = place_of + (first_symbol & 15)
-    ends = []
-    sizes = {id(c): c.size(windows) for c in {id(c): c for c in (red, blue, alpha)}.values() if c.bits}
+    behind = to = place_of[: most + 16] + (first_symbol & 15)
+    hops = {id(c): place_of + (c.array[windows & c.mask] & 15) for c in {id(c): c for c in (red, blue, alpha)}.values() if c.bits}
     for c in (red, blue, alpha):
-        ends.append(to)
-        to = to + sizes[id(c)][to] if c.bits else to
+        if c.bits:
+            to = hops[id(c)][to]
     following = np.minimum(to, most + 1)
     following[first_symbol >= 256 << 4] = -1
     following[most + 1 :] = -1
@@ -334,9 +333,14 @@ def _read_whole(bits: Bits, codes: list[Prefix], width: int, total: int, cache_b
     bits.skip_to(8 * (first >> 3) + p)
     at = np.array(starts, np.int64)
     pixels = (first_symbol[at] >> 4 << 8).astype(np.uint32)
-    for c, end, shift in zip((red, blue, alpha), ends, (16, 0, 24), strict=True):
-        symbol = (c.array[windows[end[at]] & c.mask] >> 4).astype(np.uint32) if c.bits else np.uint32(c.only)
-        pixels |= symbol << np.uint32(shift)
+    to = behind[at]
+    for c, shift in zip((red, blue, alpha), (16, 0, 24), strict=True):
+        if c.bits:
+            symbol = c.array[windows[to] & c.mask]
+            to = to + (symbol & 15)
+            pixels |= (symbol >> 4 << shift).astype(np.uint32)
+        else:
+            pixels |= np.uint32(c.only << shift)
     if not marks:
         return pixels
     place, length, back, key = np.array(marks).T
@@ -414,7 +418,7 @@ def _add(a: int, b: int) -> int:
 
 def invert_predictor(p: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
     modes = ((modes >> np.uint32(8)) & np.uint32(15)).reshape(-(-height >> bits), -1)
-    if height == 1 or modes.shape[1] == 1 and np.isin(modes, (0, 2)).all():  # from above or none, by rows: sums down the columns
+    if height == 1 or modes.shape[1] == 1 and ((modes == 0) | (modes == 2)).all():  # from above or none, by rows: sums down the columns
         x = _channels(p.reshape(height, width)).copy()
         x[0, :1, 3] += np.uint8(255)
         x[0] = np.cumsum(x[0], 0, np.uint8)
@@ -608,36 +612,27 @@ CODE_HEAD = 15 << 1 | sum(int(_meta[s]) << 3 * i for i, s in enumerate(LENGTH_OR
 
 
 def code_lengths(counts: np.ndarray, most: int = 12) -> np.ndarray:
-    """Lengths of a prefix code for symbols used that often: merging the two rarest, by two queues. Where a code is
-    longer than ``most``, counts are halved until none is."""
+    """Lengths of a complete prefix code for symbols used that often: the information of each, rounded up; what room
+    that leaves goes to the shorter codes first, in each length to the more frequent symbols."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         out[used] = 1
         return out
     c = counts[used]
-    while True:
-        order = np.argsort(c, kind="stable")
-        n = len(c)
-        w, up = c[order].tolist(), [0] * (2 * n - 1)
-        leaf, node = 0, n
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf < n and (node >= k or w[leaf] <= w[node]):
-                    x, leaf = leaf, leaf + 1
-                else:
-                    x, node = node, node + 1
-                up[x] = k
-                total += w[x]
-            w.append(total)
-        depth = [0] * (2 * n - 1)
-        for x in range(2 * n - 3, -1, -1):
-            depth[x] = depth[up[x]] + 1
-        if max(depth[:n]) <= most:
-            out[used[order]] = depth[:n]
-            return out
-        c = (c + 1) // 2
+    order = np.argsort(-c, kind="stable")
+    share = c[order] + c.sum() / (1 << (most - 1))  # no code is too long then, however rare its symbol
+    n = np.ceil(np.log2(share.sum() / share)).astype(np.int64)
+    many = np.bincount(np.clip(n, 1, most), minlength=most + 1).tolist()  # symbols of each length; the order stays
+    room = (1 << most) - sum(k << (most - i) for i, k in enumerate(many))
+    while room:
+        for i in range(2, most + 1):
+            k = min(many[i], room >> (most - i))
+            many[i] -= k
+            many[i - 1] += k
+            room -= k << (most - i)
+    out[used[order]] = np.repeat(np.arange(most + 1), many)
+    return out
 
 
 def container(body: bytes) -> bytes:
@@ -664,11 +659,13 @@ def repeats(p: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
     real = (windows[later] == windows[earlier]).all(1)
     back[later[real]] = (later - earlier)[real]
     edge = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1], [True]]))
+    distance, starts, ends = back[edge[:-1]], edge[:-1], edge[1:]
+    some = distance > 0
     out, at = [], 0
-    for i, j, d in zip(edge[:-1].tolist(), edge[1:].tolist(), back[edge[:-1]].tolist(), strict=True):
+    for i, j, d in zip(starts[some].tolist(), ends[some].tolist(), distance[some].tolist(), strict=True):
         end = j - 1 + least
         i = max(i, at)
-        if d and end - i >= least:
+        if end - i >= least:
             out += [(k, min(4096, end - k), d) for k in range(i, end, 4096)]
             at = end
     return out
