@@ -1,6 +1,6 @@
 """Catalogue of named queries and their DuckDB counterparts."""
 
-from . import catalogue_knowledge, catalogue_python, catalogue_references, catalogue_review, catalogue_stages, catalogue_text  # noqa: F401  they register their queries
+from . import catalogue_knowledge, catalogue_python, catalogue_references, catalogue_review, catalogue_rules, catalogue_stages, catalogue_text  # noqa: F401  they register their queries
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
