@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, ngram_join, packing, prefix_counts, spiece, suffix_dedup, toxicity, vector_dedup, webp
+from . import chat, language, ngram_join, packing, prefix_counts, prefix_trie, spiece, suffix_dedup, toxicity, vector_dedup, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language.op8_language_id,
         "op9_vector_dedup": vector_dedup.op9_vector_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     }
 
 
@@ -40,7 +41,24 @@ r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FRO
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) JOIN (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id) USING (vec_id)"""
 
+#: crc32 of an id's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"
+
+#: Prefixes of rebuilt conversations as nodes; sums over subtrees by each node's prefixes.
+_TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS b, ({_CRC}) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+a AS (SELECT h.c, 0 AS part, t.d, r, x FROM h JOIN t ON t.c = h.b AND t.d <= h.h UNION ALL SELECT h.c, 1, t.d, r, x FROM h JOIN t ON t.c = h.c AND t.d > h.h),
+p AS (SELECT c, row_number() OVER w AS d, length(x) AS n, string_agg(sha256(length(r) || ':' || r || x), '') OVER w AS path FROM a WINDOW w AS (PARTITION BY c ORDER BY part, d)),
+q AS (SELECT c, d, n, path FROM p UNION ALL SELECT c, 0, 0, '' FROM h), l AS (SELECT c, max(d) AS d FROM q GROUP BY c),
+n AS (SELECT d, path, min(c) AS c, count(*) AS m, (count(*) - 1) * max(n) AS v FROM q GROUP BY d, path),
+e AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM q JOIN l USING (c, d) GROUP BY path),
+u AS (SELECT n.d, n.c, n.path, n.m, n.v, coalesce(o.path, '') AS above, CASE WHEN n.d > 0 THEN coalesce(o.c, z.c) END AS parent FROM n LEFT JOIN (SELECT c AS i, d + 1 AS d, path FROM q) g ON g.i = n.c AND g.d = n.d LEFT JOIN n o ON o.path = g.path AND o.d = n.d - 1 LEFT JOIN n z ON z.d = 0 AND n.d = 1),
+k AS (SELECT d - 1 AS d, above AS path, count(*) AS k FROM u WHERE d > 0 GROUP BY ALL),
+s AS (SELECT q.d, q.path, sum(CASE WHEN k.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum(u.v) AS saved FROM u LEFT JOIN k ON k.d = u.d AND k.path = u.path JOIN q ON q.c = u.c AND q.d <= u.d GROUP BY q.d, q.path)
+SELECT u.c AS conv_id, u.d AS depth, parent AS parent_conv_id, u.m AS n_convs, coalesce(k.k, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
+FROM u LEFT JOIN k ON k.d = u.d AND k.path = u.path LEFT JOIN e ON e.path = u.path JOIN s ON s.d = u.d AND s.path = u.path"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express; tests hold the others against brute force."""
-    return {"op2_ngram_join": _NGRAM_JOIN, "op9_vector_dedup": _VECTORS}
+    return {"op2_ngram_join": _NGRAM_JOIN, "op9_vector_dedup": _VECTORS, "op11_prefix_trie": _TRIE}
