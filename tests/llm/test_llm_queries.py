@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_vector_dedup": "vec_id n_links component_id kept",
     "op10_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_repetition": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 
 
@@ -48,4 +49,4 @@ def test_against_duckdb(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 12))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 13))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, ngram_join, packing, prefix_counts, prefix_trie, spiece, suffix_dedup, toxicity, vector_dedup, webp
+from . import chat, language, ngram_join, packing, prefix_counts, prefix_trie, repetition, spiece, suffix_dedup, toxicity, vector_dedup, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_dedup": vector_dedup.op9_vector_dedup,
         "op10_chat_format": chat.op10_chat_format,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_repetition": repetition.op12_repetition,
     }
 
 
