@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, ngram_join, packing, prefix_counts, prefix_trie, repetition, spiece, suffix_dedup, toxicity, vector_dedup, webp
+from . import chat, divergence, language, ngram_join, packing, prefix_counts, prefix_trie, repetition, spiece, suffix_dedup, toxicity, vector_dedup, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat_format": chat.op10_chat_format,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_repetition": repetition.op12_repetition,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
@@ -59,7 +60,16 @@ s AS (SELECT q.d, q.path, sum(CASE WHEN k.k IS NULL THEN 1 ELSE 0 END) AS leaves
 SELECT u.c AS conv_id, u.d AS depth, parent AS parent_conv_id, u.m AS n_convs, coalesce(k.k, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
 FROM u LEFT JOIN k ON k.d = u.d AND k.path = u.path LEFT JOIN e ON e.path = u.path JOIN s ON s.d = u.d AND s.path = u.path"""
 
+_AUDIT = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_ABC}', '{_ABC.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS m FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3), v AS (SELECT lang, count(*) AS v, sum(m)::BIGINT AS nl FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL), g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.n + v.v) AS p, 1 + 1000000000 * (k.m + 1) // (v.nl + v.v) AS q FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express; tests hold the others against brute force."""
-    return {"op2_ngram_join": _NGRAM_JOIN, "op9_vector_dedup": _VECTORS, "op11_prefix_trie": _TRIE}
+    return {"op2_ngram_join": _NGRAM_JOIN, "op9_vector_dedup": _VECTORS, "op11_prefix_trie": _TRIE, "op13_divergence": _AUDIT}
