@@ -215,9 +215,10 @@ def audit(docs: DataFrame, documents: int = 3, most: int = 200, block_text: int
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    blocks = max(8, -(-common.size_of(docs) // block_text))
+    size = common.size_of(docs)
+    blocks, tasks_of = max(8, -(-size // block_text)), common.parts(spark, size)
     met = counts(docs).withColumn("block", F.expr(f"cast(pmod(xxhash64(term), {blocks}) as int)"))
-    packed = common.saved(met.groupBy("lang", "block").applyInArrow(_arrays(documents), _ARRAYS), "audit-arrays")
+    packed = common.saved(met.repartition(tasks_of, "lang", "block").groupBy("lang", "block").applyInArrow(_arrays(documents), _ARRAYS), "audit-arrays")
 
     kept = packed.groupBy("lang", "block").agg(F.max("kept").alias("kept")).groupBy("lang").agg(F.sum("kept").alias("lang_kept"))
     totals = packed.groupBy("lang", "source").agg(F.sum("total").alias("group_total"))
@@ -234,7 +235,7 @@ def audit(docs: DataFrame, documents: int = 3, most: int = 200, block_text: int
     blank = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*columns, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<long>").alias("n"))
     tasks = arrays.select(*columns, "ids", "n").unionByName(blank).withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)")))
     tasks = tasks.withColumns({"low": F.least("tile", "with"), "high": F.greatest("tile", "with")})
-    merged = tasks.groupBy("lang", "block", "low", "high").applyInArrow(_pair_task, "lang string, source string, item string, met long, value long")
+    merged = tasks.repartition(tasks_of, "lang", "block", "low", "high").groupBy("lang", "block", "low", "high").applyInArrow(_pair_task, "lang string, source string, item string, met long, value long")
     merged = merged.groupBy("lang", "source", "item").agg(F.sum("met").alias("met"), F.sum("value").alias("value"))
     rest = F.expr(f"1 + {PARTS} div (group_total + lang_kept)")  # the share of a term that a group doesn't have
     one = groups.select("lang", "source", "lang_kept", F.when(F.col("lang_kept") > 0, rest).alias("p"))
