@@ -41,7 +41,7 @@ TILE = 16
 #: Most groups whose totals are broadcast: some 10 MB.
 GROUPS = 100_000
 #: Counts that a task holds before it sends them.
-HELD = 1_000_000
+HELD = 250_000
 
 _TERM = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
