@@ -81,7 +81,7 @@ def aligned_position(tag: Column, position: Column, allowed: Column) -> Column:
 
 def heading_variant(text: Column, style: Column, zone: Column) -> Column:
     """Variant of a heading by its inline marker's level and its source style, in BODY only; else null."""
-    level = F.regexp_extract(text, r"(?i)^\s*<H([1-6])>\w", 1)
+    level = F.regexp_extract(text, r"(?i)^\s*<H([1-6])>[\p{L}\p{N}_]", 1)
     out = F.lit(None).cast("string")
     for (n, name), tag in HEADING_VARIANTS.items():
         out = F.when((level == str(n)) & (style == name), tag).otherwise(out)
