@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import repair, stages
-from ..operators import sequence as seq
+from ..operators import lists, repair, stages
 from ..sources.tables import table
 from .catalogue import query
 
@@ -51,3 +50,56 @@ def tagged_lines(spark, d):
 def validate_repair(spark, d):
     """Every line of every document through all rules and passes. A plain row-by-row model is the test's counterpart."""
     return repair.validated(tagged_lines(spark, d), "doc_id", "pos", VOCABULARY, ZONES, lambda c: stages.style_aliases(c, ALIASES))
+
+
+#: Pieces of pages' HTML: (page_id, pos, tag, t: text after the tag), and list rows made of them as the tags have it.
+_PIECES = """SELECT page_id, i AS pos, regexp_extract(p, '^([a-z0-9]+)', 1) AS tag, substr(p, strpos(p, '>') + 1) AS t FROM (SELECT page_id, unnest(string_split(html, '<')) AS p, generate_subscripts(string_split(html, '<'), 1) - 1 AS i FROM pages)
+WHERE regexp_matches(p, '^(li|a|h1|p|b|footer|div)[ >]') AND trim(substr(p, strpos(p, '>') + 1)) <> ''"""
+_LIST_ROWS = """CASE WHEN tag = 'h1' THEN '<h1>' || t WHEN tag = 'a' THEN repeat(' ', length(t) % 3 * 4) || '• ' || t || CASE WHEN length(t) % 4 = 1 THEN ':' ELSE '' END
+WHEN tag = 'p' AND length(t) % 5 < 3 THEN repeat(chr(9), length(t) % 3) || (length(t) % 9 + 1) || '. ' || t WHEN tag = 'b' AND length(t) % 2 = 0 THEN repeat(' ', length(t) % 9) || 'o Types : ' || t ELSE t END"""
+
+
+def list_rows(spark, d):
+    piece = F.posexplode(F.split("html", "<")).alias("pos", "p")
+    rows = table(spark, d, "pages").select("page_id", piece).filter(F.col("p").rlike("^(li|a|h1|p|b|footer|div)[ >]"))
+    rows = rows.select("page_id", "pos", F.regexp_extract("p", "^([a-z0-9]+)", 1).alias("tag"), F.expr("substring(p, instr(p, '>') + 1)").alias("t")).filter(F.trim("t") != "")
+    t, n, tag = F.col("t"), F.length("t"), F.col("tag")
+    text = (
+        F.when(tag == "h1", F.concat(F.lit("<h1>"), t))
+        .when(tag == "a", F.concat(F.expr("repeat(' ', length(t) % 3 * 4)"), F.lit("• "), t, F.when(n % 4 == 1, ":").otherwise("")))
+        .when((tag == "p") & (n % 5 < 3), F.concat(F.expr("repeat(char(9), length(t) % 3)"), (n % 9 + 1).cast("string"), F.lit(". "), t))
+        .when((tag == "b") & (n % 2 == 0), F.concat(F.expr("repeat(' ', length(t) % 9)"), F.lit("o Types : "), t))
+        .otherwise(t)
+    )
+    return rows.select("page_id", "pos", "tag", text.alias("text"))
+
+
+_ITEMS = f"""r AS (SELECT page_id, pos, tag, {_LIST_ROWS} AS text FROM ({_PIECES})), s AS (SELECT *, regexp_replace(text, '^\\s+', '') AS s FROM r),
+i AS (SELECT *, starts_with(lower(text), '<h') AS heading, CASE WHEN regexp_matches(s, '^[•\\-–—·●]') THEN left(s, 1) WHEN regexp_matches(s, '^o[ \\t]') THEN '○' END AS bullet,
+CASE WHEN regexp_matches(s, '^[0-9]+\\.\\s') THEN 'decimal' WHEN regexp_matches(s, '^[0-9]+\\)\\s') THEN 'decimal_paren' WHEN regexp_matches(s, '^\\([0-9]+\\)\\s') THEN 'decimal_both' WHEN regexp_matches(s, '^[A-Z]\\.\\s') THEN 'upper_alpha'
+WHEN regexp_matches(s, '^[a-z]\\.\\s') THEN 'lower_alpha' WHEN regexp_matches(s, '^[a-z]\\)\\s') THEN 'lower_alpha_paren' WHEN regexp_matches(s, '^[IVXLCDM]+\\.\\s') THEN 'upper_roman' WHEN regexp_matches(s, '^[ivxlcdm]+\\.\\s') THEN 'lower_roman' END AS number_format,
+length(regexp_extract(text, '^[\\t ]*')) AS blanks, length(replace(regexp_extract(text, '^[\\t ]*'), ' ', '')) AS tabs, regexp_replace(regexp_replace(s, '^[•\\-–—·●]\\s*', ''), '^[\\pL\\pN_]+[.)]\\s*', '') AS bare FROM s),
+l AS (SELECT *, bullet IS NOT NULL OR number_format IS NOT NULL AS is_list, CASE WHEN bullet IS NOT NULL OR number_format IS NOT NULL THEN least(2, tabs + (blanks - tabs) // 4) END AS level,
+regexp_matches(lower(trim(bare)), '^(grading\\b|work-?up\\b|diagnosis\\s*:|symptoms\\s*:|classification\\s*:|characteristics\\s*:|second-?line\\s+therap|third-?line|differential\\s+diagnosis|management\\s*:|treatment\\s*:|types\\s*:|categories\\s*:)')
+OR (length(bare) < 60 AND regexp_matches(bare, ':\\s*$')) OR regexp_matches(bare, '\\([A-Z]+\\s*[0-9.]+\\)\\s*$') AS trigger FROM i),
+e AS (SELECT *, CASE WHEN heading OR level = 0 THEN 0 WHEN level = 1 AND trigger THEN 1 END AS event FROM l),
+c AS (SELECT *, CASE WHEN is_list THEN CASE WHEN level = 1 AND NOT trigger AND NOT heading AND last_value(event IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 2 ELSE level END END AS semantic_level FROM e)"""
+
+
+@query(f"""WITH {_ITEMS} SELECT page_id, pos, is_list, bullet, number_format, level::INTEGER AS indent_level, semantic_level::INTEGER AS semantic_level,
+CASE WHEN is_list THEN CASE WHEN number_format IS NOT NULL THEN 'NL' ELSE 'BL' END || CASE WHEN semantic_level = 0 THEN '' ELSE (semantic_level + 1)::VARCHAR END || '-' END AS list_style_prefix FROM c""")
+def list_hierarchy(spark, d):
+    """List facts of all pages' rows; levels under parent items."""
+    rows = list_rows(spark, d)
+    out = lists.hierarchy(rows, "page_id", "pos", F.startswith(F.lower("text"), F.lit("<h")), chunk=F.floor(F.col("pos") / 16))
+    return out.select("page_id", F.col("pos").cast("long"), "is_list", "bullet", "number_format", "indent_level", "semantic_level", "list_style_prefix")
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT page_id, pos, CASE WHEN heading THEN 0 WHEN is_list THEN semantic_level + 1 ELSE 4 END AS depth FROM c)
+SELECT a.page_id, a.pos, a.depth::INTEGER AS depth, max(b.pos) AS parent FROM n a LEFT JOIN n b ON b.page_id = a.page_id AND b.pos < a.pos AND b.depth < a.depth GROUP BY ALL""")
+def list_parents(spark, d):
+    """The nearest earlier row of a smaller level: headings, then items by level, then text. SQL: a quadratic self-join."""
+    rows = lists.hierarchy(list_rows(spark, d), "page_id", "pos", F.startswith(F.lower("text"), F.lit("<h")))
+    depth = F.when(F.startswith(F.lower("text"), F.lit("<h")), 0).when(F.col("is_list"), F.col("semantic_level") + 1).otherwise(4)
+    out = lists.parents(rows.withColumn("depth", depth), "page_id", "pos", "depth", 4, chunk=F.floor(F.col("pos") / 16))
+    return out.select("page_id", F.col("pos").cast("long"), "depth", F.col("parent").cast("long"))
