@@ -5,8 +5,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vellum.operators import lists
-from vellum.sources import archive, docx_parts
+from vellum.operators import boxes, lists
+from vellum.sources import archive, docx, docx_parts
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -87,3 +87,29 @@ def test_inherited(spark):
     df = spark.createDataFrame(chain, "doc string, style string, based_on string, a boolean, b boolean")
     got = {(r.doc, r.style): (r.a, r.b) for r in docx_parts.inherited(df, "doc", "style", "based_on", ["a", "b"]).collect()}
     assert got == {("d", f"s{i}"): (True, None) for i in range(37)} | {("d", "x"): (False, None), ("d", "y"): (False, None), ("e", "s5"): (None, True), ("d", "lost"): (None, True)}
+
+
+def test_boxes(spark):
+    texts = [
+        "<BX>Title here", "some text", "Source: First Press 2001", "Adapted from Second", "</BX>", "after", "<BX>Open one", "*Emph*", "<BX-TITLE>Next box", "Reprinted with permission from Lee", "Chapter 9 ends", "Source: not in the box",
+        "A heading", "Body of the box", "Source: Own Press 1999", "Table 4.1 Caption", "cell", "Source: under a table", "Source: of the figure above", "<BX>in one line</BX>", "Source: x in no box at all",
+    ]
+    df = spark.createDataFrame([("d", i, t, i == 15, i in (17,)) for i, t in enumerate(texts)], "doc string, pos int, text string, before_table boolean, after_table boolean")
+    got = sorted((r.pos, r.caption, r.credit, r.tagged, r.needs_permission) for r in boxes.boxes(df, "doc", "pos").collect())
+    assert [g[:4] for g in got] == [
+        (0, "Title here", "Source: First Press 2001", True), (2, "some text", "Source: First Press 2001", False), (8, "Next box", "Reprinted with permission from Lee", True),
+        (9, "<BX-TITLE>Next box", "Reprinted with permission from Lee", False),
+    ]
+    assert [g[4] for g in got] == [False, False, True, True]
+    assert boxes.boxes(df.limit(0), "doc", "pos").count() == 0
+
+
+def test_scan_rows(spark):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>"
+    body = f"<w:document {W}><w:body>{p('Caption')}{table}{p('Source: y')}{p('&lt;BX&gt;Box')}{p('in')}{p(' ')}{p('&lt;/BX&gt;')}{p('last')}{p('')}{table}</w:body></w:document>"
+    rows = boxes.scan_rows(docx.parsed(files(spark, {"f": zipped({"word/document.xml": body})}))).orderBy("pos").collect()
+    assert [(r.text, r.is_table, r.before_table, r.after_table, r.in_box) for r in rows] == [
+        ("Caption", False, True, False, False), ("a", True, False, False, False), ("b", True, False, False, False), ("Source: y", False, False, True, False), ("<BX>Box", False, False, False, True),
+        ("in", False, False, False, True), ("</BX>", False, False, False, False), ("last", False, False, False, False), ("a", True, False, False, False), ("b", True, False, False, False),
+    ]

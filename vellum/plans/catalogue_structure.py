@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lists, repair, stages
+from ..operators import annotate, boxes, lists, repair, stages
 from ..sources.tables import table
 from .catalogue import query
 
@@ -103,3 +103,89 @@ def list_parents(spark, d):
     depth = F.when(F.startswith(F.lower("text"), F.lit("<h")), 0).when(F.col("is_list"), F.col("semantic_level") + 1).otherwise(4)
     out = lists.parents(rows.withColumn("depth", depth), "page_id", "pos", "depth", 4, chunk=F.floor(F.col("pos") / 16))
     return out.select("page_id", F.col("pos").cast("long"), "depth", F.col("parent").cast("long"))
+
+
+_BOX_ROWS = """r AS (SELECT doc_id, i - 1 AS pos, x AS line, length(x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+b AS (SELECT doc_id, pos, n, CASE WHEN n % 11 = 3 THEN '<BX>' || line WHEN n % 13 = 4 THEN '</BX>' || line WHEN n % 7 = 5 THEN 'Source: ' || line WHEN n % 37 = 6 THEN 'Chapter 3 ' || line WHEN n % 29 = 7 THEN 'Figure 2.1 ' || line
+WHEN n % 9 = 8 THEN 'Adapted from ' || line WHEN n % 17 = 1 THEN line || ' (Courtesy of ' || left(line, 20) || ')' WHEN n % 19 = 2 THEN '*' || line || '*' ELSE line END AS text, contains(line, ' | ') AS tab FROM r),
+a AS (SELECT *, coalesce(lead(tab) OVER w, false) AND NOT tab AS before_table, coalesce(lag(tab) OVER w, false) AND NOT tab AS after_table FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+_WORD = "(?i)\\b(source|sources|courtesy|permission|reprinted|reproduced|adapted|modified|copyright|data from|information from)\\b|©"
+_PAREN = "^(.*?)\\s*(\\([^()]*(?:\\([^()]*\\)[^()]*)*\\))\\.?$"
+
+
+def _sql_credit(text: str) -> str:
+    """SQL of ``checks.split_credit(...).credit`` without asterisks and underscores at its ends."""
+    s = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    forms = ["[.!?]\\s+((?i:reprinted|redrawn|reproduced|recreated|adapted|modified|used|from|courtesy)\\b.*)$", "((?i:sources?\\s*:).*)$", "\\b((?i:adapted|modified|reproduced|reprinted|based)\\s+(?i:with\\s+permission\\s+)?(?i:from|on|of)\\s+.*)$"]
+    each = ", ".join(f"CASE WHEN regexp_matches({s}, '{p}') THEN {{'p': instr({s}, regexp_extract({s}, '{p}', 1)), 'c': trim(regexp_extract({s}, '{p}', 1))}} END" for p in forms)
+    inline = f"(list_sort(list_filter([{each}], lambda v: v IS NOT NULL))[1]).c"
+    whole = f"CASE WHEN NOT regexp_matches({s}, '{_WORD}') THEN '' WHEN regexp_matches({s}, '(?i)^(sources?|information from|data from)\\b\\s*:?') THEN {s} WHEN regexp_matches(regexp_extract({s}, '{_PAREN}', 2), '{_WORD}') THEN regexp_extract({s}, '{_PAREN}', 2) ELSE coalesce({inline}, '') END"
+    return f"nullif(regexp_replace({whole}, '^[*_]+|[*_]+$', '', 'g'), '')"
+
+
+def _risk(caption: str, credit: str) -> str:
+    return f"regexp_matches(coalesce(nullif({credit}, ''), {caption}), '(?i)(reprinted|reproduced|adapted|courtesy|permission|copyright|©)')"
+
+
+_STAR = "'^[*_]+|[*_]+$', '', 'g'"
+
+
+@query(f"""WITH {_BOX_ROWS}, s AS (SELECT *, regexp_matches(text, '{boxes.START}') AS st, sum(regexp_matches(text, '{boxes.START}')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM a),
+o AS (SELECT *, bool_or(regexp_matches(text, '{boxes.END}') OR (regexp_matches(text, '{boxes.CHAPTER}') AND NOT st)) OVER (PARTITION BY doc_id, span ORDER BY pos) AS over_, trim(regexp_replace(regexp_replace(text, '{boxes.START}', '', 'g'), '{boxes.END}', '', 'g')) AS line FROM s WHERE span > 0),
+l AS (SELECT *, count(*) FILTER (WHERE NOT over_ AND line <> '') OVER (PARTITION BY doc_id, span ORDER BY pos) AS k, CASE WHEN NOT over_ AND line <> '' THEN {_sql_credit("line")} END AS credit FROM o),
+ta AS (SELECT doc_id, min(pos) AS pos, trim(regexp_replace(arg_min(line, pos) FILTER (WHERE NOT over_ AND line <> ''), {_STAR})) AS caption, arg_min(credit, pos) FILTER (WHERE k > 1 AND credit IS NOT NULL) AS credit FROM l GROUP BY doc_id, span),
+u AS (SELECT *, trim(regexp_replace(trim(text), {_STAR})) AS bare, regexp_matches(text, '{boxes.CAPTION}') AS cap, regexp_matches(text, '{boxes.CHAPTER}') AS chap FROM a),
+v AS (SELECT *, CASE WHEN bare <> '' THEN CASE WHEN regexp_matches(bare, '{boxes.CHAPTER}') OR regexp_matches(bare, '{boxes.CAPTION}') OR regexp_matches(bare, '{boxes.CREDIT_ALONE}') THEN '' WHEN length(bare) <= 200 THEN bare END END AS seen FROM u),
+w AS (SELECT *, coalesce(first_value(CASE WHEN before_table OR cap OR chap THEN before_table END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), false) AS foot,
+coalesce(bool_or(cap) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) AS capped, last_value(seen IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS caption FROM v),
+un AS (SELECT doc_id, pos, caption, {_sql_credit("text")} AS credit FROM w WHERE regexp_matches(text, '{boxes.CREDIT_ALONE}') AND NOT regexp_matches(text, '{boxes.START}') AND NOT after_table AND NOT foot AND NOT capped AND caption <> '')
+SELECT doc_id, pos, caption, credit, true AS tagged, {_risk("caption", "credit")} AS needs_permission FROM ta WHERE caption <> '' AND credit IS NOT NULL
+UNION ALL SELECT doc_id, pos, caption, credit, false, {_risk("caption", "credit")} FROM un WHERE credit IS NOT NULL""")
+def box_log(spark, d):
+    """Tagged and untagged boxes with a credit in all documents' lines; tags, credits and captions follow from a line's length."""
+    from pyspark.sql import Window
+
+    n, line = F.col("n"), F.col("line")
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    text = (
+        F.when(n % 11 == 3, join("<BX>", line)).when(n % 13 == 4, join("</BX>", line)).when(n % 7 == 5, join("Source: ", line)).when(n % 37 == 6, join("Chapter 3 ", line)).when(n % 29 == 7, join("Figure 2.1 ", line))
+        .when(n % 9 == 8, join("Adapted from ", line)).when(n % 17 == 1, join(line, " (Courtesy of ", F.left(line, F.lit(20)), ")")).when(n % 19 == 2, join("*", line, "*")).otherwise(line)
+    )
+    rows = lines(spark, d).select("doc_id", "pos", text.alias("text"), F.contains(line, F.lit(" | ")).alias("tab"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    side = lambda c: F.coalesce(c, F.lit(False)) & ~F.col("tab")
+    rows = rows.withColumns({"before_table": side(F.lead("tab").over(order)), "after_table": side(F.lag("tab").over(order))})
+    return boxes.boxes(rows, "doc_id", "pos").select("doc_id", F.col("pos").cast("long"), "caption", "credit", "tagged", "needs_permission")
+
+
+#: Rules and block markers, as a rule file gives them.
+RULES = [
+    (r"Chapter\s+\d+", "CN", "CN"), (r"Table\s+\d+", "T1", "T1"), (r"[A-Z][A-Z !]{6,}$", "H1", "H1"), (r"By\s", "CAU", "CAU"), (r"[^ ]+ [^ ]+$", "H2", "H2"), (r"References$", "REFH1", "REFH1"), (r"—", "EPI-ATT", "EPI-ATT"), (r"Abstract", "ABS", "ABS"),
+]
+MARKERS = {"Learning Objectives": annotate.OBJECTIVES, "References": annotate.REFERENCES, "Summary": "SUMMARY_BLOCK"}
+_ANNOTATED_TEXT = """CASE WHEN n % 31 = 1 THEN 'Chapter 4' WHEN n % 29 = 2 THEN 'Learning Objectives' WHEN n % 23 = 3 THEN 'References' WHEN n % 37 = 4 THEN 'Summary' WHEN n % 17 = 5 THEN '<H2>' || line WHEN n % 41 = 6 THEN '<CN>References'
+WHEN n % 13 = 7 THEN '“' || line WHEN n % 11 = 8 THEN '[3] ' || line WHEN n % 43 = 9 THEN 'Table 2 ' || line WHEN n % 19 = 10 THEN '— ' || line WHEN n % 47 = 11 THEN 'Abstract' WHEN n % 53 = 12 THEN '' WHEN n % 12 = 1 THEN split_part(line, ' ', 1) || ' ' || split_part(line, ' ', 2) ELSE line END"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS pos, x AS line, length(x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+r AS (SELECT doc_id, pos, n, trim({_ANNOTATED_TEXT}) AS whole, n % 4 = 0 AS is_list, CASE WHEN n % 8 = 0 THEN 'Bullet List' ELSE '' END AS style FROM l),
+x AS (SELECT *, regexp_extract(whole, '^<([A-Z0-9-]+)>', 1) AS ex, CASE WHEN regexp_matches(whole, '^<[A-Z0-9-]+>') THEN trim(regexp_replace(whole, '^<[A-Z0-9-]+>', '')) ELSE whole END AS t FROM r),
+f AS (SELECT *, CASE t WHEN 'Learning Objectives' THEN 'LEARNING_OBJECTIVES_BLOCK' WHEN 'References' THEN 'REFERENCES_BLOCK' WHEN 'Summary' THEN 'SUMMARY_BLOCK' END AS mk, regexp_matches(t, '{annotate.REFERENCES_END}') AS ends,
+CASE WHEN ex <> '' THEN ex WHEN is_list THEN CASE WHEN regexp_matches(t, '^\\s*[0-9]+[.)]') THEN 'NL-MID' WHEN style = 'Bullet List' OR regexp_matches(t, '^[•–-]') THEN 'BL-MID' ELSE 'NL-MID' END
+{' '.join(f"WHEN regexp_matches(t, '^(?:{p})') THEN '{tag}'" for p, tag, _ in RULES)} END AS own FROM x),
+s AS (SELECT doc_id, -1::BIGINT AS pos, NULL::VARCHAR AS block, false AS opening, ''::VARCHAR AS prev, ''::VARCHAR AS tag FROM (SELECT DISTINCT doc_id FROM f)
+UNION ALL SELECT doc_id, pos, block, opening, CASE WHEN whole = '' THEN prev ELSE tag END, tag FROM (
+ SELECT *, CASE WHEN whole = '' THEN 'EMPTY' WHEN opening AND tag2 = 'TXT' THEN CASE WHEN NOT regexp_matches(t, '^[“"]') AND regexp_matches(t, '^[—–-]') THEN 'EPI-ATT' ELSE 'EPI' END WHEN tag2 = 'TXT' AND prev IN ('H1', 'H2', 'H3') THEN 'TXT-FLUSH' ELSE tag2 END AS tag FROM (
+ SELECT doc_id, pos, t, whole, prev, tag2, block3 AS block, CASE WHEN whole = '' THEN opening WHEN tag2 IN ('CN', 'CT', 'CAU') THEN true WHEN tag2 IN ('H1', 'H2', 'H3', 'OBJ1', 'ABS') THEN false ELSE opening END AS opening FROM (
+ SELECT *, CASE WHEN whole = '' THEN block0 WHEN is_l THEN block1 WHEN tag1 IN ('H1', 'H2', 'H3', 'H4', 'CT', 'CN', 'OBJ1', 'REFH1') AND NOT coalesce(block1 = mk, false) THEN NULL ELSE block1 END AS block3,
+ CASE WHEN whole = '' THEN '' WHEN is_l THEN CASE block1 WHEN 'LEARNING_OBJECTIVES_BLOCK' THEN 'OBJ-BL-MID' WHEN 'REFERENCES_BLOCK' THEN CASE WHEN regexp_matches(t, '^\\[[0-9]+\\]|^[0-9]+\\.') THEN 'REF' ELSE 'BODY_TEXT' END ELSE own END
+ WHEN tag1 IS NOT NULL THEN tag1 WHEN block1 = 'LEARNING_OBJECTIVES_BLOCK' THEN 'OBJ-TXT' WHEN block1 = 'REFERENCES_BLOCK' THEN 'REF-TXT' WHEN block1 IS NOT NULL THEN block1 || '_TXT' ELSE 'TXT' END AS tag2 FROM (
+ SELECT f.*, s.opening, s.prev, s.block AS block0, f.ex = '' AND f.is_list AS is_l, CASE WHEN f.ex = '' AND f.mk IS NOT NULL THEN f.mk WHEN s.block = 'REFERENCES_BLOCK' AND f.ends THEN NULL ELSE s.block END AS block1,
+ CASE WHEN f.ex = '' AND s.prev = 'CN' THEN 'CT' ELSE f.own END AS tag1 FROM s JOIN f ON f.doc_id = s.doc_id AND f.pos = s.pos + 1)))))
+SELECT doc_id, pos, tag FROM s WHERE pos >= 0""")
+def annotate_lines(spark, d):
+    """Tags of all documents' lines by rules, blocks and the tag before. SQL: a recursive query, row by row."""
+    text = F.expr(_ANNOTATED_TEXT)
+    rows = lines(spark, d).select("doc_id", "pos", "line", "n").select("doc_id", "pos", text.alias("text"), (F.col("n") % 4 == 0).alias("is_list"), F.when(F.col("n") % 8 == 0, "Bullet List").otherwise("").alias("style"))
+    out = annotate.annotated(rows, "doc_id", "pos", RULES, MARKERS, F.floor(F.col("pos") / 8))
+    return out.select("doc_id", F.col("pos").cast("long"), F.col("new_tag").alias("tag"))
