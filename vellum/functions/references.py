@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .checks import author_parts
 from .text import collapsed
 
 #: Words that mark an organisation as author, as the rules have them.
@@ -113,19 +114,12 @@ def number_prefix(raw: Column) -> Column:
 
 
 def display_authors(full: Column, organisation: Column) -> Column:
-    """Authors as a text cites them: one name, two joined by an ampersand, or the first and et al. Notes in square brackets
-    go; bare initials are no names unless nothing else is there. Organisations stay whole."""
-    s = F.trim(F.regexp_replace(full, r"\[.*?\]", ""))
-    pieces = F.filter(F.transform(F.split(s, "[&,]"), lambda p: F.trim(p)), lambda p: p != "")
-    open_ended = F.exists(pieces, lambda p: F.contains(F.lower(p), F.lit("et al")))
-    bare = F.transform(pieces, lambda p: F.when(F.contains(F.lower(p), F.lit("et al")), F.trim(F.regexp_replace(p, r"(?i)\bet\s+al\.?\b", ""))).otherwise(p))
-    names = F.filter(bare, lambda p: (p != "") & ~p.rlike(r"^([A-Z]\.?\s*-?)+[A-Z]?\.?$"))
-    words = F.filter(F.split(s, r"\s+"), lambda w: w.rlike(r"^\p{Lu}") & ~w.rlike(r"^[A-Z]\.$"))
-    names = F.when(F.size(names) > 0, names).otherwise(words)
-    lead = F.get(names, F.lit(0))
-    people = (
-        F.when(F.size(names) == 0, F.substring_index(s, " ", 1))
-        .when(open_ended | (F.size(names) > 2), F.concat(lead, F.lit(" et al.")))
-        .otherwise(F.array_join(names, " & "))
-    )
-    return F.when(F.coalesce(organisation, F.lit(False)), s).otherwise(people)
+    """Authors as a text cites them. Notes in square brackets go; an organisation stays whole. Of people the first is named:
+    alone, with the second after an ampersand if there are two, with et al. if there are more or the list says so. A list
+    without names counts its capitalised words, and without those shows its first word."""
+    plain = F.trim(F.regexp_replace(full, r"\[.*?\]", ""))
+    parts = author_parts(plain)
+    named = F.when(F.size(parts["names"]) > 0, parts["names"]).otherwise(parts["words"])
+    count = F.size(named) + F.when(parts["further"], 2).otherwise(0)
+    shown = F.when(count >= 3, F.concat(F.get(named, F.lit(0)), F.lit(" et al."))).when(count == 2, F.concat_ws(" & ", named)).otherwise(F.get(named, F.lit(0)))
+    return F.when(F.coalesce(organisation, F.lit(False)), plain).otherwise(F.when(F.size(named) == 0, F.substring_index(plain, " ", 1)).otherwise(shown))

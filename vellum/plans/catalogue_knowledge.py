@@ -18,23 +18,6 @@ def _tagged(spark, d):
     return events(spark, d).withColumn("tag", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 6 + 1).cast("int")))
 
 
-@query(f"""WITH t AS (SELECT {_TAG} AS tag FROM events) SELECT regexp_replace(regexp_replace(tag, '-(FIRST|MID|LAST)$', ''), '[0-9]+$', '') AS family, array_to_string(list_sort(list(DISTINCT tag)), ',') AS members, count(*) AS total FROM t GROUP BY 1""")
-def tag_families(spark, d):
-    return knowledge.tag_families(_tagged(spark, d), "tag").select("family", F.array_join("members", ",").alias("members"), "total")
-
-
-@query(f"""WITH t AS (SELECT {_TAG} AS tag FROM events) SELECT CASE tag WHEN 'KT-NL3-LAST' THEN 'KT-NL' ELSE 'BL' END AS base, CAST(CASE tag WHEN 'BL-FIRST' THEN 1 WHEN 'BL2-MID' THEN 2 ELSE 3 END AS INTEGER) AS depth, count(*) AS n, tag AS variants FROM t WHERE tag LIKE '%L%' AND tag <> 'H1' AND tag NOT LIKE 'TXT' GROUP BY ALL""")
-def list_depths(spark, d):
-    return knowledge.list_depths(_tagged(spark, d), "tag").withColumn("variants", F.array_join("variants", ","))
-
-
-@query("""WITH m AS (SELECT CASE event_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'close' WHEN 2 THEN 'insert' ELSE 'other' END AS class, CASE event_id % 5 WHEN 0 THEN '<CN>' WHEN 1 THEN '</BOX>' WHEN 2 THEN '<INSERT TAB...>' ELSE '<other_pmi_pattern>' END AS pattern FROM events)
-SELECT class, pattern, count(*) AS n, 1::BIGINT AS rank FROM m GROUP BY ALL""")
-def marker_counts(spark, d):
-    text = F.element_at(F.array(*map(F.lit, ("<cn>", "</Box>", "<INSERT TAB 1>", "x <y>", "<a b>"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return knowledge.marker_counts(events(spark, d).select(text.alias("text")), "text")
-
-
 @query("""WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r(role, tag) AS (VALUES ('seen', 'view'), ('seen', 'click'), ('bought', 'purchase'), ('none', 'refund')) SELECT role, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM r LEFT JOIN n ON tag = event_type GROUP BY role""")
 def role_counts(spark, d):
     roles = spark.createDataFrame([("seen", "view"), ("seen", "click"), ("bought", "purchase"), ("none", "refund")], "role string, tag string")

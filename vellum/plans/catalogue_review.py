@@ -33,50 +33,10 @@ def _facts(spark, d):
     return events(spark, d).select("event_id", *cols)
 
 
-@query(f"""WITH {_FACTS}, f AS (SELECT *, tag IN ('T2', 'TBL-MID', 'tfn') AS tt, tag IN ('H1', 'H20', 'REFH1') AND text IN ('<H1>Aims', '<h2 x>Ends', ' <H2>Methods', '<H2> gap') AS marked,
-CASE style WHEN 'Title' THEN 0 WHEN 'Normal' THEN NULL ELSE CAST(right(style, 1) AS INT) END AS level FROM r)
-SELECT event_id, event_id % 2 = 0 AND event_id % 3 <> 0 AND tag IN ('TXT', 'H1', 'H20', 'T2', 'REF-N', 'BIB', 'REFH1', 'tfn') AS keep_list,
-level IS NOT NULL AND NOT marked AND NOT CASE WHEN level = 0 THEN zone = 'TABLE' OR tt ELSE zone = 'TABLE' AND tt END AS keep_heading,
-event_id % 100 < CASE WHEN zone = 'TABLE' OR tt THEN 90 WHEN tag IN ('REF-N', 'BIB', 'REFH1') OR zone = 'REFERENCE' OR event_id % 17 = 0 THEN 80 ELSE 85 END AS review FROM f""")
-def kept_styles_review(spark, d):
-    n, level = F.col("event_id"), F.when(F.col("style") == "Title", 0).when(F.col("style") != "Normal", F.right("style", F.lit(1)).cast("int"))
-    tag, zone = F.col("tag"), F.col("zone")
-    return _facts(spark, d).select(
-        "event_id", review.keeps_list_style(n % 2 == 0, n % 3 == 0, tag).alias("keep_list"), review.keeps_heading_style(level, tag, zone == "TABLE", F.col("text")).alias("keep_heading"),
-        review.needs_review(tag, zone, n % 17 == 0, n % 100, 90, 80).alias("review"),
-    )
-
-
 _ALLOWED = ["BL-MID", "BL-FIRST", "KT-NL-MID", "EOC-LL2-MID", "EOC-LL2-LAST", "TBL-MID"]
 _PREFIX = "CASE tag WHEN 'KT-NL-FIRST' THEN 'KT-NL' WHEN 'BX1-UL-LAST' THEN 'BX1-UL' ELSE CASE WHEN zone = 'TABLE' THEN CASE kind WHEN 'bullet' THEN 'TBL' WHEN 'numbered' THEN 'TNL' ELSE CASE WHEN event_id % 2 = 0 THEN 'TBL' ELSE 'TUL' END END WHEN zone LIKE 'BOX%' THEN CASE zone WHEN 'BOX_BX2' THEN 'BX2-' ELSE 'NBX-' END || CASE kind WHEN 'bullet' THEN 'BL' WHEN 'numbered' THEN 'NL' ELSE 'UL' END WHEN kind = 'bullet' OR (kind = 'unordered' AND event_id % 2 = 0) THEN 'BL' WHEN kind = 'numbered' THEN 'NL' ELSE 'UL' END END"
 
 
-@query(f"""WITH {_FACTS}, p AS (SELECT *, upper(trim(place)) AS pl, CASE WHEN tag IN ('BL-MID', 'KT-NL-FIRST', 'TBL-MID', 'EOC-LL2-MID', 'BX1-UL-LAST') THEN regexp_replace(tag, '-(FIRST|MID|LAST)$', '') END AS stem FROM r)
-SELECT event_id, CASE WHEN kind <> '' AND place <> '' THEN {_PREFIX} || '-' || place END AS list_tag,
-CASE WHEN stem IS NULL OR pl = '' THEN NULL WHEN list_contains({_ALLOWED}, stem || '-' || pl) THEN stem || '-' || pl WHEN list_contains({_ALLOWED}, stem || '-MID') THEN stem || '-MID' END AS aligned,
-CASE WHEN zone <> 'BODY' THEN NULL WHEN text = '<H1>Aims' AND style = 'Heading 2' THEN 'H10' WHEN text = ' <H2>Methods' AND style = 'Heading 3' THEN 'H20' WHEN text = ' <H2>Methods' AND style = 'Heading 2' THEN 'H21' END AS variant,
-CASE WHEN list_contains({_ALLOWED}, tag) THEN tag WHEN event_id % 2 = 0 THEN 'BL-MID' END AS fallback FROM p""")
-def validator_helpers(spark, d):
-    box = F.when(F.col("zone") == "BOX_BX2", "BX2")
-    allowed = F.array(*map(F.lit, _ALLOWED))
-    tag = F.col("tag")
-    return _facts(spark, d).select(
-        "event_id", review.list_tag(F.col("kind"), F.col("place"), F.col("zone"), box, F.col("event_id") % 2 == 0, tag).alias("list_tag"), review.aligned_position(tag, F.col("place"), allowed).alias("aligned"),
-        review.heading_variant(F.col("text"), F.col("style"), F.col("zone")).alias("variant"), review.first_allowed([tag, F.when(F.col("event_id") % 2 == 0, "BL-MID")], allowed).alias("fallback"),
-    )
-
-
-@query(f"""WITH e AS (SELECT event_id, {_chosen(_AUTHORS, 1, "authors")}, trim(regexp_replace(authors, '\\[.*?\\]', '', 'g')) AS s FROM events),
-p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(s, '[&,]'), lambda x: trim(x)), lambda x: x <> '') AS pieces FROM e),
-n AS (SELECT *, len(list_filter(pieces, lambda x: contains(lower(x), 'et al'))) > 0 AS further, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: regexp_matches(x, '^[A-Z]') AND NOT regexp_full_match(x, '[A-Z]\\.')) AS words,
-list_filter(list_transform(pieces, lambda x: CASE WHEN contains(lower(x), 'et al') THEN trim(regexp_replace(x, '(?i)\\bet\\s+al\\.?\\b', '', 'g')) ELSE x END), lambda x: x <> '' AND NOT regexp_full_match(x, '([A-Z]\\.?\\s*-?)+[A-Z]?\\.?')) AS names FROM p),
-m AS (SELECT *, CASE WHEN len(names) > 0 THEN names ELSE words END AS k FROM n)
-SELECT event_id, authors, CASE WHEN event_id % 5 = 0 THEN s WHEN len(k) = 0 THEN string_split(s, ' ')[1] WHEN further OR len(k) > 2 THEN k[1] || ' et al.' ELSE array_to_string(k, ' & ') END AS display FROM m""")
-def author_display(spark, d):
-    rows = events(spark, d).select("event_id", _pick(_AUTHORS, 1, "authors"))
-    return rows.select("event_id", "authors", references.display_authors(F.col("authors"), F.col("event_id") % 5 == 0).alias("display"))
-
-
 _WS = "\\s\\x{0B}\\x{85}\\p{Z}"
 _YEAR = "regexp_matches(text, '(^|[^\\p{L}\\p{N}_])(19|20)[0-9]{2}([^\\p{L}\\p{N}_]|$)')"
 

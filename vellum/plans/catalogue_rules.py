@@ -13,22 +13,6 @@ _LABELS = ["Fig. 3–2a", "TABLE 4.1", "Box 7", "exhibit 2--3", "Appendix B", "C
 _HEADINGS = ", ".join(repr(h) for h in checks.REFERENCE_HEADINGS)
 
 
-@query(f"""WITH e AS (SELECT event_id, {_chosen(_LABELS, 1, "label")}, translate(replace(trim(label), '--', '-'), '–—[]°', '--') AS s,
-translate(regexp_extract(s, '([0-9]+(?:[.\\-][0-9]+)*)([A-Za-z]?)', 1), '-', '.') AS base FROM events)
-SELECT event_id, CASE WHEN lower(label) LIKE 'fig%' THEN 'Figure' WHEN lower(label) LIKE 'tab%' THEN 'Table' WHEN lower(label) LIKE 'box%' THEN 'Box' WHEN lower(label) LIKE 'exhibit%' THEN 'Exhibit' WHEN lower(label) LIKE 'appendix%' THEN 'Appendix'
-WHEN lower(label) LIKE 'case%' THEN 'Case Study' ELSE 'Figure' END AS kind, CASE WHEN label = '' THEN '' WHEN base <> '' THEN base || regexp_extract(s, '([0-9]+(?:[.\\-][0-9]+)*)([A-Za-z]?)', 2) ELSE s END AS number,
-concat_ws(',', CASE WHEN regexp_matches(label, '(?i)(Figure|Fig\\.?|see Fig)\\s+[0-9]+') THEN 'figure' END, CASE WHEN regexp_matches(label, '(?i)(Table|Tbl\\.?)\\s+[0-9]+') THEN 'table' END, CASE WHEN regexp_matches(label, '(?i)Box\\s+[0-9]+') THEN 'box' END) AS refers,
-lower(regexp_replace(trim(regexp_replace(label, '<[^>]+>', '', 'g')), '\\s*:?$', '')) IN ({_HEADINGS}) AS is_heading, event_id % 3 <> 0 AND length(label) >= 6 AS usable FROM e""")
-def item_labels(spark, d):
-    e = events(spark, d).select("event_id", _pick(_LABELS, 1, "label"))
-    label = F.col("label")
-    caption = F.when(F.col("event_id") % 3 == 0, "").otherwise("a caption")
-    return e.select(
-        "event_id", checks.item_type(label).alias("kind"), checks.item_number(label).alias("number"), F.array_join(checks.cross_references(label), ",").alias("refers"),
-        checks.reference_heading(label).alias("is_heading"), checks.usable_item(caption, label, checks.item_type(label), 6).alias("usable"),
-    )
-
-
 _FORMS = ["TXT/H1", "BL_MID", "BL-MID, TXT", "odd|H2", "REF-N", "H1", "T2", "X+Y", "TXT", "X-Y"]
 _KNOWN = ["TXT", "H1", "H2", "T2", "BL-MID"]
 _ALIASES = {"BL-MID": "BL-FIRST", "X_Y": "H3", "T2": "T3"}
@@ -38,68 +22,18 @@ def _aliased(tag: str) -> str:
     return f"CASE {tag} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ALIASES.items()) + " END"
 
 
-@query(f"""WITH e AS (SELECT event_id, {_chosen(_FORMS, 1, "tag")} FROM events)
-SELECT event_id, coalesce({_aliased("tag")}, {_aliased("translate(tag, '_', '-')")}, {_aliased("translate(tag, '-', '_')")}, tag) AS canonical,
-list_filter(regexp_split_to_array(tag, '\\s*[/,|+]\\s*'), lambda p: list_contains({_KNOWN}, p))[1] AS part,
-CASE WHEN event_id % 100 < 85 THEN CASE tag WHEN 'H1' THEN 'H2,CT,SP-H1' WHEN 'TXT' THEN 'TXT-FLUSH,BX1-TXT-FIRST,CS-TXT' WHEN 'T2' THEN 'T3,TBL-MID' WHEN 'REF-N' THEN 'NL-FIRST,NL-MID' ELSE '' END ELSE '' END AS alternatives FROM e""")
-def tag_forms(spark, d):
-    e = events(spark, d).select("event_id", _pick(_FORMS, 1, "tag"), (F.col("event_id") % 100).alias("confidence"))
-    known = F.array(*map(F.lit, _KNOWN))
-    return stages.alternatives(e).select("event_id", stages.style_aliases(F.col("tag"), _ALIASES).alias("canonical"), stages.split_composite(F.col("tag"), known).alias("part"), F.array_join("alternatives", ",").alias("alternatives"))
-
-
 _LISTED = ["BL-FIRST", "NL2-MID", "TXT", "KT-BL2-LAST", "UL-MID", "BL4-LAST", "H1"]
 _LIST_ZONES = ["BODY", "TABLE", "REFERENCE", "BOX_BX1", "BODY"]
 _PREFIXES = ["", "EOC-NL-", "KT-BL-"]
 
 
-@query(f"""WITH e AS (SELECT event_id, {_chosen(_LISTED, 1, "tag")}, {_chosen(_LIST_ZONES, 2, "zone")}, {_chosen(_PREFIXES, 3, "prefix")}, CASE WHEN event_id % 6 < 5 THEN event_id % 6 END AS level, CASE event_id % 4 WHEN 0 THEN 'BL' WHEN 1 THEN 'NL' WHEN 2 THEN 'UL' ELSE 'BL' END AS family FROM events),
-w AS (SELECT *, CASE WHEN zone IN ('TABLE', 'REFERENCE') THEN NULL WHEN level IS NOT NULL THEN family || CASE WHEN level = 0 THEN '' ELSE CAST(least(level + 1, 4) AS VARCHAR) END || '-MID' WHEN prefix <> '' THEN prefix || 'MID' END AS want FROM e),
-x AS (SELECT *, regexp_replace(want, '-MID$', '') || '-' || nullif(regexp_extract(tag, '-(FIRST|MID|LAST)$', 1), '') AS exact FROM w),
-n AS (SELECT *, CASE WHEN tag = want OR tag = exact OR suffix(tag, '-' || exact) THEN tag ELSE coalesce(exact, want) END AS new FROM x)
-SELECT event_id, CASE WHEN new IS NOT NULL AND want IS NOT NULL THEN new ELSE tag END AS tag, want IS NOT NULL AND new <> tag AS list_preserved, CASE WHEN want IS NOT NULL AND new <> tag THEN tag END AS original_tag FROM n""")
-def kept_list_stage(spark, d):
-    n = F.col("event_id")
-    flags = ((n % 4 == 0).alias("has_bullet"), (n % 4 == 1).alias("has_numbering"), (n % 4 == 2).alias("has_xml_list"))
-    level = F.when(n % 6 < 5, n % 6).cast("int").alias("xml_list_level")
-    rows = events(spark, d).select("event_id", _pick(_LISTED, 1, "tag"), _pick(_LIST_ZONES, 2, "zone"), _pick(_PREFIXES, 3, "list_style_prefix"), level, *flags)
-    return stages.kept_lists(rows).select("event_id", "tag", "list_preserved", "original_tag")
-
-
 _ASKED = ["1. What is it?", "Q2. Why?", "(3) Name", "4) List", "Plain words", "x. no"]
 _ASKED_TAGS = ["TXT", "REF-N", "QQ", "NL-MID", "H1"]
 _ASKED_ZONES = ["BODY", "EXERCISE", "BACK_MATTER", "BODY", "BODY"]
 _QUESTION = "(starts_with({0}, 'QUES-') OR starts_with({0}, 'REV-QUES-') OR starts_with({0}, 'EXER-') OR starts_with({0}, 'CS-QUES-') OR starts_with({0}, 'BX1-QUES-'))"
 
 
-@query(f"""WITH r AS (SELECT event_id, user_id, ts, {_chosen(_ASKED, 1, "text")}, {_chosen(_ASKED_TAGS, 2, "picked")}, {_chosen(_ASKED_ZONES, 7, "zone")}, CASE WHEN event_id % 67 = 0 THEN 'EXER-TXT' WHEN event_id % 71 = 0 THEN 'QUES-NL-MID' ELSE picked END AS tag FROM events),
-o AS (SELECT *, CASE tag WHEN 'QQ' THEN 'QUES-NL-FIRST' ELSE tag END AS own, {_QUESTION.format("tag")} AS q FROM r),
-n AS (SELECT *, coalesce(bool_or(q) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) OR coalesce(bool_or(q) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS near,
-regexp_matches(text, '(?i)^\\s*(Q[0-9]+\\.\\s|[0-9]+\\.\\s|\\([0-9]+\\)\\s|[0-9]+\\)\\s)') AS numbered FROM o),
-c AS (SELECT *, CASE WHEN numbered AND (zone = 'EXERCISE' OR (zone <> 'BACK_MATTER' AND (near OR {_QUESTION.format("own")}))) THEN CASE WHEN own NOT IN ('QUES-NL-FIRST', 'QUES-NL-MID') THEN 'QUES-NL-MID' END
-WHEN numbered AND zone = 'BACK_MATTER' THEN CASE WHEN own <> 'REF-N' THEN 'REF-N' END WHEN own <> tag THEN own END AS new FROM n)
-SELECT event_id, coalesce(new, tag) AS tag, new IS NOT NULL AND new <> tag AS repaired FROM c""")
-def question_stage(spark, d):
-    n = F.col("event_id")
-    rows = events(spark, d).select("event_id", "user_id", "ts", _pick(_ASKED, 1, "text"), _pick(_ASKED_TAGS, 2, "picked"), _pick(_ASKED_ZONES, 7, "zone"))
-    rows = rows.withColumn("tag", F.when(n % 67 == 0, "EXER-TXT").when(n % 71 == 0, "QUES-NL-MID").otherwise(F.col("picked")))
-    return stages.question_numbers(rows, DOC, POS, {"QQ": "QUES-NL-FIRST"}).select("event_id", "tag", "repaired")
-
-
 _CITED = ["(Smith et al 2001)", "(Smith 1999a)", "(Smith & Jones 2004)", "Lee et al. (2010)", "(Brown, nd)", "(Brown n.d.)", "(Green In Press)", "none", ""]
 _LOCATORS = ["p. 3", "pp. 3–5", "p. 3-5", "pp. 7", "p.9", "pp.1-2", "P. 4"]
 _NAMED = "[A-Z][\\w''’-]+"
 _PAIR = f"({_NAMED}(?:\\s+(?:&|and)\\s+{_NAMED})?)"
-
-
-@query(f"""WITH e AS (SELECT event_id, {_chosen(_CITED, 1, "text")}, {_chosen(_LOCATORS, 2, "loc")}, event_id % 5 AS n, event_id % 11 = 0 AS body, regexp_replace(text, '\\bet\\s+al\\b\\.?', 'et al.', 'g') AS a,
-regexp_replace(a, '\\(({_NAMED})\\s+et al\\.\\s+((?:19|20)[0-9][0-9][a-z]?)\\)', '(\\1 et al., \\2)', 'g') AS b, regexp_replace(b, '\\({_PAIR}\\s+((?:19|20)[0-9][0-9][a-z]?)\\)', '(\\1, \\2)', 'g') AS c,
-regexp_replace(c, '\\({_PAIR},?\\s+(?i:n\\.?\\s?d\\.?)\\)', '(\\1, n.d.)', 'g') AS f, regexp_matches(text, '(?i)\\bet\\s+al\\b') AS has, regexp_matches(loc, '[0-9]+[–—-][0-9]+') AS ranged FROM events)
-SELECT event_id, regexp_replace(f, '\\({_PAIR},?\\s+(?i:in\\s+press)\\)', '(\\1, in press)', 'g') AS fixed,
-concat_ws(';', CASE WHEN ranged AND lower(loc) LIKE 'p.%' THEN 'use pp. for ranges' END, CASE WHEN NOT ranged AND lower(loc) LIKE 'pp%' THEN 'use p. for a single page' END,
-CASE WHEN ranged AND regexp_matches(loc, '[0-9]-[0-9]') THEN 'use an en dash for ranges' END, CASE WHEN NOT regexp_matches(loc, '(?i)^pp?\\.\\s[0-9]') THEN 'add a space after the stop' END) AS problems,
-CASE WHEN body THEN CASE WHEN has THEN 'incorrect: organisation' END WHEN n >= 3 AND NOT has THEN 'required' WHEN n < 3 AND has THEN 'incorrect: few authors' WHEN has AND NOT regexp_matches(text, '(?i)\\bet\\s+al\\.') THEN 'punctuation' END AS et_al FROM e""")
-def citation_forms(spark, d):
-    e = events(spark, d).select("event_id", _pick(_CITED, 1, "text"), _pick(_LOCATORS, 2, "loc"))
-    problems = F.array_join(checks.locator_problems(F.col("loc")), ";")
-    return e.select("event_id", checks.apa_fixed(F.col("text")).alias("fixed"), problems.alias("problems"), checks.et_al_issue(F.col("text"), F.col("event_id") % 5, F.col("event_id") % 11 == 0).alias("et_al"))

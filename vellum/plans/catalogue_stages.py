@@ -21,49 +21,6 @@ def _rows(spark, d):
     return events(spark, d).select("event_id", "user_id", "ts", tag.alias("tag"), pick(["TABLE", "BODY", "BOX_BX1", "BACK_MATTER"], 4).alias("zone"), pick(texts, 9).alias("text"))
 
 
-@query(f"""WITH {_ROWS}, n AS (SELECT *, coalesce(bool_or(tag = 'T1') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) OR coalesce(bool_or(tag = 'T1') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS near,
-CASE WHEN starts_with(lower(text), 'source:') OR starts_with(lower(text), 'from ') THEN 'TSN' WHEN text IN ('* not shown', 'a) first') THEN 'TFN' END AS kind FROM e)
-SELECT event_id, CASE WHEN near AND zone <> 'TABLE' AND kind IS NOT NULL THEN kind ELSE tag END AS tag, near AND zone <> 'TABLE' AND kind IS NOT NULL AS repaired FROM n""")
-def table_note_stage(spark, d):
-    return stages.table_notes(_rows(spark, d), DOC, POS).select("event_id", "tag", "repaired")
-
-
-@query(f"""WITH {_ROWS} SELECT event_id, CASE WHEN text = '<CN>' THEN 'PMI' WHEN text LIKE 'Table 2%' THEN 'T1' END AS locked_to, CASE WHEN text LIKE 'Table 2%' THEN 'TABLE' ELSE zone END AS zone FROM e""")
-def lock_stages(spark, d):
-    out = stages.lock_table_titles(stages.lock_markers(_rows(spark, d)))
-    return out.select("event_id", F.when(F.col("lock_style"), F.element_at("allowed_styles", 1)).alias("locked_to"), "zone")
-
-
-@query(f"""WITH {_ROWS} SELECT event_id, CASE WHEN text = '<H1>References' AND zone = 'BACK_MATTER' THEN 'REFH1' WHEN text = '<CN>' THEN 'PMI' ELSE tag END AS tag FROM e""")
-def marker_override_stage(spark, d):
-    return stages.marker_overrides(_rows(spark, d), F.col("zone") == "BACK_MATTER").select("event_id", "tag")
-
-
-@query(f"""WITH {_ROWS} SELECT event_id, CASE WHEN zone = 'BOX_BX1' AND tag = 'NBX-TXT' THEN 'BX1-TXT-FLUSH' WHEN zone = 'BOX_BX1' AND tag = 'NBX-H2' THEN 'BX1-H2' ELSE tag END AS tag FROM e""")
-def box_style_stage(spark, d):
-    return stages.box_styles(_rows(spark, d), F.array(*map(F.lit, ("BX1-TXT-FLUSH", "BX1-H2")))).select("event_id", "tag")
-
-
-@query(f"""WITH {_ROWS} SELECT event_id, CASE WHEN tag = 'odd' OR (zone = 'TABLE' AND tag <> 'T1') THEN CASE zone WHEN 'TABLE' THEN 'T' WHEN 'BOX_BX1' THEN 'BX1-TXT' WHEN 'BACK_MATTER' THEN 'PMI' ELSE 'TXT' END ELSE tag END AS tag,
-tag = 'odd' OR (zone = 'TABLE' AND tag <> 'T1') AS zone_restricted FROM e""")
-def zone_enforcement_stage(spark, d):
-    ok = (F.col("zone") != "TABLE") | (F.col("tag") == "T1")
-    return stages.zone_enforced(_rows(spark, d), F.col("tag") != "odd", ok).select("event_id", "tag", "zone_restricted")
-
-
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'BL' WHEN 1 THEN 'NL' ELSE 'UL' END || CASE event_id % 6 WHEN 0 THEN '' WHEN 5 THEN '4' ELSE CAST(least(event_id % 6 + 1, 4) AS VARCHAR) END || '-MID' AS tag FROM events""")
-def list_level_stage(spark, d):
-    n = F.col("event_id") % 6
-    rows = events(spark, d).select("event_id", (F.col("event_id") % 3 == 0).alias("has_bullet"), (F.col("event_id") % 3 == 1).alias("has_numbering"), F.lit(True).alias("has_xml_list"), n.cast("int").alias("xml_list_level"), F.lit(None).cast("string").alias("list_style_prefix"), F.lit("BODY").alias("zone"))
-    return stages.lock_lists(rows).select("event_id", F.element_at("allowed_styles", 1).alias("tag"))
-
-
-@query(f"""WITH {_ROWS}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id, zone ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, zone) AS n FROM e)
-SELECT event_id, CASE WHEN n < 2 THEN tag WHEN k = 1 THEN 'TBL-FIRST' WHEN k = n THEN 'TBL-LAST' ELSE 'TBL-MID' END AS tag FROM c""")
-def cell_position_stage(spark, d):
-    return stages.cell_positions(_rows(spark, d), ["user_id", "zone"], POS).select("event_id", "tag")
-
-
 @query("""WITH s AS (SELECT conv_id, turn * 10 AS s, turn * 10 + 15 AS e, role, turn AS p FROM conversations), b AS (SELECT conv_id, s AS a FROM s UNION SELECT conv_id, e FROM s),
 q AS (SELECT conv_id, a AS x, lead(a) OVER (PARTITION BY conv_id ORDER BY a) AS y FROM b), c AS (SELECT q.conv_id, x, y, arg_max(role, (p, role)) AS role FROM q JOIN s ON s.conv_id = q.conv_id AND s <= x AND e >= y WHERE y IS NOT NULL GROUP BY ALL),
 g AS (SELECT *, CASE WHEN lag(y) OVER w = x AND lag(role) OVER w = role THEN 0 ELSE 1 END AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY x)), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS r FROM g)

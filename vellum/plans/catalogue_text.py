@@ -93,16 +93,6 @@ def html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", T.cache_text(F.col("html")).alias("body"), F.regexp_count("html", F.lit("<img ")).cast("long").alias("images"))
 
 
-@query("""SELECT event_id, 3 AS items, 'b' AS second FROM events""")
-def json_ladder(spark, d):
-    """Four ways in which a model's answer is broken, one for each event by its id; all parse to three items."""
-    three = '{"id": 1, "tag": "a"}, {"id": 2, "tag": "b"}, {"id": 3, "tag": "c"}'
-    texts = [f"[{three}]", f"Here it is: [{three}] as asked", f'[{three}, {{"id": 4, "ta', three]
-    raw = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 4 + 1).cast("int"))
-    out = events(spark, d).select("event_id", T.json_ladder(raw, "struct<id: int, tag: string>").alias("r"))
-    return out.select("event_id", F.size("r").alias("items"), F.element_at("r", 2)["tag"].alias("second"))
-
-
 @query("""WITH n AS (SELECT source, avg((lang = 'en')::INT) AS english, avg((n_chars < 400)::INT) AS short FROM documents GROUP BY source)
 SELECT source, round(english, 6) AS english, round(short, 6) AS short, CASE WHEN short >= 0.3 THEN 'fragments' WHEN english >= 0.6 THEN 'english' ELSE 'mixed' END AS profile FROM n""")
 def profile_router(spark, d):
