@@ -415,9 +415,12 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
     # sets that only rows without an id have are found by their node
     nameless = docs.filter(F.col(id_col).isNull()).select(text_col).mapInArrow(keyed, f"`{text_col}` string, node long").dropDuplicates(["node"])
 
-    def texts(rows: DataFrame) -> DataFrame:
-        """One text of each node that has company."""
-        asked = own.join(gathered(rows), "node").select(F.col("least").alias(id_col), "node", "groups")
+    def wanted(rows: DataFrame) -> DataFrame:
+        """Nodes that have company with their groups, written: rows with and without an id are looked for in it."""
+        return common.saved(own.join(gathered(rows), "node").select(F.col("least").alias(id_col), "node", "groups"), "shingle-wanted")
+
+    def texts(asked: DataFrame) -> DataFrame:
+        """One text of each node."""
         named = docs.join(asked.filter(F.col(id_col).isNotNull()), id_col).select(text_col, "node", "groups")
         return named.unionByName(nameless.join(asked.filter(F.col(id_col).isNull()), "node").select(text_col, "node", "groups"))
 
@@ -445,8 +448,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
 
         return run
 
-    def meet(rows: DataFrame, whole: bool) -> DataFrame:
-        return texts(rows).mapInArrow(place(whole), PLACED).repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b")
+    def meet(asked: DataFrame, whole: bool) -> DataFrame:
+        return texts(asked).mapInArrow(place(whole), PLACED).repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _groups(batches):
@@ -469,10 +472,14 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
     def links(placed: DataFrame) -> DataFrame:
-        left = common.saved(meet(placed, whole=False).mapInArrow(sift, "node long, centre long, a int, b int, side int"), "shingle-candidates")
+        asked = wanted(placed)
+        left = common.saved(meet(asked, whole=False).mapInArrow(sift, "node long, centre long, a int, b int, side int"), "shingle-candidates")
+        common.drop_saved(asked)
         common.forget(spark)
-        edges = common.saved(meet(left, whole=True).mapInArrow(compare, "u long, v long"), "shingle-links")
+        asked = wanted(left)
+        edges = common.saved(meet(asked, whole=True).mapInArrow(compare, "u long, v long"), "shingle-links")
         common.drop_saved(left)
+        common.drop_saved(asked)
         common.forget(spark)
         return edges
 
