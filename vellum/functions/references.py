@@ -123,3 +123,43 @@ def display_authors(full: Column, organisation: Column) -> Column:
     count = F.size(named) + F.when(parts["further"], 2).otherwise(0)
     shown = F.when(count >= 3, F.concat(F.get(named, F.lit(0)), F.lit(" et al."))).when(count == 2, F.concat_ws(" & ", named)).otherwise(F.get(named, F.lit(0)))
     return F.when(F.coalesce(organisation, F.lit(False)), plain).otherwise(F.when(F.size(named) == 0, F.substring_index(plain, " ", 1)).otherwise(shown))
+
+
+# Beginnings of reference lines by style (authors, date or year).
+LINES = {
+    "APA": r"^(.+?)\s*\(((?:(?:19|20)\d{2}[a-z]?|n\.?d\.?(?:-[a-z])?|in press).*?)\)\.?",
+    "Vancouver": r"^([A-Z][^.]+?)\.\s*[^.]+?\.\s*.*?(\d{4})",
+    "Chicago": r"^([A-Z][^.]+?)\.\s*(\d{4})\.\s*",
+}
+SHORT_FORM = r"[\[(]([A-Z]{2,})[\])]"
+
+
+def parsed_line(line: Column, style_name: str) -> Column:
+    """(author, year, full_author, abbreviations) of a reference line of one style; null where the line isn't of it. The
+    author is as a text cites it. Short forms are those in brackets, else (APA) the initials of a name of three or more
+    capitalised words without a comma."""
+    pattern = LINES[style_name]
+    people, date = F.trim(F.regexp_extract(line, pattern, 1)), F.trim(F.regexp_extract(line, pattern, 2))
+    before_comma = lambda c: F.trim(F.substring_index(c, ",", 1))
+    commas = F.split(people, ",")
+    none = F.array().cast("array<string>")
+    if style_name == "APA":
+        year = (
+            F.when(date.rlike(r"\b(?:19|20)\d{2}[a-z]?\b"), F.regexp_extract(date, r"\b((?:19|20)\d{2}[a-z]?)\b", 1))
+            .when(F.contains(F.lower(date), F.lit("n.d")), F.coalesce(F.nullif(F.regexp_extract(date, r"(?i)\bn\.?d\.?(?:-[a-z])?\b", 0), F.lit("")), F.lit("n.d.")))
+            .when(F.contains(F.lower(date), F.lit("in press")), "in press").otherwise(date)
+        )
+        full = F.regexp_replace(F.trim(F.regexp_replace(people, r"(?i)\s*\(\s*Eds?\.?\s*\)", "")), r",\s*$", "")
+        clean = F.trim(F.regexp_replace(full, r"\s*[\[(][^\])]+[\])]\s*", " "))
+        given, words = F.regexp_extract_all(full, F.lit(SHORT_FORM), 1), F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+        name = ~F.contains(clean, F.lit(",")) & (F.size(words) >= 3) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))
+        short = F.when(F.size(given) > 0, given).when(name, F.array(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), ""))).otherwise(none)
+        sides = F.split(clean, "&")
+        author = F.when(F.size(sides) == 2, F.concat_ws(" & ", before_comma(sides[0]), before_comma(sides[1]))).otherwise(before_comma(sides[0]))
+    else:
+        full, year, short = people, date, none
+        if style_name == "Vancouver":
+            author = F.when(F.size(commas) >= 3, F.concat(F.trim(commas[0]), F.lit(" et al"))).when(F.size(commas) == 2, F.concat_ws(" and ", F.trim(commas[0]), F.trim(F.get(commas, F.lit(1))))).otherwise(people)
+        else:
+            author = F.when(F.size(commas) >= 3, F.concat(F.trim(commas[0]), F.lit(" et al."))).otherwise(F.trim(commas[0]))
+    return F.when(line.rlike(pattern), F.struct(author.alias("author"), year.alias("year"), full.alias("full_author"), short.alias("abbreviations")))

@@ -264,3 +264,30 @@ def author_display(spark, d):
     """Author lists made of a line's words: how a text cites them, and how many there are."""
     out = rows(spark, d).select(*_KEY, F.expr(_AUTHORS).alias("authors"))
     return out.select(*_KEY, "authors", references.display_authors(F.col("authors"), checks.is_organisation(F.col("authors"))).alias("display"), checks.author_count(F.col("authors")).alias("n_authors"))
+
+
+_REFERENCE = """CASE n % 12 WHEN 0 THEN w1 || ', A., & ' || w2 || ', B. (2001b, May 3). ' || line WHEN 1 THEN w1 || ' ' || w2 || ' ' || w3 || ' (n.d.). ' || line WHEN 2 THEN w1 || ' ' || w2 || ' [' || upper(left(w3, 3)) || 'X] (in press). ' || line
+WHEN 3 THEN w1 || ', K. (Eds.), (1999). ' || line WHEN 4 THEN w1 || ' A, ' || w2 || ' B, ' || w3 || ' C. ' || line || ' 2003;4:5-9.' WHEN 5 THEN w1 || ' A, ' || w2 || ' B. Title. ' || line || ' 1987.' WHEN 6 THEN w1 || ', John. 2020. ' || line
+WHEN 7 THEN w1 || ', John, ' || w2 || ', and ' || w3 || '. 1995. ' || line WHEN 8 THEN w1 || ', C., ' || w2 || ', D., & ' || w3 || ', E., & ' || w4 || ', F. (2010). ' || line WHEN 9 THEN w1 || '. ' || w2 || '. ' || line || ' 1.2. 12345' WHEN 10 THEN '[3] ' || line || ' (ND). x' ELSE line END"""
+_ADA = "'^(.+?)\\s*\\(((?:(?:19|20)[0-9]{2}[a-z]?|n\\.?d\\.?(?:-[a-z])?|in press).*?)\\)\\.?'"
+_VAN = "'^([A-Z][^.]+?)\\.\\s*[^.]+?\\.\\s*.*?([0-9]{4})'"
+_CHI = "'^([A-Z][^.]+?)\\.\\s*([0-9]{4})\\.\\s*'"
+
+
+@query(f"""WITH {_ROWS}, r AS (SELECT doc_id, pos, {_REFERENCE} AS raw FROM e), x AS (SELECT *, regexp_extract(raw, {_ADA}, ['a', 'd']) AS m, regexp_matches(raw, {_ADA}) AS is_a, regexp_matches(raw, {_VAN}) AS is_v, regexp_matches(raw, {_CHI}) AS is_c, regexp_extract(raw, {_VAN}, ['a', 'd']) AS v, regexp_extract(raw, {_CHI}, ['a', 'd']) AS c FROM r),
+f AS (SELECT *, regexp_replace(trim(regexp_replace(trim(m.a), '(?i)\\s*\\(\\s*Eds?\\.?\\s*\\)', '', 'g')), ',\\s*$', '') AS full_author, trim(m.d) AS d, string_split(trim(v.a), ',') AS vs, string_split(trim(c.a), ',') AS cs FROM x),
+g AS (SELECT *, trim(regexp_replace(full_author, '\\s*[\\[(][^\\])]+[\\])]\\s*', ' ', 'g')) AS clean, regexp_extract_all(full_author, '[\\[(]([A-Z]{{2,}})[\\])]', 1) AS given FROM f),
+h AS (SELECT *, list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> '') AS words, string_split(clean, '&') AS sides FROM g)
+SELECT doc_id, pos, CASE WHEN is_a THEN CASE WHEN len(sides) = 2 THEN trim(string_split(sides[1], ',')[1]) || ' & ' || trim(string_split(sides[2], ',')[1]) ELSE trim(string_split(sides[1], ',')[1]) END END AS apa_author,
+CASE WHEN is_a THEN CASE WHEN regexp_matches(d, '\\b(19|20)[0-9]{{2}}[a-z]?\\b') THEN regexp_extract(d, '\\b((?:19|20)[0-9]{{2}}[a-z]?)\\b', 1) WHEN contains(lower(d), 'n.d') THEN coalesce(nullif(regexp_extract(d, '(?i)\\bn\\.?d\\.?(-[a-z])?\\b'), ''), 'n.d.') WHEN contains(lower(d), 'in press') THEN 'in press' ELSE d END END AS apa_year,
+CASE WHEN is_a THEN array_to_string(CASE WHEN len(given) > 0 THEN given WHEN NOT contains(clean, ',') AND len(words) >= 3 AND len(list_filter(words, lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0 THEN [array_to_string(list_transform(words, lambda w: left(w, 1)), '')] ELSE [] END, ',') END AS short_forms,
+CASE WHEN is_v THEN CASE WHEN len(vs) >= 3 THEN trim(vs[1]) || ' et al' WHEN len(vs) = 2 THEN trim(vs[1]) || ' and ' || trim(vs[2]) ELSE trim(v.a) END END AS vancouver_author, CASE WHEN is_v THEN v.d END AS vancouver_year,
+CASE WHEN is_c THEN CASE WHEN len(cs) >= 3 THEN trim(cs[1]) || ' et al.' ELSE trim(cs[1]) END END AS chicago_author, CASE WHEN is_c THEN c.d END AS chicago_year FROM h""")
+def reference_fields(spark, d):
+    """Reference lines made of documents' lines, read as three styles."""
+    out = rows(spark, d).select(*_KEY, F.expr(_REFERENCE).alias("raw"))
+    out = out.select(*_KEY, *(references.parsed_line(F.col("raw"), s).alias(s) for s in references.LINES))
+    return out.select(
+        *_KEY, F.col("APA.author").alias("apa_author"), F.col("APA.year").alias("apa_year"), F.array_join("APA.abbreviations", ",").alias("short_forms"), F.col("Vancouver.author").alias("vancouver_author"),
+        F.col("Vancouver.year").alias("vancouver_year"), F.col("Chicago.author").alias("chicago_author"), F.col("Chicago.year").alias("chicago_year"),
+    )
