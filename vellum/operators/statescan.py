@@ -115,3 +115,11 @@ def scanned(df: DataFrame, doc: Names, pos: Names, symbol: Column, machine: Mach
     starts = maps.repartition("__doc").sortWithinPartitions(*key).mapInArrow(begun, "__doc string, __chunk long, __from int")
     joined = rows.repartition(*key).join(starts, key).sortWithinPartitions(*key, *order)
     return joined.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{name}` int")
+
+
+def without_jumps(df: DataFrame, doc: Names, pos: Names, level: Column, most: int = 9, name: str = "repaired", chunk: Column | None = None) -> DataFrame:
+    """Heading levels (1 to ``most``, null for other rows) without jumps: a level goes down to one below the last repaired
+    one. The state is that level."""
+    machine = Machine(range(most + 1), [None, *range(1, most + 1)], lambda last, n: (last, None) if n is None else (min(n, last + 1),) * 2)
+    number = F.coalesce(level, F.lit(0)).cast("int")
+    return scanned(df, doc, pos, number, machine, "__state", chunk).withColumn(name, machine.output(number, F.col("__state"), "int")).drop("__state")
