@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import text as T
-from ..operators import corpus, joins, quality, stages, workflow
+from ..operators import corpus, joins, quality, spans, stages, workflow
 from ..operators import sequence as seq
 from ..sources.tables import table
 from ..streaming import jobs
@@ -136,3 +136,22 @@ def order_view(spark, d):
     o, status = table(spark, d, "orders"), F.col("o_orderstatus")
     some = o.filter(((status == "O") & (F.col("o_totalprice") < 50_000)) | F.col("o_orderkey").isin(1, 7, 33, 100) | ((status == "F") & (F.col("o_custkey") % 3 == 1)))
     return some.select("o_orderkey", "o_totalprice", status.isin("F", "P").alias("is_terminal"), ((status == "F") & (F.col("o_totalprice") > 1000)).alias("is_verified"))
+
+
+@query(f"""WITH {_ROWS}, w AS (SELECT doc_id, pos, unnest(string_split(line, ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) AS i FROM e), m AS (SELECT doc_id, pos, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id, pos ORDER BY i) - length(w) - 1)::BIGINT AS s FROM w),
+t AS (SELECT doc_id, pos, s, s + length(w) AS e, w AS term FROM m WHERE regexp_matches(w, '[.,;:!?]$')), r AS (SELECT doc_id, pos, n, unnest(range(0, n // 9 + 1)) AS g FROM e), u AS (SELECT doc_id, pos, g * 9 AS s, least(g * 9 + 9, n) AS e, (['italic', 'bold', 'plain'])[(g + n) % 3 + 1] AS style FROM r WHERE g * 9 < n)
+SELECT t.doc_id, t.pos, greatest(t.s, u.s) AS s, least(t.e, u.e) AS e, style, term FROM t JOIN u ON u.doc_id = t.doc_id AND u.pos = t.pos AND u.s < t.e AND t.s < u.e WHERE t.s < t.e""")
+def styled_terms(spark, d):
+    """Where words with a mark at their end meet runs of one style (nine characters each). SQL joins all pairs of a line."""
+    from pyspark.sql import Window
+
+    r = rows(spark, d)
+    words = r.select(*_KEY, F.posexplode(F.split("line", " ")).alias("i", "term"))
+    so_far = Window.partitionBy(*_KEY).orderBy("i")
+    words = words.withColumn("e", F.sum(F.length("term") + 1).over(so_far) - 1).withColumn("s", F.col("e") - F.length("term"))
+    terms = words.filter(F.col("term").rlike("[.,;:!?]$")).select(*_KEY, "s", "e", "term")
+    n, g = F.col("n"), F.col("g")
+    runs = r.select(*_KEY, "n", F.explode(F.sequence(F.lit(0), F.floor(n / 9).cast("int"))).alias("g")).filter(g * 9 < n)
+    style = F.element_at(F.array(F.lit("italic"), F.lit("bold"), F.lit("plain")), ((g + n) % 3 + 1).cast("int"))
+    runs = runs.select(*_KEY, (g * 9).cast("long").alias("s"), F.least(g * 9 + 9, n).cast("long").alias("e"), style.alias("style"))
+    return spans.intersected(runs, terms, _KEY, "s", "e", "style", "term")
