@@ -104,3 +104,36 @@ def annotated(df: DataFrame, doc: Names, pos: Names, rules: Sequence[tuple[str,
         .otherwise(same(take))
     )
     return df.withColumn("__out", out).withColumns({"new_tag": F.col("__out.tag"), "new_style": F.col("__out.style")}).drop("__out", "__take", "__state", "__symbol_of", "__own", "__rule", "__kind", "__explicit", "__text", "__empty")
+
+
+# Levels of styles that count as headings.
+STYLE_LEVELS = {"CT": 0, "Title": 0, "H1": 1, "Heading 1": 1, "H2": 2, "Heading 2": 2, "H3": 3, "Heading 3": 3, "H4": 4, "Heading 4": 4}
+
+
+def enforced(
+    df: DataFrame, doc: Names, pos: Names, synonyms: dict[str, str], mandatory: Sequence[str], h1_first: bool = True, no_skips: bool = True, chunk: Column | None = None
+) -> DataFrame:
+    """Annotated rows (text, new_tag, new_style) with synonyms of section titles replaced, mandatory sections as H1, no lower
+    heading before the first H1, and no level skipped on the way down. The state is the level of the last heading."""
+    whole = T.strip(F.coalesce("text", F.lit("")))
+    renamed = F.lit(None).cast("string")
+    for old, new in synonyms.items():
+        renamed = F.when(whole == old, new).otherwise(renamed)
+    df = df.withColumn("text", F.coalesce(renamed, F.col("text")))
+    must = T.strip(F.coalesce("text", F.lit(""))).isin(*mandatory) & (F.col("new_style") != "H1")
+    df = df.withColumns({"new_tag": F.when(must, "H1").otherwise(F.col("new_tag")), "new_style": F.when(must, "H1").otherwise(F.col("new_style"))})
+
+    def step(last: int, level: int | None) -> tuple[int, str | None]:
+        if level is None:
+            return last, None
+        now = 1 if h1_first and level > 1 and last == 0 else level
+        now = min(now, last + 1) if no_skips else now
+        return now, None if now == level else f"H{now}"
+
+    number = F.lit(0)
+    for style, level in STYLE_LEVELS.items():
+        number = F.when(F.col("new_style") == style, level + 1).otherwise(number)
+    df = df.withColumn("__level", number)
+    machine = statescan.Machine(range(5), [None, *range(5)], step)
+    df = statescan.scanned(df, doc, pos, F.col("__level"), machine, "__state", chunk)
+    return df.withColumn("new_style", F.coalesce(machine.output(F.col("__level"), F.col("__state"), "string"), F.col("new_style"))).drop("__level", "__state")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, boxes, lists, repair, stages
 from ..sources.tables import table
-from .catalogue import query
+from .catalogue import SQL, query
 
 #: A vocabulary, what zones allow, and aliases, as a publisher's set-up would give them.
 VOCABULARY = (
@@ -189,3 +189,23 @@ def annotate_lines(spark, d):
     rows = lines(spark, d).select("doc_id", "pos", "line", "n").select("doc_id", "pos", text.alias("text"), (F.col("n") % 4 == 0).alias("is_list"), F.when(F.col("n") % 8 == 0, "Bullet List").otherwise("").alias("style"))
     out = annotate.annotated(rows, "doc_id", "pos", RULES, MARKERS, F.floor(F.col("pos") / 8))
     return out.select("doc_id", F.col("pos").cast("long"), F.col("new_tag").alias("tag"))
+
+
+_SYNONYMS, _MANDATORY = {"Abstract": "Summary", "Summary": "Summary"}, ["Summary", "Learning Objectives"]
+
+
+@query(f"""WITH RECURSIVE a AS ({SQL["annotate_lines"]}), l AS (SELECT doc_id, i - 1 AS pos, x AS line, length(x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+b AS (SELECT a.*, trim({_ANNOTATED_TEXT}) AS whole FROM a JOIN l USING (doc_id, pos)), m AS (SELECT *, CASE WHEN whole = 'Abstract' THEN 'Summary' ELSE whole END IN {tuple(_MANDATORY)} AS must FROM b),
+s AS (SELECT doc_id, pos, CASE WHEN must THEN 'H1' ELSE tag END AS tag, CASE WHEN must THEN 'H1' WHEN tag IN ('BODY_TEXT', 'EMPTY') THEN 'TXT' ELSE tag END AS style FROM m),
+v AS (SELECT *, CASE style WHEN 'CT' THEN 0 WHEN 'H1' THEN 1 WHEN 'H2' THEN 2 WHEN 'H3' THEN 3 WHEN 'H4' THEN 4 END AS level FROM s),
+r AS (SELECT doc_id, -1::BIGINT AS pos, ''::VARCHAR AS tag, ''::VARCHAR AS style, 0 AS last FROM (SELECT DISTINCT doc_id FROM v)
+UNION ALL SELECT doc_id, pos, tag, CASE WHEN level IS NULL OR now = level THEN style ELSE 'H' || now END, CASE WHEN level IS NULL THEN last ELSE now END FROM (
+ SELECT v.*, r.last, least(CASE WHEN v.level > 1 AND r.last = 0 THEN 1 ELSE v.level END, r.last + 1) AS now FROM r JOIN v ON v.doc_id = r.doc_id AND v.pos = r.pos + 1))
+SELECT doc_id, pos, tag, style FROM r WHERE pos >= 0""")
+def document_pass(spark, d):
+    """The whole pass over a document's rows: annotation, then section titles and the hierarchy of headings."""
+    text = F.expr(_ANNOTATED_TEXT)
+    rows = lines(spark, d).select("doc_id", "pos", text.alias("text"), (F.col("n") % 4 == 0).alias("is_list"), F.when(F.col("n") % 8 == 0, "Bullet List").otherwise("").alias("style"))
+    chunk = F.floor(F.col("pos") / 8)
+    out = annotate.enforced(annotate.annotated(rows, "doc_id", "pos", RULES, MARKERS, chunk), "doc_id", "pos", _SYNONYMS, _MANDATORY, chunk=chunk)
+    return out.select("doc_id", F.col("pos").cast("long"), F.col("new_tag").alias("tag"), F.col("new_style").alias("style"))
