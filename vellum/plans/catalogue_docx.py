@@ -3,9 +3,12 @@ read back by the sources; SQL says what must come out."""
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import archive, docx_parts
+from ..sources import archive, docx_parts, pdf
 from ..sources.tables import table
 from .catalogue import query
 
@@ -122,3 +125,31 @@ def zip_members(spark, d):
     zips = docs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("lang")))).alias("m")).select(F.col("source").alias("path"), archive.packed("m").alias("content"))
     counts = archive.members(zips, r"\.docx$").groupBy("path").agg(F.count("*").alias("members"))
     return archive.first_documents(zips).join(counts, "path").select(F.col("path").alias("source"), "member", "members")
+
+
+def pdf_files(spark, d):
+    """(path, content): each document as a PDF of thirty lines a page, its text by UTF-16 codes and an identity map."""
+    @F.pandas_udf("binary")
+    def printed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            said = t.split("\n")
+            pages = [said[i : i + 30] for i in range(0, len(said), 30)]
+            objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{5 + 2 * i} 0 R' for i in range(len(pages)))}] >>", "<< /Type /Font /ToUnicode 4 0 R >>", "<< >>\nstream\n1 beginbfrange <0000> <FFFF> <0000> endbfrange\nendstream"]
+            body = [o.encode() for o in objects]
+            for i, page in enumerate(pages):
+                code = "".join(f"BT /F1 9 Tf 40 {800 - 20 * k} Td <{x.encode('utf-16-be').hex()}> Tj ET\n" for k, x in enumerate(page))
+                body.append(f"<< /Type /Page /Resources << /Font << /F1 3 0 R >> >> /Contents {6 + 2 * i} 0 R >>".encode())
+                body.append(b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(code.encode()) + b"\nendstream")
+            out.append(b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, b) for n, b in enumerate(body, 1)) + b"trailer << /Root 1 0 R >>")
+        return pd.Series(out, dtype=object)
+
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", _CLEAN, "").alias("text"))
+    return docs.select(F.col("doc_id").cast("string").alias("path"), printed("text").alias("content"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, (i - 1) // 30 + 1 AS page, i, trim(x) AS t FROM x WHERE trim(x) <> '')
+SELECT doc_id, page::INTEGER AS page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY i))::INTEGER AS line, t AS text FROM p""")
+def pdf_lines(spark, d):
+    """Lines of every document's PDF, read back."""
+    return pdf.lines(pdf_files(spark, d)).filter("problem is null").select(F.col("doc").cast("long").alias("doc_id"), "page", "line", "text")
