@@ -145,11 +145,17 @@ def profile(share: dict[str, Column], rules: Sequence[tuple[str, str, float]], d
     return run
 
 
-def pattern_counts(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """(rule, matches, distinct matches, rows) for each pattern; a row's rule is prefiltered by the pattern itself."""
+def pattern_counts(df: DataFrame, text: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(rule, matches, distinct matches, rows) for each pattern. A row sends each of its matches once, and one record with
+    their number; these add up by (rule, match) before they are shuffled, so each text is read once and no set of rows is
+    kept."""
     each = F.array(*(F.struct(F.lit(n).alias("rule"), F.regexp_extract_all(text, F.lit(p), 0).alias("found")) for n, p in rules))
-    long = df.select(key, F.explode(each).alias("r")).select(key, "r.rule", F.explode("r.found").alias("match"))
-    return long.groupBy("rule").agg(F.count("*").alias("matches"), F.countDistinct("match").alias("distinct_matches"), F.countDistinct(key).alias("rows"))
+    said = df.select(F.explode(each).alias("r")).select("r.*").filter(F.size("found") > 0)
+    record = lambda match, n: F.struct(match.alias("match"), n.cast("long").alias("n"))
+    sent = F.concat(F.array(record(F.lit(None).cast("string"), F.size("found"))), F.transform(F.array_distinct("found"), lambda m: record(m, F.lit(0))))
+    met = said.select("rule", F.explode(sent).alias("m")).groupBy("rule", "m.match").agg(F.sum("m.n").alias("n"), F.count("*").alias("rows"))
+    whole = F.col("match").isNull()
+    return met.groupBy("rule").agg(F.sum("n").alias("matches"), F.count("match").alias("distinct_matches"), F.max(F.when(whole, F.col("rows"))).alias("rows"))
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -54,7 +54,7 @@ PATTERNS = [
 
 @query("WITH m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for n, p in PATTERNS) + ") SELECT rule, count(*) AS matches, count(DISTINCT match) AS distinct_matches, count(DISTINCT doc_id) AS rows FROM m GROUP BY rule")
 def pattern_scan(spark, d):
-    return quality.pattern_counts(table(spark, d, "documents"), "doc_id", "text", PATTERNS)
+    return quality.pattern_counts(table(spark, d, "documents"), "text", PATTERNS)
 
 
 def _count(c: str) -> str:
