@@ -324,12 +324,14 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int, band
 SALTS = 256
 
 
-def dealt(stars: DataFrame, large: DataFrame) -> DataFrame:
-    """``stars`` (centre, node, ...) left joined with what is known of large clusters. The members of a centre are dealt
-    to SALTS keys, so no task owns a cluster; ``large`` must be clusters of at least SALTS members, so that their copies
-    are no more than the stars."""
+def dealt(stars: DataFrame, large: DataFrame, *also: str) -> DataFrame:
+    """Members (structs of node and columns ``also``) of ``stars`` by (centre, salt), with what is known of large clusters.
+    The members of a centre are dealt to SALTS keys, so no task owns a cluster, and travel as arrays; ``large`` must be
+    clusters of at least SALTS members, so that their copies are no more than the stars."""
     salts = F.array(*map(F.lit, range(SALTS)))
-    return stars.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(large.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
+    salt = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int").alias("salt")
+    packed = stars.groupBy("centre", salt).agg(F.collect_list(F.struct("node", *also)).alias("members"))
+    return packed.join(large.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
 
 
 def chunked(n: F.Column, chunk: int) -> F.Column:
@@ -339,7 +341,8 @@ def chunked(n: F.Column, chunk: int) -> F.Column:
 def star_groups(stars: DataFrame, chunk: int) -> DataFrame:
     """(node, centre, a, b, side): each chunk of a cluster with its centre; sides are the centre and the members."""
     large = stars.groupBy("centre").agg(F.count("*").alias("m")).filter(F.col("m") > max(chunk, SALTS)).select("centre", chunked(F.col("m"), chunk).alias("chunks"))
-    members = dealt(stars, large).select("node", "centre", F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("chunks", F.lit(1))).cast("int").alias("a"))
+    members = dealt(stars, large).select("centre", "chunks", F.explode("members.node").alias("node"))
+    members = members.select("node", "centre", F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce("chunks", F.lit(1))).cast("int").alias("a"))
     centres = members.select("centre", "a").distinct().select(F.col("centre").alias("node"), "centre", "a", F.lit(-1).alias("b"), F.lit(0).alias("side"))
     return members.select("node", "centre", "a", F.lit(-1).alias("b"), F.lit(1).alias("side")).unionByName(centres)
 
@@ -355,8 +358,9 @@ def rest_groups(stars: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     clusters = of.groupBy("centre").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("main")).filter(F.col("all") > F.col("main.m"))
     clusters = clusters.select("centre", F.col("main.root").alias("main"), chunked(F.col("all") - F.col("main.m"), chunk).alias("others"), chunked(F.col("main.m"), chunk).alias("mains"))
     is_large = F.col("others") + F.col("mains") > 1 + SALTS // chunk
-    either = dealt(members, clusters.filter(is_large))
-    placed = either.filter("others is not null").unionByName(either.filter("others is null").select(members.columns).join(clusters.filter(~is_large), "centre"))
+    either = dealt(members, clusters.filter(is_large), "root")
+    placed = either.filter("others is not null").unionByName(either.filter("others is null").select("centre", "members").join(clusters.filter(~is_large), "centre"))
+    placed = placed.select("centre", "main", "others", "mains", F.explode("members").alias("x")).select("x.node", "x.root", "centre", "main", "others", "mains")
     is_main, h = F.col("root") == F.col("main"), F.xxhash64("node", F.lit(2))
     side = F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
     placed = placed.withColumn("side", side)
@@ -505,4 +509,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, id_col: str = "doc_id", t
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked documents at 85 % of four-word shingles. Null and wordless texts link with nothing; short ones are one
+    shingle; texts of any length are compared whole; a component's id is its least doc_id, so ties don't arise; repeated
+    rows give repeated rows; an empty table gives no row; only doc_id and text are read."""
     return linked(common.table(spark, sf_dir, "documents"), n=4, num=85)
