@@ -577,3 +577,18 @@ def test_language_rejects_by_distance(spark):
     rows = [(i, " ".join(r.choice(known["ab"[i % 2]]) for _ in range(55)), "ab"[i % 2]) for i in range(300)]
     fitted = language.fit(spark.createDataFrame(rows + [(300, garbage[0], "a")], "doc_id long, text string, lang string"), clusters=1)
     assert all(fitted(pa.array(garbage[1:]))[2]) and not any(fitted(pa.array([t for _, t, _ in rows]))[2])
+
+
+def test_suffix_dedup_keeps_clashing_columns(spark):
+    """Names that the operator uses inside or gives as results, and a text longer than one block."""
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(300))
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(1_500_000))
+    rows = [(1, f"x{shared}y", 7, 8, "k", "t"), (2, shared, 7, 8, None, None), (3, long + shared, 1, 1, "k", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dedup_row int, dedup_segments int, row string, dedup_text string")
+    got = {x.doc_id: x for x in suffix_dedup.deduplicated(df).collect()}
+    assert {k: (x.dedup_row, x.dedup_segments, x.row, x.dedup_text, x.dedup_removed) for k, x in got.items()} == {1: (7, 8, "k", "xy", 300), 2: (7, 8, None, "", 300), 3: (1, 1, "k", long, 300)}
+    import corpus_pipeline
+
+    out = {x.doc_id: x for x in corpus_pipeline.repeats_stage(spark, df, "").collect()}
+    assert {k: (x.text, x.dedup_text) for k, x in out.items()} == {1: ("xy", "t"), 2: ("", None), 3: (long, "t")}

@@ -82,8 +82,7 @@ class Windows:
         """The first turn of the history before ``new``; none if it leaves no room for one new turn."""
         if self.first:
             return new
-        lo = 1 if self.sums[0] < 0 else 0
-        h = bisect_left(self.sums, self.sums[new] - self.history, lo, new)
+        h = bisect_left(self.sums, self.sums[new] - self.history, 0, new)
         if new < len(self.turns) and self.sums[new + 1] - self.sums[h] > self._room():
             return new
         return h
@@ -196,6 +195,9 @@ def digest(windows: DataFrame) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with conversation -7. Null roles and texts are empty; turns of one number
+    are ordered by role and text, repeated rows are repeated turns; an empty table gives conversation -7 alone; other
+    columns are ignored."""
     said = "</s>[INST] ok [/INST]"
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

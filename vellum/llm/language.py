@@ -200,6 +200,9 @@ def identified(text: F.Column, model: Centroids) -> F.Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text. Null texts and those without a letter are und; texts of any length count whole; of
+    equally near languages the first by name is taken; repeated rows are judged each; an empty table gives no row; lang,
+    source and doc_id never enter a prediction."""
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.crc_mod("doc_id", 4) == 2
     model = fit(docs.filter(~held_out))

@@ -157,4 +157,7 @@ def _batch(rows: list[tuple], id_col: str) -> pa.RecordBatch:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens. Null text is one end token; long texts are cut over several windows; equal
+    texts get equal ids; of cuts with equal cost the first is taken; repeated rows are packed each; an empty table gives
+    no row; only doc_id and text are read."""
     return pack(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Unicode's White_Space, and the pre-token pattern of this public vocabulary.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
@@ -313,4 +313,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text. Null and empty texts have none; special strings count as the library has them;
+    texts of any length are counted whole; repeated rows are counted each; an empty table gives no row; only doc_id and
+    text are read."""
     return token_counts(common.table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), 512)

@@ -346,6 +346,8 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     dedup_bytes, dedup_removed and dedup_spans (maximal removed runs)."""
     spark = docs.sparkSession
     docs = docs.drop(*RESULTS)
+    given, place = docs.columns, {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    docs, id_col, text_col = docs.toDF(*place.values()), place[id_col], place[text_col]  # no name can clash with those used here
     # some 24 bytes for each segment, and about as many for facts
     parts = common.parts(spark, common.size_of(docs.select(text_col)) // 2)
     # content facts come back by this key; where two rows share one, each gets true facts of the other besides its own
@@ -436,9 +438,12 @@ def deduplicated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return full.mapInArrow(cut, f"{schema}, dedup_kept binary, dedup_text string, dedup_bytes long, dedup_removed long, dedup_spans long")
+    return full.mapInArrow(cut, f"{schema}, dedup_kept binary, dedup_text string, dedup_bytes long, dedup_removed long, dedup_spans long").toDF(*given, *RESULTS)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 200 bytes removed. Null and empty texts lose nothing; texts longer than a block are read in
+    whole; every occurrence goes, so ties don't arise; repeated rows are each other's copies; an empty table gives no row;
+    only doc_id and text are read."""
     out = deduplicated(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dedup_bytes").alias("n_bytes"), F.col("dedup_removed").alias("n_removed"), F.col("dedup_spans").alias("n_spans"), F.sha2("dedup_kept", 256).alias("kept_sha256"))

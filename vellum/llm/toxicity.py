@@ -330,6 +330,9 @@ def score(text: F.Column, model: Scorer) -> F.Column:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text. Null and empty texts are scored by the bias alone; texts of any length are scored whole;
+    equal texts get equal scores, repeated rows one each; an empty table gives no row; labels, lang, source and doc_id
+    never enter a score."""
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = common.crc_mod("doc_id", 5) == 0
     model = fit(docs, labels.filter(~held_out))

@@ -282,5 +282,8 @@ def audit(rows: DataFrame, result: DataFrame, least: float = 0.98, queries: int
 
 
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.98. Vectors that are null, zero, or hold nulls or what isn't finite,
+    and those without a label, link with nothing; repeated rows count as other vectors; a component's id is its least
+    vec_id; an empty table gives no row; other columns are ignored."""
     out = near_duplicates(common.table(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

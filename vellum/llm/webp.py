@@ -886,5 +886,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored and read back. Null text is 64 zero bytes; texts over 2^20 bytes are several files; equal
+    texts give equal files; repeated rows are stored each; an empty table gives no row; only doc_id and text are read."""
     rows = stored(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", media_features(F.col("media")).alias("m"))
     return rows.select("doc_id", "n_bytes", "m.*")
