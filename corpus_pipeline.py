@@ -34,11 +34,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur elsewhere go from the texts; what is left of a character cut apart goes too."""
-    out = suffix_dedup.deduplicated(docs)
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("dedup_text")))
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the results' names may be columns of the table
+    out = suffix_dedup.deduplicated(docs.toDF(*place.values()), id_col=place["doc_id"], text_col=place["text"])
+    out = out.withColumn(place["text"], F.when(F.col(place["text"]).isNotNull(), F.col("dedup_text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        out = out.withColumn(place["n_chars"], F.length(place["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*place.values()).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the fitted models, the byte-wise repeats or the packing; tests hold the stages against brute force.
+#: SQL can't express the fitted models, the byte-wise repeats or the packing; tests hold their operators against brute force.
 ORACLE_SQL = None
 
 
