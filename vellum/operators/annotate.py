@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from . import statescan
 from .sequence import Names
 
@@ -133,7 +134,7 @@ def enforced(
     number = F.lit(0)
     for style, level in STYLE_LEVELS.items():
         number = F.when(F.col("new_style") == style, level + 1).otherwise(number)
-    df = df.withColumn("__level", number)
+    df = written(df.withColumn("__level", number), "annotated")  # the scan reads its rows twice
     machine = statescan.Machine(range(5), [None, *range(5)], step)
     df = statescan.scanned(df, doc, pos, F.col("__level"), machine, "__state", chunk)
     return df.withColumn("new_style", F.coalesce(machine.output(F.col("__level"), F.col("__state"), "string"), F.col("new_style"))).drop("__level", "__state")
