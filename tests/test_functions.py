@@ -47,6 +47,20 @@ def test_similarity(spark):
     assert got[0]["ratio"] == SequenceMatcher(None, rows[0][1], rows[1][1]).ratio()
 
 
+def test_near_pairs_compare_few_unrelated_texts(spark):
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choices("theandionrs", k=r.randint(2, 5))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=r.choice((9, 14, 70, 80, 90)))).capitalize() + "." for _ in range(60)]
+    texts += [t[:40] + "Qx" + t[44:] for t in texts[:20]] + texts[5:15] + [texts[30].replace("e", "k")] + ["", "", None]
+    df = spark.createDataFrame([(i * 37 % 101, t) for i, t in enumerate(texts)], "id long, t string")
+    real = {(a, b): x for a, t in ((i * 37 % 101, t) for i, t in enumerate(texts)) for b, u in ((i * 37 % 101, t) for i, t in enumerate(texts)) if a < b and t is not None and u is not None and (x := SequenceMatcher(None, t, u).ratio()) > 0.85}
+    assert {(p.a, p.b): p.ratio for p in similarity.near_pairs(df, F.lit(1), "id", "t", 0.85).collect()} == real and len(real) > 30
+    one = df.filter("length(t) > 300").select(F.lit(1).alias("__block"), F.col("id").alias("__x"), F.col("t").alias("__t")).dropDuplicates(["__t"])
+    assert similarity.near_texts(one, 0.85).count() < one.count()
+
+
 def test_citations():
     got = citations.found("As (Smith & Jones, 2019; see Brown, 2001a) and Lee et al. (2020) show (Adams, 1999, as cited in Clark, 2005).")
     assert [(k, a, y) for _, _, k, a, y in got] == [("parenthetical", "Smith & Jones", "2019"), ("parenthetical", "Brown", "2001a"), ("narrative", "Lee et al.", "2020"), ("secondary", "Adams", "1999")]
