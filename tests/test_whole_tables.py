@@ -58,6 +58,25 @@ def test_greedy_align(spark, tmp_path):
         assert found.count() == len(got) and found.select("doc").count() == len(got)
 
 
+def test_best_match_meets_few_pairs(spark, monkeypatch):
+    """The same matches as all pairs give, from fewer calls: only poor and long queries meet the whole block."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    known = [(k % 3, f"Supplier#{k:09d}", k) for k in range(240)] + [(0, "a", 900), (0, "ab", 901), (1, "", 902), (1, None, 903), (2, "x" * 60, 904), (2, "x" * 38, 905), (2, "x" * 42, 906), (0, "Supplier#000000003", -1)]
+    asked = [(g, t[:3] + t[5:]) for g, t, _ in known[:120]] + [(g, "".join(r.sample(t, len(t)))) for g, t, _ in known[120:140]] + [(0, "a"), (0, "b"), (1, ""), (1, None), (2, "x" * 59), (2, "x" * 40), (2, "Supplier#0000"), (0, "Supplier#0000000033")]
+    want = []
+    for g, q in asked:
+        got = [(s, -p, t) for h, t, p in known if h == g and q is not None and t is not None and (s := SequenceMatcher(None, q, t).ratio()) > 0.8]
+        want += [(g, q, max(got)[2], max(got)[0])] if got else []
+    a, t = spark.createDataFrame(asked, "g int, name string"), spark.createDataFrame(known, "g int, name string, k int")
+    assert sorted(tuple(x) for x in similarity.best_match(a, t, "g", "name", "k", 0.8).collect()) == sorted(want)
+    # without the way over all pairs whatever was sure stays
+    monkeypatch.setattr(similarity, "NEAR", 0)
+    assert sorted(tuple(x) for x in similarity.best_match(a, t, "g", "name", "k", 0.8).collect()) == sorted(want)
+
+
 def test_best_match_keeps_repeated_queries(spark):
     asked = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, "alpha beta"), (1, None)], "g int, name string")
     known = spark.createDataFrame([(1, 7, "alpha betas"), (1, 3, "alpha betaz"), (1, 1, "nothing"), (2, 4, "zzz")], "g int, k int, name string")
