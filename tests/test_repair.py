@@ -3,6 +3,7 @@ the documents; the state scan against a loop."""
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,6 +306,19 @@ def test_known_cases(spark):
     assert repair.validated(empty, "doc", "pos", ALLOWED, {}).count() == 0
 
 
+def test_reference_like_is_linear(spark):
+    """The linear pattern agrees with the plain one, and a long line with many commas and no full stop costs no more."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("aB1,,..\n\r\u2028 é") for _ in range(r.randrange(14))) for _ in range(3000)]
+    got = [x[0] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(F.col("t").rlike(repair.NAMED)).collect()]
+    want = [re.search(r"[A-Za-z][^\n\r\u0085\u2028\u2029]*,[^\n\r\u0085\u2028\u2029]+\.", t) is not None for t in texts]
+    assert got == want and True in want and False in want
+    long = spark.createDataFrame([("ab, " * 2000,)], "t string")
+    began = time.monotonic()
+    assert not long.select(repair.reference_like(F.col("t"))).first()[0]
+    assert time.monotonic() - began < 5
+
+
 def test_scan_of_long_and_null_documents(spark):
     r = random.Random(1)
     rows = [(d, i, r.choice("abc")) for d in (1, 2, None, 3) for i in range(r.choice([5, 300]))]

@@ -121,6 +121,9 @@ FALLBACKS = {
 # Patterns, word lists and tags of the rules.
 REFERENCE_NUMBER = r"^\s*(?:[•●\-*–—]\s*)?(?:\(\d+\)|\[\d+\]|\d+[.)]|\d+\s+)"
 REFERENCE_BULLET = r"^\s*[•●\-*–—]\s+"
+#: A letter, later on its line a comma, later a full stop, not next to it. Only a line's first letter, the first comma after
+#: it and the first full stop after that are tried, so the cost is a line's length.
+NAMED = r"(?:^|[\n\r\u0085\u2028\u2029])[^A-Za-z\n\r\u0085\u2028\u2029]*+[A-Za-z][^,\n\r\u0085\u2028\u2029]*+,[^\n\r\u0085\u2028\u2029][^.\n\r\u0085\u2028\u2029]*+\."
 READING_LISTS = r"\b(suggested readings|further reading|recommended reading)\b"
 UNSUFFIXED_LIST = r"^.+-(BL\d*|NL\d*|UL\d*|LL\d*|TBL\d*|TNL\d*|TUL\d*)$"
 POSITIONED_LIST = r"^(.*?)((?:BL|NL|UL|LL)\d*)-(FIRST|MID|LAST)$"
@@ -164,11 +167,14 @@ def without_tags(text: Column) -> Column:
 
 def reference_like(text: Column) -> Column:
     """Numbered or bulleted, or with a year, DOI or et al. and two marks, or a name, a comma and a full stop."""
-    t = T.strip(without_tags(text))
+    return _reference_like(T.strip(without_tags(text)))
+
+
+def _reference_like(t: Column) -> Column:
     low = F.lower(t)
     marks = F.length(t) - F.length(F.translate(t, ".;:,", ""))
     dated = low.rlike(r"\b(19|20)\d{2}\b") | F.contains(low, F.lit("doi")) | F.contains(low, F.lit("et al"))
-    return (t != "") & ~low.rlike(READING_LISTS) & (t.rlike(REFERENCE_NUMBER) | t.rlike(REFERENCE_BULLET) | ((dated | t.rlike(r"[A-Za-z].*,.+\.")) & (marks >= 2)))
+    return (t != "") & ~low.rlike(READING_LISTS) & (t.rlike(REFERENCE_NUMBER) | t.rlike(REFERENCE_BULLET) | ((marks >= 2) & (dated | t.rlike(NAMED))))
 
 
 def heading_like(text: Column) -> Column:
@@ -235,16 +241,18 @@ def _row_rules(df: DataFrame, allowed: frozenset[str], zones: dict[str, Sequence
     fact = {c: F.col(c) for c in FACTS}
     has = lambda c: c.isin(*sorted(allowed))
     first = lambda names: next((n for n in names if n in allowed), None)
-    stripped, low = T.strip(text), F.lower(T.strip(text))
-    level = F.regexp_extract(text, r"(?i)^\s*<H([1-6])>[\p{L}\p{N}_]", 1)
     box = F.when(_starts(zone, "BOX_") & F.substr(zone, F.lit(5)).isin(*BOX_ZONES), F.substr(zone, F.lit(5))).when(F.col("box_type") != "", F.coalesce(F.create_map(*(F.lit(x) for kv in BOX_TYPES.items() for x in kv))[F.col("box_type")], F.lit("NBX")))
-    list_tag = review.list_tag(fact["list_kind"], fact["list_position"], zone, F.coalesce(box, F.lit("NBX")), fact["has_bullet"] | fact["has_xml_list"], tag)
-    referred = F.when(without_tags(text).rlike(REFERENCE_BULLET), "REF-U").otherwise("REF-N")
     in_reference = fact["in_reference"] | (zone == "REFERENCE")
-    like = reference_like(text)
     free = ~F.col("__locked")
 
-    r = Rules(df.withColumns({"__tag": F.col("tag"), "__norm": canonical(F.col("tag")), "__why": F.array().cast("array<string>")}))
+    # what rules ask of a row's text is worked out once, not in each rule
+    r = Rules(df.withColumns({"__stripped": T.strip(text), "__untagged": without_tags(text), "__level": F.regexp_extract(text, r"(?i)^\s*<H([1-6])>[\p{L}\p{N}_]", 1), "__variant": review.heading_variant(text, fact["style"], zone)}))
+    stripped, low, level, variant = F.col("__stripped"), F.col("__low"), F.col("__level"), F.col("__variant")
+    r.put(__low=F.lower(stripped), __referred=F.when(F.col("__untagged").rlike(REFERENCE_BULLET), "REF-U").otherwise("REF-N"), __bare_text=T.strip(F.col("__untagged")))
+    r.put(__like=_reference_like(F.col("__bare_text")), __box=F.coalesce(box, F.lit("NBX")))
+    like, referred, box = F.col("__like"), F.col("__referred"), F.col("__box")
+    list_tag = review.list_tag(fact["list_kind"], fact["list_position"], zone, box, fact["has_bullet"] | fact["has_xml_list"], tag)
+    r.put(__tag=F.col("tag"), __norm=canonical(F.col("tag")), __why=F.array().cast("array<string>"))
     locked = has(F.col("__norm")) & (confidence >= 0.90)
     if preserve_markers:
         bare = F.upper(stripped) == "<BL>"
@@ -265,7 +273,6 @@ def _row_rules(df: DataFrame, allowed: frozenset[str], zones: dict[str, Sequence
     r.put(__locked=F.col("__locked") | (marker & (tag != "PMI")), __marked=marker & (tag != "PMI"))
     r.rule(("marker-only", F.col("__marked"), "PMI"))
     r.rule(("metadata-zone", free & (zone == "METADATA"), "PMI"))
-    variant = review.heading_variant(text, fact["style"], zone)
     r.rule(("inline-heading-variant", free & (zone != "TABLE") & has(variant), variant))
     r.rule(("inline-heading-marker", free & (zone != "TABLE") & (level != "") & (F.regexp_extract(canonical(tag), r"^H([1-6])\d*$", 1) != level), F.concat(F.lit("H"), level)))
     r.rule(("table-caption", free & (fact["caption_type"] == "table"), "T1"))
@@ -325,7 +332,7 @@ def _row_rules(df: DataFrame, allowed: frozenset[str], zones: dict[str, Sequence
         return pd.Series([known.get(t) for t in tags], dtype=object)
 
     r.rule(("not-allowed", F.lit(True), F.when(has(own), own).otherwise(nearest(F.when(~has(own), own)))))
-    bare_text = T.strip(without_tags(text))
+    bare_text = F.col("__bare_text")
     return r.df.withColumns({
         "__confidence": F.when(F.size("__why") > 0, F.least(confidence, F.lit(80.0))).otherwise(confidence), "__like": like, "__referred": referred, "__headed": headed, "__list": list_tag,
         "__empty": stripped == "", "__marker": F.startswith(low, F.lit("<ref>")), "__title": F.lower(bare_text).isin(*REFERENCE_TITLES), "__bare": bare_text != "", "__captioned": F.startswith(F.lower(bare_text), F.lit("table ")),
@@ -377,6 +384,7 @@ def validated(
     given = {c: F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k) for c, k in FACTS.items()}
     given = {c: F.coalesce(v, F.lit(False)) if FACTS[c] == "boolean" else v for c, v in given.items()} | {"zone": F.coalesce(given["zone"], F.lit("BODY"))}
     rows = df.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tag", F.lit("TXT")).alias("tag"), F.coalesce(F.col("confidence").cast("double"), F.lit(85.0)).alias("confidence"), *(v.alias(c) for c, v in given.items()))
+    rows = rows.repartition(*keys)  # the rules cost far more than the shuffle, and a source may come in one piece
     flags = ["__like", "__referred", "__headed", "__list", "__empty", "__marker", "__title", "__bare", "__captioned", "__raised", "__h45"]
     rows = _row_rules(rows, words, zones, canonical, preserve_lists, preserve_markers).select(*keys, "tag", "zone", "in_reference", *flags, F.col("__tag").alias("now"), F.col("__confidence").alias("sure"), F.col("__why").alias("why"))
     now, own = F.col("now"), canonical(F.col("now"))
