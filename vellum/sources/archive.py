@@ -6,15 +6,30 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Archives inside archives that are followed.
 DEPTH = 3
+#: Rows and bytes that are held before a batch goes out.
+HELD_ROWS, HELD_BYTES = 4096, 1 << 22
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of many files in batches of some size, as a batch for each file costs more than what is in it."""
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, str | bytes))
+        if len(held) >= HELD_ROWS or size >= HELD_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
 def listed(data: bytes, name: str = "") -> Iterator[tuple[str, Callable[[], bytes]]]:
@@ -39,15 +54,15 @@ def members(files: DataFrame, wanted: str) -> DataFrame:
     """(path, member, place, content) of the members whose names match the pattern, in lower case."""
     kinds = pa.schema([("path", pa.string()), ("member", pa.string()), ("place", pa.int32()), ("content", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pattern = re.compile(wanted)
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 for place, (name, read) in enumerate(listed(content.as_py() or b"")):
                     if pattern.search(name.lower()):
-                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((path, name, place, read()), kinds.types, strict=True)], kinds.names)
+                        yield path, name, place, read()
 
-    return files.select("path", "content").mapInArrow(run, "path string, member string, place int, content binary")
+    return files.select("path", "content").mapInArrow(lambda batches: batched(found(batches), kinds), "path string, member string, place int, content binary")
 
 
 def first_documents(files: DataFrame) -> DataFrame:
@@ -73,17 +88,17 @@ def first_documents(files: DataFrame) -> DataFrame:
 
 
 def packed(parts: Column) -> Column:
-    """A ZIP archive of a map from names to texts, names in order."""
+    """A ZIP archive of a map from names to texts, names in order. One map at a time becomes Python's."""
 
-    @F.pandas_udf("binary")
-    def zipped(maps: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def zipped(maps: pa.Array) -> pa.Array:
         out = []
         for m in maps:
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, text in sorted(dict(m).items()):
+                for name, text in sorted(dict(m.as_py()).items()):
                     z.writestr(zipfile.ZipInfo(name), text)
             out.append(buf.getvalue())
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.binary())
 
     return zipped(parts)

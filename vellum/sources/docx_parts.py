@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.sequence import Names, cols
 from . import archive
 from .docx import W, _number, _text, _value
+from .shared import written
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
 #: Most levels of a numbered list.
@@ -27,9 +28,9 @@ LEVELS = 9
 def relation(files: DataFrame, wanted: str, rows: Callable[[str, ElementTree.Element], Iterator[tuple]], schema: str) -> DataFrame:
     """(doc: path, then schema) of what ``rows`` gives for each wanted part's name and root element."""
     fields = [f.split() for f in schema.split(", ")]
-    names, kinds = ["doc", *(n for n, _ in fields)], [pa.string(), *(_ARROW[k] for _, k in fields)]
+    kinds = pa.schema([("doc", pa.string()), *((n, _ARROW[k]) for n, k in fields)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pattern = re.compile(wanted)
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
@@ -40,11 +41,9 @@ def relation(files: DataFrame, wanted: str, rows: Callable[[str, ElementTree.Ele
                         root = ElementTree.fromstring(read())
                     except ElementTree.ParseError:
                         continue
-                    found = [(path, *r) for r in rows(name, root)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                    yield from ((path, *r) for r in rows(name, root))
 
-    return files.select("path", "content").mapInArrow(run, f"doc string, {schema}")
+    return files.select("path", "content").mapInArrow(lambda batches: archive.batched(found(batches), kinds), f"doc string, {schema}")
 
 
 def broken(files: DataFrame) -> DataFrame:
@@ -183,6 +182,7 @@ def numbering(files: DataFrame) -> DataFrame:
                 yield "override", to, key, None, None, n, form, indent, first if first is not None else start, label, restart
 
     raw = relation(files, r"word/numbering\.xml", rows, "kind string, definition string, num_id string, to_style string, own_style string, level int, format string, indent int, start int, label string, restart int")
+    raw = written(raw, "numbering")  # read five times below, and each reading would open all files
     pick = lambda kind, *names: raw.filter(F.col("kind") == kind).select("doc", *names)
     defined = pick("definition", "definition", "to_style", "own_style")
     linked = defined.select("doc", F.col("own_style").alias("to_style"), F.col("definition").alias("linked")).filter(F.col("to_style").isNotNull())
@@ -278,7 +278,7 @@ def formats(files: DataFrame) -> DataFrame:
     says so; ``inherited``: its paragraph's or its own style does; ``toggled``: both styles do, which puts it off; and
     section breaks. Counts add up over parts of a document, so nothing is gathered. A page is forty paragraphs."""
     names = list(TOGGLES.values())
-    known = inherited(styles(files), "doc", "style", "based_on", names)
+    known = inherited(written(styles(files), "styles"), "doc", "style", "based_on", names)
     of = lambda side, to: known.select("doc", F.col("style").alias(to), *(F.col(n).alias(f"{side}_{n}") for n in names))
     r = runs(files).join(of("p", "style"), ["doc", "style"], "left").join(of("c", "char_style"), ["doc", "char_style"], "left")
     on = lambda c: F.coalesce(c, F.lit(False))
