@@ -33,3 +33,19 @@ def test_files(spark):
     got = {r.doc: (r.page, r.line, r.text, bool(r.problem)) for r in source.lines(df).collect()}
     assert got.pop("good") == (1, 1, "x", False) and set(got) == set(made) - {"good"} and all(v == (None, None, None, True) for v in got.values())
     assert source.lines(df.limit(0)).count() == 0
+
+
+def test_codes_are_looked_up_once():
+    """A long text asks the ranges of its font once for each code, not for each place."""
+    asked = []
+
+    class Ranges(list):
+        def __iter__(self):
+            asked.append(1)
+            return super().__iter__()
+
+    font = 2, {}, Ranges([(b"\0\0", b"\xff\xff", 0)])
+    assert source._said("abcä".encode("utf-16-be") * 500, font) == "abcä" * 500
+    assert len(asked) == 4
+    size, single, ranges = source._to_unicode(b"1 beginbfchar <01> <0041> endbfchar 1 beginbfrange <02> <03> <0062> endbfrange")
+    assert source._said(b"\x01\x02\x03\x04", (size, single, ranges)) == "Abc"
