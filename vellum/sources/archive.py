@@ -88,17 +88,15 @@ def first_documents(files: DataFrame) -> DataFrame:
 
 
 def packed(parts: Column) -> Column:
-    """A ZIP archive of a map from names to texts, names in order. One map at a time becomes Python's."""
-
-    @F.arrow_udf("binary")
-    def zipped(maps: pa.Array) -> pa.Array:
-        out = []
-        for m in maps:
-            buf = io.BytesIO()
-            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, text in sorted(dict(m.as_py()).items()):
-                    z.writestr(zipfile.ZipInfo(name), text)
-            out.append(buf.getvalue())
-        return pa.array(out, pa.binary())
+    """A ZIP archive of a map from names to texts, names in order. Python holds a hundred rows at a time, as texts are many
+    times larger than what comes out; an Arrow batch may hold 64 MB of them."""
+
+    @F.udf("binary", useArrow=False)
+    def zipped(texts: dict[str, str]) -> bytes:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in sorted(texts.items()):
+                z.writestr(zipfile.ZipInfo(name), text)
+        return buf.getvalue()
 
     return zipped(parts)
