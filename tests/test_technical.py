@@ -65,3 +65,24 @@ def test_cases(spark):
     total = {r.rule: (r.matches, r.rows) for r in technical.totals(df, "t").collect()}
     counts = [plain_found(t) for t in texts if t is not None]
     assert total == {k: (sum(f[k][0] for f in counts if k in f), sum(k in f for f in counts)) for k in {k for f in counts for k in f}}
+
+
+def test_each_rule_is_looked_for_once(spark):
+    found = spark.createDataFrame([("5 percent",)], "t string").select(technical.found(F.col("t")).alias("r"))
+    said = found._jdf.queryExecution().analyzed().toString().replace("...", "")
+    assert found.first().r[0].matches == ["5"]
+    assert said.count("regexp_extract_all(") == sum(p is not None for p, *_ in technical.RULES.values())
+
+
+def test_letters_that_fold_to_others(spark):
+    """Tests before a search, and of its first letters, leave no match out: against the bare patterns."""
+    texts = [
+        "VERſUS 5 verſus vſ V.", "mıcro MİCRO mıcron mcg MCM", "ſection 5 Section 6 ſectıon 7", "fıg. 3 FİG. 4 Fig.5 taB. 6 TABLE 7", "ı.e. İ.E. ıe İE eG E.G. i.e.", "dſm DſM cOvId-19 COVİD 19 covıd19", "mm Hg MMHG mm hG",
+        "5 per cent PERCENT x%x", "x ray X-RAY xRay KX-ray", "12 degreeſ 3DEGREES ٣ degrees ٣°", "a/mL per MIN per mın 1/l", "co2 H2O o2 CO2", "d-glu N-ß l-x", "A.M. pm Am x p.m.x", "P-VALUE p value", "LEſS THAN Greater than EQUAL TO ≥ < leſſ than",
+        "µ®™ Ω é", "¼ 12345 9 99 ٤٥٦٧", "", "plain words",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {(r.i, x.rule): (x["count"], x.matches) for r in df.select("i", technical.found(F.col("t")).alias("r")).collect() for x in r.r}
+    bare = df.select("i", *(F.regexp_extract_all("t", F.lit(f"(?iU){p}"), F.lit(0)).alias(n) for n, (p, *_) in technical.RULES.items() if p is not None)).collect()
+    want = {(r.i, n): (len(hits), sorted(set(hits), key=str.encode)) for r in bare for n, hits in r.asDict().items() if n != "i" and hits}
+    assert got == want and len(want) > 30
