@@ -70,7 +70,8 @@ def credit_lines(spark, d):
     """Credits of lines, whether they need permission, and whether a line reads like a reference."""
     t = rows(spark, d).select(*_KEY, "line", F.expr(_CREDIT).alias("t"))
     credit = F.nullif(F.regexp_replace(checks.split_credit(F.col("t"))["credit"], "^[*_]+|[*_]+$", ""), F.lit(""))
-    return t.select(*_KEY, credit.alias("credit"), T.needs_permission(F.col("line"), credit).alias("permission"), checks.citation_like(F.col("t")).alias("strict"), checks.citation_like(F.col("t"), False).alias("relaxed"))
+    t = t.withColumn("credit", credit)
+    return t.select(*_KEY, "credit", T.needs_permission(F.col("line"), F.col("credit")).alias("permission"), checks.citation_like(F.col("t")).alias("strict"), checks.citation_like(F.col("t"), False).alias("relaxed"))
 
 
 @query(f"""WITH {_ROWS}, s AS (SELECT DISTINCT zone, tag FROM e WHERE n % 2 = 0 AND zone <> 'BODY'), l AS (SELECT DISTINCT zone FROM s)
