@@ -147,10 +147,11 @@ def styled_terms(spark, d):
     from pyspark.sql import Window
 
     r = rows(spark, d)
-    words = r.select(*_KEY, F.posexplode(F.split("line", " ")).alias("i", "term"))
+    # pieces that end with such a word, and what is left: their lengths add up to places as words' would, and they are fewer
+    pieces = r.select(*_KEY, F.posexplode(F.split("line", "(?<=[.,;:!?]) ")).alias("i", "piece"))
     so_far = Window.partitionBy(*_KEY).orderBy("i")
-    words = words.withColumn("e", F.sum(F.length("term") + 1).over(so_far) - 1).withColumn("s", F.col("e") - F.length("term"))
-    terms = words.filter(F.col("term").rlike("[.,;:!?]$")).select(*_KEY, "s", "e", "term")
+    pieces = pieces.withColumns({"e": F.sum(F.length("piece") + 1).over(so_far) - 1, "term": F.substring_index("piece", " ", -1)})
+    terms = pieces.filter(F.col("term").rlike("[.,;:!?]\\z")).select(*_KEY, (F.col("e") - F.length("term")).alias("s"), "e", "term")
     n, g = F.col("n"), F.col("g")
     runs = r.select(*_KEY, "n", F.explode(F.sequence(F.lit(0), F.floor(n / 9).cast("int"))).alias("g")).filter(g * 9 < n)
     style = F.element_at(F.array(F.lit("italic"), F.lit("bold"), F.lit("plain")), ((g + n) % 3 + 1).cast("int"))
