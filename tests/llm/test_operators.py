@@ -410,6 +410,41 @@ def test_webp_uses_what_fits():
         assert webp.load(webp.store(x)) == x
 
 
+def test_webp_many_at_once(monkeypatch):
+    """Files are worked on together, and each is what it is alone: few and many colours, one row, large ones, several files."""
+    r = random.Random(11)
+    payloads = [r.randbytes(64), bytes(64), b"abcd" * 16 * 20, " ".join(r.choice(WORDS) for _ in range(9000)).encode()[:40000], r.randbytes(webp.IMAGE_BYTES + 64)]
+    payloads += [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 400))).encode() for _ in range(600)]
+    payloads = [x + bytes(-len(x) % 64) for x in payloads]
+    r.shuffle(payloads)
+    alone = [webp.store(x) for x in payloads]
+    calls = []
+    whole = webp.put_images
+    monkeypatch.setattr(webp, "put_images", lambda outs, *rest: (calls.append(len(outs)), whole(outs, *rest)))
+    assert list(webp.store_all(iter(payloads))) == alone
+    assert max(calls) > 50 and len([k for k in calls if k > 1]) < 20
+    assert list(webp.load_all(iter(alone))) == payloads == [webp.load(x) for x in alone]
+    assert list(webp.store_all([])) == list(webp.load_all([])) == []
+
+
+def test_webp_entry_not_set():
+    """A cache entry that no pixel has set is transparent black; such a file beside others."""
+    out = webp.Writer()
+    for v, n in ((0x2F, 8), (2, 14), (0, 14), (1, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)):  # no transform, a cache of two, one group
+        out.put(v, n)
+    pixel = 0xFF000500
+    entry = 280 + ((webp.CACHE_FACTOR * pixel & 0xFFFFFFFF) >> 31)
+    out.code(np.isin(np.arange(282), (5, entry)).astype(int))
+    for s in (0, 0, 255, 0):
+        out.single(s)
+    for b in (1, 0, 1):
+        out.put(b, 1)
+    odd = webp.container(out.word.to_bytes(-(-out.n // 8), "little"))
+    other = np.random.default_rng(2).integers(0, 9, (30, 16)).astype(np.uint32) * np.uint32(0x1234567)
+    got = webp.decode_all([webp.encode(other), odd, webp.encode(other[:3])])
+    assert got[1].tolist() == [[0, pixel, pixel]] and (got[0] == other).all() and (got[2] == other[:3]).all()
+
+
 def test_webp_query(spark, docs, monkeypatch):
     """The query's columns against plain Python, for nulls, empty, long and repeated texts."""
     monkeypatch.setattr(webp.common, "table", lambda *_: docs)
