@@ -23,6 +23,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def stripped(c: Column) -> Column:
+    """``strip`` of a column that is at hand (it is named several times): only texts with white space at an end are
+    searched, as the search tries each place."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), strip(c)).otherwise(c)
+
+
 def collapsed(c: Column) -> Column:
     """Runs of ASCII white space as one space, trimmed."""
     return F.trim(F.regexp_replace(c, f"{WHITE}+", " "))

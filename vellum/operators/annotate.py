@@ -7,6 +7,7 @@ no document in one group. A rule set has patterns in order, and texts that open
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ BLOCK_ENDERS = ("H1", "H2", "H3", "H4", "CT", "CN", "OBJ1", "REFH1")
 OPENING = ("CN", "CT", "CAU")
 AFTER_OPENING = ("H1", "H2", "H3", "OBJ1", "ABS")
 HEADINGS = ("H1", "H2", "H3")
+# Each of these begins with a capital from A to Z.
 REFERENCES_END = r"^FIGURE\s+\d+|^Table\s+\d+|^Box\s+\d+|^[A-Z][A-Z\s]{3,}$"
 _MARKED = ("CN", "CT", "CAU", "H1", "H2", "H3", "H4", "OBJ1", "REFH1", "ABS", "TXT", "EPI-ATT")
 
@@ -63,21 +65,33 @@ def step(state: tuple, symbol: tuple) -> tuple[tuple, str]:
 def annotated(df: DataFrame, doc: Names, pos: Names, rules: Sequence[tuple[str, str, str]], markers: dict[str, str], chunk: Column | None = None) -> DataFrame:
     """``df`` (text, is_list, style) with new_tag and new_style. ``rules``: (pattern at the start, tag, style) in order;
     ``markers``: whole texts that open a block. Null text is empty, null is_list no list."""
-    whole = T.strip(F.coalesce("text", F.lit("")))
-    explicit = F.regexp_extract(whole, r"(?s)^<([A-Z0-9-]+)>(.*)", 1)
-    text = F.when(explicit != "", T.strip(F.regexp_extract(whole, r"(?s)^<([A-Z0-9-]+)>(.*)", 2))).otherwise(whole)
-    df = df.withColumns({"__explicit": explicit, "__text": text, "__empty": whole == ""})
-    t, numbered = F.col("__text"), F.col("__text").rlike(r"^\s*\d+[.)]")
+    given_columns = df.columns
+    df = df.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumn("__whole", T.stripped(F.col("__raw")))
+    whole, tagged = F.col("__whole"), r"(?s)^<([A-Z0-9-]+)>(.*)"
+    explicit = F.when(F.startswith(whole, F.lit("<")), F.regexp_extract(whole, tagged, 1)).otherwise("")
+    df = df.withColumn("__explicit", explicit)
+    text = F.when(F.col("__explicit") != "", T.strip(F.regexp_extract(whole, tagged, 2))).otherwise(whole)
+    df = df.withColumns({"__text": text, "__empty": whole == ""})
+    # a search for a beginning goes on to the text's end, so the first character is asked before
+    df = df.withColumn("__first", F.substring("__text", 1, 1))
+    t, first = F.col("__text"), F.col("__first")
+    digit = first.between("0", "9")
+    numbered = digit & t.rlike(r"^\d+[.)]")
     style = F.coalesce("style", F.lit("")) if "style" in df.columns else F.lit("")
-    item = F.when(numbered, "NL-MID").when(F.contains(style, F.lit("Bullet")) | t.rlike("^[•–-]"), "BL-MID").otherwise("NL-MID")
-    ruled = F.lit(None).cast("struct<tag:string,style:string>")
-    for pattern, tag, its in reversed(rules):
-        ruled = F.when(t.rlike(f"^(?:{pattern})"), F.struct(F.lit(tag).alias("tag"), F.lit(its).alias("style"))).otherwise(ruled)
+    item = F.when(numbered, "NL-MID").when(F.contains(style, F.lit("Bullet")) | first.isin("•", "–", "-"), "BL-MID").otherwise("NL-MID")
     given = F.coalesce("is_list", F.lit(False)) if "is_list" in df.columns else F.lit(False)
     kind = F.when(F.col("__empty"), "empty").when(F.col("__explicit") != "", "explicit").when(given, "list").otherwise("other")
-    df = df.withColumns({"__kind": kind, "__rule": ruled})
+    df = df.withColumn("__kind", kind)
+    ruled = F.lit(0)
+    for i, (pattern, _, _) in reversed([*enumerate(rules, 1)]):
+        ruled = F.when(t.rlike(f"^(?:{pattern})"), i).otherwise(ruled)
+    if not any(re.search(r"\\[1-9k]", p) for p, _, _ in rules):  # all rules at once: most rows have none
+        ruled = F.when(t.rlike("^(?:" + "|".join(f"(?:{p})" for p, _, _ in rules) + ")"), ruled).otherwise(0) if rules else ruled
+    # a tag of its own as a text, and which rule it comes from; rules are looked for in other rows only
+    df = df.withColumn("__rule", F.when(F.col("__kind") == "other", ruled).otherwise(0))
+    by_rule = lambda k: F.element_at(F.array(F.lit(None).cast("string"), *(F.lit(r[k]) for r in rules)), F.col("__rule") + 1)
+    df = df.withColumn("__tag", F.when(F.col("__kind") == "explicit", F.col("__explicit")).when(F.col("__kind") == "list", item).otherwise(by_rule(1)))
     pair = lambda a, b: F.struct(a.alias("tag"), b.alias("style"))
-    df = df.withColumn("__own", F.when(F.col("__kind") == "explicit", pair(F.col("__explicit"), F.col("__explicit"))).when(F.col("__kind") == "list", pair(item, item)).otherwise(F.col("__rule")))
     names = sorted(set(markers.values()))
     opened = F.lit(None).cast("string")
     for words, block in markers.items():
@@ -88,23 +102,25 @@ def annotated(df: DataFrame, doc: Names, pos: Names, rules: Sequence[tuple[str,
     states = [(None, False, "other"), *((b, o, p) for b in [None, *names] for o in (False, True) for p in ("CN", "heading", "other") if (b, o, p) != (None, False, "other"))]
     number = F.array_position(F.array(*map(F.lit, kinds)), F.col("__kind")) - 1
     number = number * (len(names) + 1) + F.coalesce(F.array_position(F.array(*map(F.lit, names)), opened), F.lit(0)) if names else number
-    number = number * 2 + t.rlike(REFERENCES_END).cast("int")
-    own = F.col("__own.tag")
+    number = number * 2 + (first.between("A", "Z") & t.rlike(REFERENCES_END)).cast("int")
+    own = F.col("__tag")
     number = number * len(owns) + F.when(own.isNull(), 0).otherwise(F.greatest(F.array_position(F.array(*map(F.lit, owns)), own) - 1, F.lit(1)))
-    df = df.withColumn("__symbol_of", number.cast("int"))
+    df = df.withColumns({"__symbol_of": number.cast("int"), "__entry": (digit | (first == "[")) & t.rlike(r"^\[\d+\]|^\d+\."), "__source": first.isin("—", "–", "-")})
+    # the scan reads its rows twice; texts aren't looked into again after it
+    df = written(df.select(*given_columns, "__tag", "__rule", "__symbol_of", "__entry", "__source"), "facts")
     machine = statescan.Machine(states, symbols, step)
     df = statescan.scanned(df, doc, pos, F.col("__symbol_of"), machine, "__state", chunk).withColumn("__take", machine.output(F.col("__symbol_of"), F.col("__state"), "string"))
     take = F.col("__take")
     block = F.substring_index(take, ":", -1)
     inside = F.when(block == OBJECTIVES, "OBJ-TXT").when(block == REFERENCES, "REF-TXT").otherwise(F.concat(block, F.lit("_TXT")))
     same = lambda c: pair(c, c)
-    entry = F.col("__text").rlike(r"^\[\d+\]|^\d+\.")
+    entry = F.col("__entry")
     out = (
-        F.when(take == "own", F.col("__own")).when(take == "EMPTY", pair(F.lit("EMPTY"), F.lit("TXT"))).when(F.startswith(take, F.lit("text:")), same(inside))
-        .when(take == "reference-item", pair(F.when(entry, "REF").otherwise("BODY_TEXT"), F.when(entry, "REF").otherwise("TXT"))).when(take == "epigraph", same(F.when(~F.col("__text").rlike('^[“"]') & F.col("__text").rlike("^[—–-]"), "EPI-ATT").otherwise("EPI")))
+        F.when(take == "own", pair(F.col("__tag"), F.when(F.col("__rule") > 0, by_rule(2)).otherwise(F.col("__tag")))).when(take == "EMPTY", pair(F.lit("EMPTY"), F.lit("TXT"))).when(F.startswith(take, F.lit("text:")), same(inside))
+        .when(take == "reference-item", pair(F.when(entry, "REF").otherwise("BODY_TEXT"), F.when(entry, "REF").otherwise("TXT"))).when(take == "epigraph", same(F.when(F.col("__source"), "EPI-ATT").otherwise("EPI")))
         .otherwise(same(take))
     )
-    return df.withColumn("__out", out).withColumns({"new_tag": F.col("__out.tag"), "new_style": F.col("__out.style")}).drop("__out", "__take", "__state", "__symbol_of", "__own", "__rule", "__kind", "__explicit", "__text", "__empty")
+    return df.withColumn("__out", out).withColumns({"new_tag": F.col("__out.tag"), "new_style": F.col("__out.style")}).drop("__out", "__take", "__state", "__symbol_of", "__tag", "__rule", "__entry", "__source")
 
 
 # Levels of styles that count as headings.
@@ -116,13 +132,14 @@ def enforced(
 ) -> DataFrame:
     """Annotated rows (text, new_tag, new_style) with synonyms of section titles replaced, mandatory sections as H1, no lower
     heading before the first H1, and no level skipped on the way down. The state is the level of the last heading."""
-    whole = T.strip(F.coalesce("text", F.lit("")))
+    df = df.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumn("__whole", T.stripped(F.col("__raw")))
     renamed = F.lit(None).cast("string")
     for old, new in synonyms.items():
-        renamed = F.when(whole == old, new).otherwise(renamed)
-    df = df.withColumn("text", F.coalesce(renamed, F.col("text")))
-    must = T.strip(F.coalesce("text", F.lit(""))).isin(*mandatory) & (F.col("new_style") != "H1")
-    df = df.withColumns({"new_tag": F.when(must, "H1").otherwise(F.col("new_tag")), "new_style": F.when(must, "H1").otherwise(F.col("new_style"))})
+        renamed = F.when(F.col("__whole") == old, new).otherwise(renamed)
+    df = df.withColumn("__renamed", renamed).withColumn("text", F.coalesce("__renamed", "text"))
+    title = F.when(F.col("__renamed").isNull(), F.col("__whole")).otherwise(T.strip(F.col("__renamed")))
+    must = title.isin(*mandatory) & (F.col("new_style") != "H1")
+    df = df.withColumns({"new_tag": F.when(must, "H1").otherwise(F.col("new_tag")), "new_style": F.when(must, "H1").otherwise(F.col("new_style"))}).drop("__raw", "__whole", "__renamed")
 
     def step(last: int, level: int | None) -> tuple[int, str | None]:
         if level is None:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,17 @@ def numbered(values: Sequence[tuple[Hashable, Column]], symbols: Sequence[Hashab
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple], list[int]]]:
-    """Batches with the key of each row and the places where a key begins (the first row's may go on from before)."""
+    """Batches with the places where a key begins (the first row's may go on from before) and the keys there."""
     for b in batches:
         if b.num_rows:
-            key = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
-            yield b, key, [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                c = b.column(k)
+                new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+            starts = new.nonzero()[0]
+            at = pa.array(starts)
+            yield b, list(zip(*(b.column(k).take(at).to_pylist() for k in keys), strict=True)), starts.tolist()
 
 
 def scanned(df: DataFrame, doc: Names, pos: Names, symbol: Column, machine: Machine, name: str = "state", chunk: Column | None = None) -> DataFrame:
@@ -75,12 +83,12 @@ def scanned(df: DataFrame, doc: Names, pos: Names, symbol: Column, machine: Mach
         last, now = None, same
         for b, keys, starts in _groups(batches, key):
             symbols, done, maps = b.column("__symbol").to_pylist(), [], []
-            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[i] != last:
+            for of, i, j in zip(keys, starts, [*starts[1:], b.num_rows], strict=True):
+                if of != last:
                     if last is not None:
                         done.append(last)
                         maps.append(now[:n])
-                    last, now = keys[i], same
+                    last, now = of, same
                 for s in symbols[i:j]:
                     now = now.translate(tables[s])
             if done:
@@ -90,21 +98,21 @@ def scanned(df: DataFrame, doc: Names, pos: Names, symbol: Column, machine: Mach
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
-        for b, keys, _ in _groups(batches, key):
+        for b in batches:
             out = []
-            for k, m in zip(keys, b.column("__map").to_pylist(), strict=True):
-                at = at if k[0] == last else 0
+            for of, m in zip(b.column("__doc").to_pylist(), b.column("__map").to_pylist(), strict=True):
+                at = at if of == last else 0
                 out.append(at)
-                last, at = k[0], m[at]
+                last, at = of, m[at]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int32())], [*key, "__from"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
         for b, keys, starts in _groups(batches, key):
             symbols, begin, out = b.column("__symbol").to_pylist(), b.column("__from").to_pylist(), []
-            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[i] != last:
-                    last, at = keys[i], begin[i]
+            for of, i, j in zip(keys, starts, [*starts[1:], b.num_rows], strict=True):
+                if of != last:
+                    last, at = of, begin[i]
                 for s in symbols[i:j]:
                     out.append(at)
                     at = tables[s][at]
