@@ -86,3 +86,22 @@ def test_letters_that_fold_to_others(spark):
     bare = df.select("i", *(F.regexp_extract_all("t", F.lit(f"(?iU){p}"), F.lit(0)).alias(n) for n, (p, *_) in technical.RULES.items() if p is not None)).collect()
     want = {(r.i, n): (len(hits), sorted(set(hits), key=str.encode)) for r in bare for n, hits in r.asDict().items() if n != "i" and hits}
     assert got == want and len(want) > 30
+
+
+def test_each_form_alone_in_its_text(spark):
+    """A text is searched for a rule by whichever of its forms it has, in any case, without the rule's other forms."""
+    forms = {
+        "special_chars": ["é"], "trademark": ["®", "©", "™"], "greek": ["α", "Ω", "ϋ", "\u2126"], "thousand_separator": ["1000", "٤٥٦٧"], "spell_out_numbers": ["0", "42"], "degree_symbol": ["5 degree", "5degrees", "5 °c", "5 degreeſ"],
+        "percent_symbol": ["percent", "per cent", "x%x"], "units_mmHg": ["mmHg", "mm  hg"], "micro_units": ["mcg", "mcm", "mcl", "micron", "micro", "mİcro"], "per_usage": [f"{a}{b}" for a in ("per ", "x/") for b in ("dL", "L", "min", "mL", "µL", "μL")],
+        "latin_abbrev": ["e.g.x", "eg", "i.e.x", "ie", "ı.e.x"], "xray": ["xray", "x-ray", "X ray"], "vs": ["vs.x", "versus", "v.x", "vs", "vſ"], "chemical_prefixes": ["d-a", "l-é", "N-1"], "chemical_formulas": ["CO2", "O2", "H2O", "h2o"],
+        "time_format": ["AM", "PM", "a.m.x", "p.m.x"], "dsm_covid": ["DSM", "dſm", "COVID19", "covid-19", "Covid 19", "COVİD 19"], "fig_table_cite": ["Figure 1", "fig.1", "fıg.1", "Table 1", "Tab. ٣"], "cross_ref": ["Section 1", "ſectıon 1", "chapter1"],
+        "p_value": ["pvalue", "P-value", "p VALUE"], "comparison": [">", "<", "≥", "≤", "=", "less than", "leſſ than", "Greater than", "equal to"],
+    }
+    assert set(forms) == {n for n, (p, *_) in technical.RULES.items() if p is not None}
+    asked = [(name, t) for name, ts in forms.items() for f in ts for t in {f, f.lower(), f.upper()}]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(asked)], "i int, t string")
+    got = {(r.i, x.rule): (x["count"], x.matches) for r in df.select("i", technical.found(F.col("t")).alias("r")).collect() for x in r.r}
+    bare = df.select("i", *(F.regexp_extract_all("t", F.lit(f"(?iU){p}"), F.lit(0)).alias(n) for n, (p, *_) in technical.RULES.items() if p is not None)).collect()
+    want = {(r.i, n): (len(hits), sorted(set(hits), key=str.encode)) for r in bare for n, hits in r.asDict().items() if n != "i" and hits}
+    assert got == want
+    assert {asked[i] for i, n in want if n == asked[i][0]} >= {(name, f) for name, fs in forms.items() for f in fs}
