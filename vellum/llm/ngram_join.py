@@ -327,11 +327,12 @@ SALTS = 256
 def dealt(stars: DataFrame, large: DataFrame, *also: str) -> DataFrame:
     """Members (structs of node and columns ``also``) of ``stars`` by (centre, salt), with what is known of large clusters.
     The members of a centre are dealt to SALTS keys, so no task owns a cluster, and travel as arrays; ``large`` must be
-    clusters of at least SALTS members, so that their copies are no more than the stars."""
+    clusters of at least SALTS members, so that their copies are no more than the stars. The copies are never broadcast:
+    Spark takes them for as small as what they are copies of."""
     salts = F.array(*map(F.lit, range(SALTS)))
     salt = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int").alias("salt")
     packed = stars.groupBy("centre", salt).agg(F.collect_list(F.struct("node", *also)).alias("members"))
-    return packed.join(large.withColumn("salt", F.explode(salts)), ["centre", "salt"], "left").drop("salt")
+    return packed.join(large.withColumn("salt", F.explode(salts)).hint("merge"), ["centre", "salt"], "left").drop("salt")
 
 
 def chunked(n: F.Column, chunk: int) -> F.Column:
@@ -356,10 +357,9 @@ def rest_groups(stars: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
     members = members.join(roots, "node", "left").select("node", "centre", F.coalesce("root", "node").alias("root"))
     of = members.groupBy("centre", "root").agg(F.count("*").alias("m"))
     clusters = of.groupBy("centre").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("main")).filter(F.col("all") > F.col("main.m"))
-    clusters = clusters.select("centre", F.col("main.root").alias("main"), chunked(F.col("all") - F.col("main.m"), chunk).alias("others"), chunked(F.col("main.m"), chunk).alias("mains"))
-    is_large = F.col("others") + F.col("mains") > 1 + SALTS // chunk
-    either = dealt(members, clusters.filter(is_large), "root")
-    placed = either.filter("others is not null").unionByName(either.filter("others is null").select("centre", "members").join(clusters.filter(~is_large), "centre"))
+    clusters = clusters.select("centre", F.col("main.root").alias("main"), chunked(F.col("all") - F.col("main.m"), chunk).alias("others"), chunked(F.col("main.m"), chunk).alias("mains"), (F.col("all") > SALTS).alias("large"))
+    either = dealt(members, clusters.filter("large").drop("large"), "root")
+    placed = either.filter("others is not null").unionByName(either.filter("others is null").select("centre", "members").join(clusters.filter("not large").drop("large"), "centre"))
     placed = placed.select("centre", "main", "others", "mains", F.explode("members").alias("x")).select("x.node", "x.root", "centre", "main", "others", "mains")
     is_main, h = F.col("root") == F.col("main"), F.xxhash64("node", F.lit(2))
     side = F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
