@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import corpus_pipeline
 from vellum.llm import ngram_join
 
 
@@ -27,3 +28,11 @@ def test_only_large_clusters_go_to_all_salts(spark, monkeypatch):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin [centre" not in plan
         met = {tuple(sorted(p)) for (_, a, b), held in groups.items() for p in combinations(held, 2) if a == b or held[p[0]] != held[p[1]]}
         assert met >= want and len(want) > 10_000
+
+
+def test_pipeline_copies_no_small_cluster(spark, monkeypatch):
+    """The near duplicate stage of the pipeline, over documents whose clusters are all small."""
+    folder, asked, dealt = "/root/testdata/sf0.01", [], ngram_join.dealt
+    monkeypatch.setattr(ngram_join, "dealt", lambda stars, large, *also: asked.append((stars.groupBy("centre").count().agg({"count": "max"}).first()[0] or 0, large.count())) or dealt(stars, large, *also))
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count()
+    assert len(asked) == 2 and all(most <= ngram_join.SALTS and large == 0 for most, large in asked) and kept > 0
